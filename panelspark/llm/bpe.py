@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 REMEMBERED = 600_000
 #: Characters of text that are split into pieces at once; a longer text is split alone.
 SPLIT_CHARS = 4_000_000
+#: Stands between pieces that are encoded together; no byte of any token.
+BORDER = "\u0100"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +53,11 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
+        self.size_of = {rank: len(token) for rank, token in self.bytes_of.items()}
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.automaton.make_automaton()
         self.split_wide = regex.compile(pattern).findall
         self.split_narrow = re.compile(narrow_pattern(pattern)).findall
         self.lengths: dict[bytes, tuple[int, ...]] = {}  # by their last three bytes, of the tokens that have so many
@@ -148,21 +156,36 @@ class PrefixBPE:
         return self.split_narrow(text)
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not met before, in byte order: each starts from the prefix that it shares with the one before."""
-        before, last = b"", [-1]
-        for data, piece in sorted((p.encode(), p) for p in pieces):
-            whole = self.ranks.get(data)
-            if whole is not None:
+        """Encode pieces not met before. An automaton over the vocabulary lists, prefix by prefix, the tokens that end there, longest first."""
+        todo = []
+        for piece in pieces:
+            whole = self.ranks.get(piece.encode())
+            if whole is None:
+                todo.append(piece)
+            else:
                 self.pieces[piece] = (whole,)
-                continue
-            same = 0
-            for a, b in zip(before, data, strict=False):
-                if a != b:
-                    break
-                same += 1
-            last = self.extend(data, last, same)
-            before = data
-            self.pieces[piece] = tuple(self.read_back(last))
+        if not todo:
+            return
+        joined = BORDER.join([p.encode().decode("latin-1") for p in todo])
+        last: list[int | None] = [None] * (len(joined) + 1)
+        last[0] = -1
+        for i, c in enumerate(joined):
+            if c == BORDER:
+                last[i + 1] = -1
+        follows = self.follows.get
+        for at, (token, length) in self.automaton.iter(joined):
+            if last[at + 1] is None:
+                left = last[at + 1 - length]
+                if left < 0 or (valid := follows((left, token))) or (valid is None and self.may_follow(left, token)):
+                    last[at + 1] = token
+        end, size = len(joined), self.size_of
+        for piece in reversed(todo):
+            ids = []
+            while (token := last[end]) >= 0:
+                ids.append(token)
+                end -= size[token]
+            end -= 1
+            self.pieces[piece] = tuple(ids[::-1])
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """The tokens of each text. Texts are split a few million characters at a time."""
