@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
@@ -214,9 +215,9 @@ class PrefixBPE:
 _LOADED: dict[tuple, PrefixBPE] = {}
 
 
-def _encoder(ranks, pattern: str) -> PrefixBPE:
+def _encoder(name: str, ranks, pattern: str) -> PrefixBPE:
     """One encoder for each worker process, so that what it remembers serves all its tasks."""
-    key = (ranks.id if hasattr(ranks, "id") else id(ranks), pattern)
+    key = (name, pattern)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = PrefixBPE(ranks.value, pattern)
@@ -266,15 +267,15 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
 def _with_encoder(docs: DataFrame, ranks_path: str, pattern: str, text: str, make, fields: dict[str, str], keep: list[str]) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    names = [*keep, *fields]
+    names, name = [*keep, *fields], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(ranks, pattern)
+        bpe = _encoder(name, ranks, pattern)
         for batch in batches:
             made = make(bpe, ["" if t is None else t for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made.values()], names=names)
 
     schema = docs.select(*keep).schema
-    for name, kind in fields.items():
-        schema = schema.add(name, T.DataType.fromDDL(kind))
+    for field, kind in fields.items():
+        schema = schema.add(field, T.DataType.fromDDL(kind))
     return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
