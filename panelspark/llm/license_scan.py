@@ -160,7 +160,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         rows = rows.withColumn(f"at{i}", F.when(F.col("gate"), _places(F.col("words"), phrase)).otherwise(F.expr("cast(array() as array<bigint>)")))
     at = [F.col(f"at{i}") for i in range(len(BASE))]
     table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("rx"), F.lit(kw).alias("kw"), F.lit(worth).alias("worth")) for i, (label, rx, kw, worth) in enumerate(rules())])
-    matched = F.filter(table, lambda r: F.col("words").contains(r["kw"]) & F.col("words").rlike(r["rx"]))
+    matched = F.filter(table, lambda r: F.col("words").contains(r["kw"]) & F.regexp_like(F.col("words"), r["rx"]))
     none = F.expr("cast(array() as array<struct<rank:int,label:string,worth:double,start:int,end:int>>)")
     rows = rows.withColumn("hits", F.when(F.col("gate"), F.flatten(F.transform(matched, lambda r: _intervals(F.col("words"), r)))).otherwise(none))
     # A detection inside one of a higher rule goes; of equal places the higher rule's stays.

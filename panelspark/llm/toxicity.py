@@ -35,7 +35,7 @@ LENGTH, DECAY = 3, 0.7
 STRETCH = 24
 #: Words remembered as ordinary by a worker before it starts anew; bounds memory, not results.
 REMEMBERED = 1_000_000
-LANDMARKS, MISSING, THRESHOLD = 96, 1, 0.3
+LANDMARKS, MISSING, THRESHOLD = 160, 1, 0.3
 
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s._*-]+){3,}[^\W\d_](?!\S)")
 
@@ -87,11 +87,17 @@ def letters(token: str) -> str:
 
 
 def stretches(word: str) -> list[str]:
+    """The word between marks of its start and end, in overlapping stretches if it is long."""
+    word = f"^{word}$"
     if len(word) <= STRETCH:
         return [word]
     return [word[i : i + STRETCH] for i in range(0, len(word) - STRETCH // 2, STRETCH // 2)]
 
 
+def marked(words: list[str]) -> list[str]:
+    return [f"^{w}$" for w in words]
+
+
 def _loosely(word: str) -> str:
     """The letters in order, up to two characters between neighbours; of a long word one inner letter may be missing."""
     forms = [word] + ([word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)] if len(word) > 5 else [])
@@ -130,32 +136,55 @@ class Model:
             out[some] = _subsequences(got, self.landmarks) / own_size(got)[:, None] / self.own[None] @ self.weights + self.bias
         return out
 
-    def document(self, text: str) -> float:
-        """The highest margin of a document's words."""
-        if not self.landmarks:
-            return self.bias
-        lowered = text.lower()
-        met = set(lowered.split())
-        if "\x20" in lowered:
-            met.update("".join(filter(str.isalpha, m[0])) for m in _SPELLED.finditer(lowered))
-        new = met - self.plain
-        new -= self.near.keys()
-        if new:
+    def candidates(self, tokens: list[str]) -> list[str]:
+        """Tokens that hold nearly all letters of an insult: letters are bits, all tokens looked at together."""
+        if not tokens or not self.insults:
+            return []
+        codes = np.frombuffer("\n".join(tokens).encode("utf-32-le"), np.uint32)
+        bits = np.uint64(1) << (codes % 61).astype(np.uint64)
+        ends = np.flatnonzero(codes == 10)
+        masks = np.bitwise_or.reduceat(bits, np.r_[0, ends + 1]) if len(codes) else np.zeros(1, np.uint64)
+        found = np.zeros(len(tokens), bool)
+        for need, missing, _ in self.likeness:
+            mask = np.uint64(sum(1 << b for b in {ord(c) % 61 for c in need}))
+            found |= np.bitwise_count(mask & ~masks) <= missing
+        return [tokens[i] for i in np.flatnonzero(found)]
+
+    def documents(self, texts: list[str]) -> list[float]:
+        """The highest margin of each document's words."""
+        if self.weights is None:
+            return [self.bias] * len(texts)
+        out, start = [], 0
+        while start < len(texts):
+            met, size = [], 0
+            while start < len(texts) and (not met or size + len(texts[start]) <= 4_000_000):
+                lowered = texts[start].lower()
+                tokens = set(lowered.split())
+                tokens.update(letters(m[0]) for m in _SPELLED.finditer(lowered))
+                met.append(tokens)
+                size += len(lowered)
+                start += 1
+            new = set().union(*met)
             if len(self.plain) + len(new) > REMEMBERED:
                 self.plain.clear()
                 self.near.clear()
-                new = met
-            parts = {token: [p for p in stretches(letters(token)) if len(p) >= LENGTH and self.may_be_near(p)] for token in new}
+            new -= self.plain
+            new -= self.near.keys()
+            some = self.candidates(list(new))
+            parts = {token: [p for p in stretches(letters(token)) if len(p) >= LENGTH and self.may_be_near(p)] for token in some}
             todo = sorted({p for found in parts.values() for p in found})
             value = dict(zip(todo, self.margins(todo).tolist(), strict=True)) if todo else {}
             for token, found in parts.items():
                 most = max((value[p] for p in found), default=self.bias)
                 if most > self.bias:
                     self.near[token] = most
-                else:
-                    self.plain.add(token)
-        close = met & self.near.keys()
-        return max((self.near[t] for t in close), default=self.bias) if close else self.bias
+            self.plain |= new - self.near.keys()
+            for tokens in met:
+                out.append(max((self.near[t] for t in tokens & self.near.keys()), default=self.bias))
+        return out
+
+    def document(self, text: str) -> float:
+        return self.documents([text])[0]
 
     def probability(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
@@ -174,16 +203,40 @@ def _varied(word: str, r: np.random.Generator) -> list[str]:
     return [*out, word[:at] + word[at + 1 :]]
 
 
+def copies(texts: list[str]) -> list[int]:
+    """A group for each text: it joins the group with which it shares half of its eight least shingles, so that near copies speak once for a word."""
+    by_hash: dict[int, list[int]] = {}
+    out, made = [], 0
+    for s in shingle_sets(pa.array(texts, pa.string())):
+        least = s[:8].tolist()
+        shared = Counter(g for h in least for g in by_hash.get(h, ()))
+        group = min((g for g, k in shared.items() if 2 * k >= len(least)), default=made)
+        made += group == made
+        for h in least:
+            groups = by_hash.setdefault(h, [])
+            if group not in groups:
+                groups.append(group)
+        out.append(group)
+    return out
+
+
 def learn(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Model:
     """A model from labelled texts. Without toxic or without clean texts it scores all texts by the rate of labels."""
     rate = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.05
     flat = Model(bias=0.0, slope=0.0, shift=float(np.log(rate / (1 - rate))))
     if not 0 < sum(labels) < len(labels):
         return flat
-    # Near copies share the least of their shingles; a group of them speaks once for a word.
-    groups = [int(s[0]) if len(s) else 0 for s in shingle_sets(pa.array(texts, pa.string()))]
+    groups = copies(texts)
     words = [{w for t in text.lower().split() for w in [letters(t)] if LENGTH <= len(w) <= STRETCH} for text in texts]
     toxic, clean = Counter(), Counter()
+    around: dict[str, set] = {}  # between which words a word first stands in toxic texts: a copied passage always between the same
+    for text, label in zip(texts, labels, strict=True):
+        if label:
+            row, first = ["", *map(letters, text.lower().split()), ""], set()
+            for i, w in enumerate(row[1:-1], 1):
+                if w not in first:
+                    first.add(w)
+                    around.setdefault(w, set()).add((row[i - 1], row[i + 1]))
     seen: set[tuple] = set()
     n = [0, 0]
     for group, label, have in zip(groups, labels, words, strict=True):
@@ -192,9 +245,9 @@ def learn(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
         seen.add((group, label))
         n[label] += 1
         (toxic if label else clean).update(have)
-    # Fourfold more toxic groups than clean ones in proportion, and in at least 2 % of the toxic ones.
-    least = max(3, 0.02 * n[1])
-    seeds = sorted(w for w, c in toxic.items() if c >= least and (clean[w] + 0.5) / (n[0] + 1) < 0.1 * c / (n[1] + 1))
+    # Ten times as frequent in toxic groups as in clean ones, in at least 1.5 % of the toxic ones, and in as many surroundings.
+    least = max(4, 0.015 * n[1])
+    seeds = sorted(w for w, c in toxic.items() if c >= least and len(around[w]) >= max(least, 0.7 * c) and (clean[w] + 0.5) / (n[0] + 1) < 0.1 * c / (n[1] + 1))
     if not seeds:
         return flat
     r = np.random.default_rng(0)
@@ -205,18 +258,20 @@ def learn(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
     alike = [w for w in common if w not in toxic or clean[w] * n[1] >= toxic[w] * n[0]]
     hard = [w for w in alike if model.may_be_near(w)][:1500]
     negative = sorted({*common[:500], *hard} - set(positive))
-    chosen = [*seeds[: landmarks // 2], *hard[: landmarks // 4]]
+    chosen = [*sorted(seeds, key=lambda w: (-toxic[w], w))[: landmarks // 2], *hard[: landmarks // 3]]
     model.landmarks = [*chosen, *[w for w in common if len(w) >= LENGTH and w not in chosen][: max(0, landmarks - len(chosen))]]
+    model.landmarks = marked(model.landmarks)
     model.own = own_size(model.landmarks)
     values, vectors = np.linalg.eigh(kernel(model.landmarks, model.landmarks))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    x = np.concatenate([kernel(positive[i : i + 256], model.landmarks) for i in range(0, len(positive), 256)] + [kernel(negative[i : i + 256], model.landmarks) for i in range(0, len(negative), 256)]) @ root
+    every = marked([*positive, *negative])
+    x = np.concatenate([kernel(every[i : i + 256], model.landmarks) for i in range(0, len(every), 256)]) @ root
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     w, b = _svm(x, y)
     model.weights, model.bias = root @ w, min(b, -0.1)
     model.plain, model.near = set(), {}
-    margin = np.array([model.document(t) for t in texts])
+    margin = np.array(model.documents(texts))
     model.slope, model.shift = _logistic(margin, np.array(labels, float))
     model.plain, model.near = set(), {}
     return model
@@ -282,7 +337,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             _LOADED[name] = shared.value
         mine = _LOADED[name]
         for batch in batches:
-            made = [mine.probability(mine.document(t or "")) for t in batch.column(0).to_pylist()]
+            made = [mine.probability(m) for m in mine.documents([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.float64())], names=[*keep, out])
 
     return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, docs.select(*keep).schema.add(out, "double"))
