@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("chains",)
+FAMILIES = ("chains", "linkage", "measures")
 
 
 def _collect(name: str) -> dict:
