@@ -41,6 +41,8 @@ def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40) -> DataFram
     """docs (doc, text), blocks (doc, ordinal, block) -> (doc, ordinal, offset): where each block stands in its document, in order; null if it isn't placed."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right):
+            return pd.DataFrame({"doc": [], "ordinal": [], "offset": []})
         text = left["text"].iloc[0] if len(left) else ""
         right = right.sort_values("ordinal")
         found = []
@@ -59,6 +61,8 @@ def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFra
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        if not len(a) or not len(b):
+            return pd.DataFrame(rows, columns=["doc", "tag", "left_pos", "right_pos"])
         for tag, marks in a.sort_values("pos").groupby("tag", sort=True):
             free = sorted(b.loc[b["tag"] == tag, "pos"])
             for pos in marks["pos"]:

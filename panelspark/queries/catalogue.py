@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("chains", "linkage", "measures")
+FAMILIES = ("chains", "linkage", "measures", "texts")
 
 
 def _collect(name: str) -> dict:
