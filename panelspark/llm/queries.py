@@ -91,7 +91,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_embedding_dedup": """
         WITH RECURSIVE
-        v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
         n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS s FROM v),
         ok AS (SELECT * FROM n WHERE label IS NOT NULL AND s > 0 AND isfinite(s)),
         links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -105,7 +105,7 @@ ORACLE_SQL = {
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
         e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?s>|/?INST\]|\|answer\|>|/?ROLE\]|/TURN\])', '\1\\\2', 'g'))
-                     + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 14 ELSE 20 + length(role) END AS n FROM c)
+                     + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 14 ELSE 20 + length(role) END AS n FROM c)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
@@ -116,14 +116,14 @@ ORACLE_SQL = {
         WITH RECURSIVE
         w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                     ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
         sets AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS same, s FROM s),
         heads AS (SELECT same, min(doc_id) AS head, any_value(n) AS n, any_value(s) AS s FROM sets WHERE n > 0 GROUP BY same),
         t AS (SELECT head, n, unnest(s) AS t FROM heads),
         rare AS (SELECT * FROM t JOIN (SELECT t FROM t GROUP BY t HAVING count(*) > 1) USING (t)),
-        both AS (SELECT a.head AS x, b.head AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
+        met AS (SELECT a.head AS x, b.head AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
                  FROM rare a JOIN rare b ON a.t = b.t AND a.head < b.head AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2),
-        links AS (SELECT x, y FROM both WHERE 100 * k >= 75 * (nx + ny - k)),
+        links AS (SELECT x, y FROM met WHERE 100 * k >= 75 * (nx + ny - k)),
         edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
         reach(head, other) AS (SELECT head, head FROM heads UNION SELECT r.head, e.y FROM reach r JOIN edges e ON e.x = r.other),
         comp AS (SELECT head, min(other) AS c FROM reach GROUP BY head)
