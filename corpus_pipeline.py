@@ -18,8 +18,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones stays: that of the smallest doc_id. Rows of null doc_id stay."""
     classes = ngram_join.jaccard_classes(docs)
-    keep = classes.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    keep = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    named = docs.where("doc_id is not null")
+    if not keep.where("__rows > 1").isEmpty():  # rows of one doc_id are one document; as a rule there are none
+        named = named.dropDuplicates(["doc_id"])
+    named = named.join(keep, "doc_id", "left_semi")
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
