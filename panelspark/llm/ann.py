@@ -43,6 +43,8 @@ class Lists:
     graph: np.ndarray
     norm: float
     ratio: float = 1.0
+    #: A query's usual distance to its nearest centroid: one that lies much nearer, within a group of copies, still looks around as far as the others do.
+    usual: float = 0.0
 
     def lifted(self, rows: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.norm**2 - np.einsum("ij,ij->i", rows, rows)))
@@ -71,7 +73,7 @@ class Lists:
         while heap:
             d, c = heapq.heappop(heap)
             # Greedy descent goes on below the best so far; beyond it, up to the ratio.
-            if d > best * max(ratio, 1.05) and len(found) >= DEGREE:
+            if d > max(best, self.usual) * max(ratio, 1.05) and len(found) >= DEGREE:
                 break
             best = min(best, d)
             found.append((d, c))
@@ -81,7 +83,7 @@ class Lists:
                 seen[near] = True
                 for dist, other in zip(np.sqrt(((self.centroids[near] - q) ** 2).sum(1)).tolist(), near.tolist(), strict=True):
                     heapq.heappush(heap, (dist, other))
-        return [c for d, c in found if d <= best * ratio + 1e-12]
+        return [c for d, c in found if d <= max(best, self.usual) * ratio + 1e-12]
 
 
 def _split(rows: np.ndarray, most: int) -> list[np.ndarray]:
@@ -118,6 +120,7 @@ def learn_lists(sample: np.ndarray, norm: float, recall: float, k: int) -> Lists
     ring = np.stack([(np.arange(len(centroids)) + 1) % len(centroids), (np.arange(len(centroids)) - 1) % len(centroids)], 1)
     lists = Lists(centroids, np.concatenate([near, ring], 1), norm)
     queries = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
+    lists.usual = float(np.median(lists.distances(np.c_[queries, np.zeros(len(queries))]).min(1)))
     scores = queries @ sample.T
     k = min(k, len(sample))
     true = [set(np.argsort(-s, kind="stable")[:k].tolist()) for s in scores]
