@@ -20,8 +20,10 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = No
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken): rows that parse under the schema, and the text of those that don't."""
-    df = spark.read.schema(f"{schema}, __broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__broken").json(path)
-    return df.where("__broken is null").drop("__broken"), df.where("__broken is not null").select(F.col("__broken").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, __broken string", options).alias("r"))
+    return parsed.where("r.__broken is null").select("r.*").drop("__broken"), parsed.where("r.__broken is not null").select(F.col("value").alias("line"))
 
 
 def read_zip_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

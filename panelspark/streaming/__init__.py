@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def windowed_totals(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Events and value by window and type; a repeated event id within the watermark counts once."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

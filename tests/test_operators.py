@@ -84,7 +84,7 @@ def test_weighted_quantile_is_a_step(spark):
 def test_windows(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate("aabba")], "i int, v string")
     assert [r.run for r in df.withColumn("run", R.island([], ["i"], F.col("v"))).orderBy("i").collect()] == [1, 1, 2, 2, 3]
-    items = spark.sql("select array(struct(0 as pos, 'x' as tag), struct(10, 'x'), struct(3005, 'x'), struct(3006, 'y')) as a")
+    items = spark.sql("select from_json('[{\"pos\":0,\"tag\":\"x\"},{\"pos\":10,\"tag\":\"x\"},{\"pos\":3005,\"tag\":\"x\"},{\"pos\":3006,\"tag\":\"y\"}]', 'array<struct<pos:int,tag:string>>') as a")
     assert [x.pos for x in items.select(R.thinned(F.col("a"), 3000).alias("t")).first().t] == [0, 3005, 3006]
 
 
