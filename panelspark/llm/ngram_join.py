@@ -2,14 +2,17 @@
 
 A document is the set of 64-bit hashes of its distinct shingles. Equal sets are one class from the start. All tokens have
 one global order, rare ones by hash first and frequent ones by hash last, so two sets that are similar enough share a
-token of their prefixes, or two of prefixes that are one token longer. Rare tokens are indexed alone. Frequent tokens
-are indexed in combinations of two, which keeps what a common passage has alone in common out of the index; sets too
-small to share two tokens, and sets so long that their pairs would outgrow them, index frequent tokens alone as well.
+token of their prefixes, and two of prefixes that are one token longer. Which tokens are frequent is told by a bitmap of
+bounded size, set by a first index of the prefixes in hash order; a bit that stands for two tokens changes the order, not
+the result. Rare tokens are indexed alone. Frequent tokens, which only sets with too few rare ones have in their prefixes,
+are indexed in combinations of two; sets too small to share two tokens, and sets so long that their pairs would outgrow
+them, index frequent tokens alone as well.
 
 The index is dealt to buckets by token hash. In a bucket, the sets that share a token are paired, all with all as far as
 they are few; of many, each is paired with the first of its length class, and the rest of the pairs waits until these
 links are verified: only pairs that are then still in different components are made, so a large group of near copies
-never meets as a list of all its pairs. Every pair is verified on the whole texts.
+never meets as a list of all its pairs. What two sets share within their prefixes and all that may follow must reach the
+intersection needed; pairs for which it cannot are dropped, the others verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,16 +26,14 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import connected_components, discard, materialize, mix64, shingle_sets
 
-#: A token is frequent from this share of the documents on, and never in fewer than so many of them.
-FREQUENT_SHARE, FREQUENT_LEAST = 0.01, 32
 #: Sets of up to so many tokens index pairs of frequent tokens.
-PAIRED_UP_TO = 400
-#: So many sets that share a token are paired all with all; of more, with the first of their length class first.
+PAIRED_UP_TO = 100
+#: So many sets that share a token are paired all with all; of more, with the first of their length class first. A token of more sets is frequent.
 ALL_PAIRS_UP_TO = 12
 #: Index entries of a bucket, about; more documents make more buckets, not larger ones.
 BUCKET_ENTRIES, LEAST_BUCKETS = 400_000, 1024
-#: Tokens whose counts a task holds at once.
-HELD_TOKENS = 3_000_000
+#: Bits of the largest bitmap of documents or tokens, 16 MB. Shared combinations tell too little of shared tokens to drop a pair: they count for so many.
+SLOTS, MANY = 1 << 27, 1 << 20
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -43,34 +44,72 @@ def _set_id(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, id) -> a row (0, id, set, n) for each document and rows (1, token, null, count) for what is frequent here."""
-    held: list[np.ndarray] = []
-    size = documents = 0
-
-    def frequent() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(2, documents * FREQUENT_SHARE / 5)
-        tokens, counts = tokens[often].view(np.int64), counts[often]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64))], names=["kind", "id", "set", "n"])
-
-    for batch in batches:
-        ids, sizes, met = [], [], {}
-        for s in shingle_sets(batch.column(0)):
-            name = _set_id(s)
-            ids.append(name)
-            sizes.append(len(s))
-            met.setdefault(name, s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "set", "n"])
-        for s in met.values():
-            held.append(s)
-            size += len(s)
-            documents += 1
-            if size >= HELD_TOKENS:
-                yield frequent()
-                held, size, documents = [], 0, 0
-    if held:
-        yield frequent()
+def _scan(buckets: int, percent: int):
+    """(text, id) -> a row (0, id, set, n, null) for each document, and rows (bucket, null, null, null, tokens) with twice the prefixes in hash order: what the prefixes take in place of frequent tokens is counted too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "id", "set", "n", "tokens"]
+        for batch in batches:
+            ids, sizes, met = [], [], {}
+            for s in shingle_sets(batch.column(0)):
+                name = _set_id(s)
+                ids.append(name)
+                sizes.append(len(s))
+                met.setdefault(name, s[: 2 * _prefix(len(s), percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1, np.int32)), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
+            token = np.concatenate([*met.values(), np.zeros(0, np.uint64)])
+            if len(token):
+                bucket, (packed,) = _dealt(token, buckets, [token.astype(np.uint32)])
+                none = pa.nulls(len(bucket), pa.int64())
+                yield pa.RecordBatch.from_arrays([bucket, none, none, none, packed], names=names)
+
+    return run
+
+
+def _dealt(token: np.ndarray, buckets: int, columns: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
+    """(bucket, packed columns): what falls into each bucket by token hash, one row a bucket."""
+    bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order].astype(np.int32)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    spans = list(zip(starts.tolist(), np.r_[starts[1:], len(bucket)].tolist(), strict=True))
+    packed = []
+    for x in columns:
+        x = x[order]
+        packed.append(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()))
+    return pa.array(bucket[starts]), packed
+
+
+def _slot(bucket: np.ndarray, token: np.ndarray, slots: int) -> np.ndarray:
+    """The bit of a token, by its bucket and lower half."""
+    return mix64((bucket.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64)) % np.uint64(slots)
+
+
+def _often(slots: int):
+    """A bucket's tokens -> (word, bits) of the bits of those that are frequent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, counts = np.unique(np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32), return_counts=True)
+        token = token[counts > ALL_PAIRS_UP_TO]
+        slot = np.unique(_slot(np.full(len(token), table.column("bucket")[0].as_py()), token, slots)).astype(np.int64)
+        words, at = np.unique(slot >> 5, return_inverse=True)
+        bits = np.zeros(len(words), np.int64)
+        np.bitwise_or.at(bits, at, np.int64(1) << (slot & 31))
+        return pa.table({"word": words, "bits": bits})
+
+    return run
+
+
+def _bitmap(words: DataFrame, slots: int) -> np.ndarray:
+    """A bitmap from rows (word, bits): what reaches the driver is bounded by its size."""
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(slots // 32, np.uint32)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
+    return out
+
+
+def _slots(n: int) -> int:
+    return min(SLOTS, max(1 << 16, 1 << int(16 * n).bit_length()))
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -78,8 +117,14 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _entries(frequent: np.ndarray, buckets: int, percent: int):
-    """(text) -> rows (bucket, tokens uint32, sets int64, sizes int32): the index entries of this batch, by bucket."""
+def _prefix(n: int, percent: int) -> int:
+    """Length of prefixes of which two sets that are similar enough share two tokens, or all that a small set has."""
+    return min(n, n - _need(n, percent) + 2)
+
+
+def _entries(often_bits: np.ndarray, buckets: int, percent: int):
+    """(text) -> rows (bucket, tokens uint32, sets int64, sizes int32): the index entries of this batch, by bucket; sizes of combinations are negative."""
+    slots = 32 * len(often_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,35 +134,32 @@ def _entries(frequent: np.ndarray, buckets: int, percent: int):
                 if not n or name in met:
                     continue
                 met.add(name)
-                found = np.zeros(n, bool)
-                if len(frequent):
-                    at = np.searchsorted(frequent, s)
-                    found = frequent[np.minimum(at, len(frequent) - 1)] == s
-                length = min(n, n - _need(n, percent) + 2)
-                rare, often = s[~found][:length], np.zeros(0, np.uint64)
-                if len(rare) < length:
-                    often = s[found][: length - len(rare)]
-                made = [rare]
+                length = _prefix(n, percent)
+                look = s
+                while True:  # a stretch of the set in hash order, doubled until it holds enough rare tokens
+                    look = s[: min(n, max(2 * length, 64) if look is s else 2 * len(look))]
+                    slot = _slot((look >> np.uint64(32)) % np.uint64(buckets), look.astype(np.uint32), slots)
+                    often = (often_bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+                    if len(look) == n or len(look) - often.sum() >= length:
+                        break
+                rare, often = look[~often][:length], look[often]
+                often = often[: length - len(rare)]
+                made, size = [rare], [n] * len(rare)
                 if len(often):
                     if 8 <= n <= PAIRED_UP_TO and len(often) > 1:
                         i, j = np.triu_indices(len(often), 1)
                         made.append(mix64(often[i] * np.uint64(3) + mix64(often[j])))
+                        size += [-n] * len(i)
                     if n < 11 or n >= PAIRED_UP_TO * percent // 100:
                         made.append(often)
-                made = np.concatenate(made)
-                tokens.append(made)
-                sets.append(np.full(len(made), name, np.int64))
-                sizes.append(np.full(len(made), n, np.int32))
-            if not tokens:
-                continue
-            token, name, n = np.concatenate(tokens), np.concatenate(sets), np.concatenate(sizes)
-            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, token, name, n = bucket[order].astype(np.int32), token[order].astype(np.uint32), name[order], n[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(bucket)]
-            pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pack(token), pack(name), pack(n)], names=["bucket", "tokens", "sets", "sizes"])
+                        size += [n] * len(often)
+                tokens.append(np.concatenate(made))
+                sets.append(np.full(len(size), name, np.int64))
+                sizes.append(np.array(size, np.int32))
+            if tokens:
+                token = np.concatenate(tokens)
+                bucket, packed = _dealt(token, buckets, [token.astype(np.uint32), np.concatenate(sets), np.concatenate(sizes)])
+                yield pa.RecordBatch.from_arrays([bucket, *packed], names=["bucket", "tokens", "sets", "sizes"])
 
     return run
 
@@ -127,69 +169,121 @@ def _similar_size(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndar
 
 
 def _pair_up(percent: int):
-    """A bucket's entries -> rows (0, a, b, null) for pairs to verify, (1, token, set, n) for those of a token that many sets share."""
+    """A bucket's entries -> rows (0, a, b, shared, na, nb) of pairs, (1, token, set, weight, n, null) of the tokens of many sets."""
 
     def run(table: pa.Table) -> pa.Table:
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         bucket = table.column("bucket")[0].as_py()
         token, name, n = joined("tokens", np.uint32), joined("sets", np.int64), joined("sizes", np.int32)
-        order = np.lexsort((name, n, token))
+        order = np.lexsort((name, np.abs(n), token))
         token, name, n = token[order], name[order], n[order]
         new = np.r_[True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])]
         token, name, n = token[new], name[new], n[new]
+        weight, n = np.where(n < 0, MANY, 1), np.abs(n).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         counts = np.diff(np.r_[starts, len(token)])
-        left, right, kept = [], [], []
+        left, right, kept, share = [], [], [], []
         for m in range(2, ALL_PAIRS_UP_TO + 1):
             at = starts[counts == m]
             if len(at):
                 i, j = np.triu_indices(m, 1)
                 left.append((at[:, None] + i).ravel())
                 right.append((at[:, None] + j).ravel())
-        for s, m in zip(starts[counts > ALL_PAIRS_UP_TO].tolist(), counts[counts > ALL_PAIRS_UP_TO].tolist(), strict=True):
+        share = [weight[x] for x in left]
+        many = counts > ALL_PAIRS_UP_TO
+        for s, m in zip(starts[many].tolist(), counts[many].tolist(), strict=True):
             kept.append(np.arange(s, s + m))
             first = s
             while first < s + m:  # sizes ascend: the first of a length class, then the next that it cannot be similar to
                 beyond = s + int(np.searchsorted(n[s : s + m], 100 * int(n[first]) // percent, "right"))
                 left.append(np.full(beyond - first - 1, first))
                 right.append(np.arange(first + 1, beyond))
+                share.append(np.zeros(beyond - first - 1, np.int64))  # counted with all tokens of many sets
                 first = beyond
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        i, j, share = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, share))
         fits = _similar_size(n[i], n[j], percent) & (name[i] != name[j])
-        a, b = np.minimum(name[i], name[j])[fits], np.maximum(name[i], name[j])[fits]
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        i, j, share = i[fits], j[fits], share[fits]
+        swap = name[i] > name[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        order = np.lexsort((name[j], name[i]))
+        i, j, share = i[order], j[order], share[order]
+        if len(i):
+            heads = np.flatnonzero(np.r_[True, (name[i][1:] != name[i][:-1]) | (name[j][1:] != name[j][:-1])])
+            i, j, share = i[heads], j[heads], np.add.reduceat(share, heads)
         kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
         whole = (np.int64(bucket) << np.int64(32)) | token[kept].astype(np.int64)
         return pa.table(
             {
-                "kind": np.r_[np.zeros(len(pairs), np.int32), np.ones(len(kept), np.int32)],
-                "a": np.r_[pairs[:, 0], whole],
-                "b": np.r_[pairs[:, 1], name[kept]],
-                "n": np.r_[np.zeros(len(pairs), np.int64), n[kept].astype(np.int64)],
+                "kind": np.r_[np.zeros(len(i), np.int32), np.ones(len(kept), np.int32)],
+                "a": np.r_[name[i], whole],
+                "b": np.r_[name[j], name[kept]],
+                "shared": np.r_[share, weight[kept]],
+                "na": np.r_[n[i], n[kept]],
+                "nb": np.r_[n[j], n[kept]],
             }
         )
 
     return run
 
 
+def _may_reach(percent: int, shared) -> F.Column:
+    """Whether what two sets of sizes na, nb share in their prefixes, and at most all of the longer rest, can be enough."""
+    rest = lambda n: F.greatest(F.lit(0), F.floor((F.col(n) * percent + 99) / 100) - 2)
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent) - 1e-9)
+    return shared + F.greatest(rest("na"), rest("nb")) >= need
+
+
+def _pack(s: np.ndarray) -> bytes:
+    """The upper six bytes of each token: 48 bits tell the tokens of two documents apart."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _sets(wanted: np.ndarray):
+    """(text, id, slot) -> (id, set, tokens) of the documents whose slot is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(2).to_numpy()
+            some = batch.take(pa.array(np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)))
+            names, packed = [], []
+            for s in shingle_sets(some.column(0)):
+                names.append(_set_id(s))
+                packed.append(_pack(s))
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["id", "set", "tokens"])
+
+    return run
+
+
 def _verified(percent: int):
-    """(a, b, ia, ib, left, right) -> (a, b) as node ids of pairs whose texts are similar enough."""
+    """(ia, ib, left, right) -> (a, b), the ids of pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = [batch.column(i).to_pylist() for i in range(4)]
-            good = []
-            for k, (s, t) in enumerate(zip(shingle_sets(batch.column(4)), shingle_sets(batch.column(5)), strict=True)):
-                if _set_id(s) != want[0][k] or _set_id(t) != want[1][k]:
-                    continue  # another text of the same id
-                both = len(np.intersect1d(s, t, assume_unique=True))
+            good, before, s = [], None, np.zeros(0, np.uint64)
+            for k in range(batch.num_rows):
+                left = batch.column(2)[k].as_py()
+                if left != before:
+                    before, s = left, _unpack(left)
+                t = _unpack(batch.column(3)[k].as_py())
+                both = len(s) + len(t) - len(np.union1d(s, t))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     good.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([want[2][k] for k in good], pa.int64()), pa.array([want[3][k] for k in good], pa.int64())], names=["a", "b"])
+            yield batch.select([0, 1]).take(pa.array(good, pa.int64())).rename_columns(["a", "b"])
 
     return run
 
 
+def size_hint(docs: DataFrame) -> int:
+    """Bytes of the input by Spark's own statistics of its files; 0 where there are none."""
+    return min(int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 50)
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id.
 
@@ -200,28 +294,44 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"), F.col(key).cast("long").alias("id"))
-    scanned = materialize(texts.mapInArrow(_scan, "kind int, id long, set long, n long"), "ngram-scan")
-    rows = scanned.where("kind = 0")
+    # As many buckets as the bytes ask for: a bucket holds a bounded number of entries, however many documents there are.
+    buckets = max(LEAST_BUCKETS, int(size_hint(docs) / 24) // BUCKET_ENTRIES)
+    scanned = materialize(texts.mapInArrow(_scan(buckets, percent), "bucket int, id long, set long, n long, tokens binary"), "ngram-scan")
+    rows = scanned.where("bucket = -1").select("id", "set", "n")
     n_docs, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # At most 100 / FREQUENT_SHARE percent tokens of a mean document: a bound that does not grow with the corpus.
-    hot = scanned.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT_SHARE * n_docs))
-    frequent = np.sort(np.array([r.id for r in hot.select("id").collect()], np.int64).view(np.uint64))
-    buckets = max(LEAST_BUCKETS, int(n_tokens * (100 - percent) / 100) // BUCKET_ENTRIES)
+    token_slots = _slots(n_tokens // 64)
+    often = _bitmap(scanned.where("bucket >= 0").select("bucket", "tokens").groupBy("bucket").applyInArrow(_often(token_slots), "word long, bits long"), token_slots)
 
     heads = rows.where("set <> 0 and id is not null").groupBy("set").agg(F.min("id").alias("id"))
-    entries = texts.select("text").mapInArrow(_entries(frequent, buckets, percent), "bucket int, tokens binary, sets binary, sizes binary")
-    made = materialize(entries.groupBy("bucket").applyInArrow(_pair_up(percent), "kind int, a long, b long, n long"), "ngram-pairs")
-    pairs = made.where("kind = 0").select("a", "b").distinct()
+    entries = texts.select("text").mapInArrow(_entries(often, buckets, percent), "bucket int, tokens binary, sets binary, sizes binary")
+    made = materialize(entries.groupBy("bucket").applyInArrow(_pair_up(percent), "kind int, a long, b long, shared long, na long, nb long"), "ngram-pairs")
+    waiting = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("shared").alias("weight"), F.col("na").alias("n"))
+    counted = made.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    held = waiting.groupBy("set").agg(F.sum("weight").alias("held"))
+    open_a, open_b = (held.select(F.col("set").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+    both = counted.join(open_a, "a", "left").join(open_b, "b", "left")
+    most = F.col("shared") + F.coalesce(F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0))), F.lit(0))
+    pairs = materialize(both.withColumn("passes", _may_reach(percent, most)).select("a", "b", "shared", "passes"), "ngram-counted")
 
     def verify(found: DataFrame, tag: str) -> DataFrame:
         ids = found.join(heads.select(F.col("set").alias("a"), F.col("id").alias("ia")), "a").join(heads.select(F.col("set").alias("b"), F.col("id").alias("ib")), "b")
-        # One row an id: repeated rows of one id would only repeat its pairs.
-        unique = texts.where("id is not null").select("id", "text")
-        both = ids.join(unique.select(F.col("id").alias("ia"), F.col("text").alias("left")), "ia").join(unique.select(F.col("id").alias("ib"), F.col("text").alias("right")), "ib")
-        return materialize(both.select("a", "b", "ia", "ib", "left", "right").mapInArrow(_verified(percent), "a long, b long").distinct(), tag)
-
-    links = verify(pairs, "ngram-links")
-    waiting = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), "n")
+        ids = materialize(ids, f"{tag}-ids")
+        # A bitmap of the documents in question, of a size that ends at SLOTS bits, spares the others the way; beyond that size it only lets more of them pass.
+        slots = _slots(n_docs)
+        slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+        words = ids.select(F.explode(F.array("ia", "ib")).alias("id")).select(slot.alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bits"))
+        wanted = _bitmap(words, slots)
+        sets = texts.where("id is not null").select("text", "id", slot.alias("slot")).mapInArrow(_sets(wanted.view(np.uint8)), "id long, set long, tokens binary")
+        left = sets.select(F.col("id").alias("ia"), F.col("set").alias("a"), F.col("tokens").alias("left"))
+        right = sets.select(F.col("id").alias("ib"), F.col("set").alias("b"), F.col("tokens").alias("right"))
+        both = ids.join(left, ["ia", "a"]).join(right, ["ib", "b"])
+        links = materialize(both.select("ia", "ib", "left", "right").mapInArrow(_verified(percent), "a long, b long").distinct(), tag)
+        discard(ids)
+        return links
+
+    links = verify(pairs.where("passes").select("a", "b"), "ngram-links")
+    # Two sets that share no token of few sets must share two of many: prefixes are one token longer for that.
+    waiting = waiting.join(held.where("held >= 2").select("set"), "set", "left_semi")
     if not waiting.isEmpty():
         links = links.unionByName(verify(_across(waiting, heads, links, pairs, percent), "ngram-late"))
     comps = materialize(connected_components(links, "ngram-cc"), "ngram-comps")
@@ -231,7 +341,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     out = out.join(alone, "set", "left")
     component = F.when(F.col("id").isNull() | (F.col("set") == 0), F.col("id")).otherwise(F.coalesce("component", "head"))
     result = materialize(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")), "ngram-out")
-    for df in (scanned, made, comps):
+    for df in (scanned, made, pairs, comps):
         discard(df)
     return result
 
@@ -246,7 +356,11 @@ def _across(waiting: DataFrame, heads: DataFrame, links: DataFrame, pairs: DataF
     spans = left.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = (spans.select("token", F.col("comp").alias(f"comp_{c}"), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
     meet = x.join(y, "token").where(f"comp_x < comp_y and 100 * most_x >= {percent} * least_y and 100 * most_y >= {percent} * least_x").select("token", "comp_x", "comp_y")
-    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"))
+    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"), "weight")
     b = left.select("token", F.col("comp").alias("comp_y"), F.col("set").alias("b"), F.col("n").alias("nb"))
     found = meet.join(a, ["token", "comp_x"]).join(b, ["token", "comp_y"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    low = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    shared = found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("late"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # Pairs that share a token of few sets have been judged with all that they could share of the others.
+    return shared.where(_may_reach(percent, F.col("late"))).join(pairs, ["a", "b"], "left_anti").select("a", "b")

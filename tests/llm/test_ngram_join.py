@@ -83,7 +83,7 @@ def corpus(seed, n=260):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 6)
+    monkeypatch.setattr(ngram_join, "ALL_PAIRS_UP_TO", 4)
     rows = corpus(seed)
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
