@@ -53,12 +53,15 @@ def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40) -> DataFram
             found.append(offsets)
         return pd.DataFrame({"doc": right["doc"], "ordinal": right["ordinal"], "offset": pd.array(longest_chain(found), dtype="Int64")})
 
-    return docs.groupBy("doc").cogroup(blocks.groupBy("doc")).applyInPandas(run, "doc long, ordinal int, offset long")
+    docs = docs.select(F.col("doc").alias("in_doc"), F.col("text").alias("text"))
+    return docs.groupBy("in_doc").cogroup(blocks.groupBy("doc")).applyInPandas(run, "doc long, ordinal int, offset long")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """left, right (doc, tag, pos) -> (doc, tag, left_pos, right_pos): each left mark with the nearest unused right one of its tag within the tolerance."""
 
+    named = {f"{side}_{c}": c for side in ("left", "right") for c in ("doc", "tag", "pos")}
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if not len(a) or not len(b):
@@ -72,7 +75,9 @@ def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFra
                     rows.append((a["doc"].iloc[0], tag, pos, best))
         return pd.DataFrame(rows, columns=["doc", "tag", "left_pos", "right_pos"])
 
-    return left.groupBy("doc").cogroup(right.groupBy("doc")).applyInPandas(run, "doc long, tag string, left_pos double, right_pos double")
+    # Columns of their own: both sides may come from one table.
+    left, right = (x.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc", "tag", "pos")]) for side, x in (("left", left), ("right", right)))
+    return left.groupBy("left_doc").cogroup(right.groupBy("right_doc")).applyInPandas(lambda a, b: run(a.rename(columns=named), b.rename(columns=named)), "doc long, tag string, left_pos double, right_pos double")
 
 
 def fuzzy_diff(pairs: DataFrame, least: float = 0.6) -> DataFrame:
