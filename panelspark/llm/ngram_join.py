@@ -331,7 +331,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     links = verify(pairs.where("passes").select("a", "b"), "ngram-links")
     # Two sets that share no token of few sets must share two of many: prefixes are one token longer for that.
-    waiting = waiting.join(held.where("held >= 2").select("set"), "set", "left_semi")
+    waiting = waiting.join(held.where("held >= 2"), "set")
     if not waiting.isEmpty():
         links = links.unionByName(verify(_across(waiting, heads, links, pairs, percent), "ngram-late"))
     comps = materialize(connected_components(links, "ngram-cc"), "ngram-comps")
@@ -353,12 +353,14 @@ def _across(waiting: DataFrame, heads: DataFrame, links: DataFrame, pairs: DataF
     rows = materialize(waiting.join(ids, "set"), "ngram-waiting")
     several = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     left = rows.join(several, "token")
-    spans = left.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (spans.select("token", F.col("comp").alias(f"comp_{c}"), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
-    meet = x.join(y, "token").where(f"comp_x < comp_y and 100 * most_x >= {percent} * least_y and 100 * most_y >= {percent} * least_x").select("token", "comp_x", "comp_y")
-    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"), "weight")
-    b = left.select("token", F.col("comp").alias("comp_y"), F.col("set").alias("b"), F.col("n").alias("nb"))
-    found = meet.join(a, ["token", "comp_x"]).join(b, ["token", "comp_y"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    spans = left.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held"))
+    x, y = (spans.select("token", *[F.col(k).alias(f"{k}_{c}") for k in ("comp", "least", "most", "held")]) for c in "xy")
+    # Even all that two components' sets hold of such tokens must reach what their sizes ask for beyond the rest.
+    reach = f"least(held_x, held_y) >= (least_x + least_y) * {percent}D / {100 + percent} - greatest(most_x, most_y) * {percent}D / 100"
+    meet = x.join(y, "token").where(f"comp_x < comp_y and 100 * most_x >= {percent} * least_y and 100 * most_y >= {percent} * least_x and {reach}").select("token", "comp_x", "comp_y")
+    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("held").alias("held_a"), "weight")
+    b = left.select("token", F.col("comp").alias("comp_y"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("held").alias("held_b"))
+    found = meet.join(a, ["token", "comp_x"]).join(b, ["token", "comp_y"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(_may_reach(percent, F.least("held_a", "held_b")))
     low = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
     shared = found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("late"), F.max("na").alias("na"), F.max("nb").alias("nb"))
