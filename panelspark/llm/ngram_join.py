@@ -6,7 +6,8 @@ token of their prefixes, and two of prefixes that are one token longer. Which to
 bounded size, set by a first index of the prefixes in hash order; a bit that stands for two tokens changes the order, not
 the result. Rare tokens are indexed alone. Frequent tokens, which only sets with too few rare ones have in their prefixes,
 are indexed in combinations of two; sets too small to share two tokens, and sets so long that their pairs would outgrow
-them, index frequent tokens alone as well.
+them, index frequent tokens alone as well. A single frequent token that two prefixes share shows in no combination, so every
+bound on what they share allows for it.
 
 The index is dealt to buckets by token hash. In a bucket, the sets that share a token are paired, all with all as far as
 they are few; of many, each is paired with the first of its length class, and the rest of the pairs waits until these
@@ -123,7 +124,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _entries(often_bits: np.ndarray, buckets: int, percent: int):
-    """(text) -> rows (bucket, tokens uint32, sets int64, sizes int32): the index entries of this batch, by bucket; sizes of combinations are negative."""
+    """(text) -> rows (bucket, tokens uint32, sets int64, sizes int32): the index entries of this batch, by bucket; sizes of combinations are negative, twice the size plus 1 if the prefix holds frequent tokens."""
     slots = 32 * len(often_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +145,16 @@ def _entries(often_bits: np.ndarray, buckets: int, percent: int):
                         break
                 rare, often = look[~often][:length], look[often]
                 often = often[: length - len(rare)]
-                made, size = [rare], [n] * len(rare)
+                told = 2 * n + (len(often) > 0)
+                made, size = [rare], [told] * len(rare)
                 if len(often):
                     if 8 <= n <= PAIRED_UP_TO and len(often) > 1:
                         i, j = np.triu_indices(len(often), 1)
                         made.append(mix64(often[i] * np.uint64(3) + mix64(often[j])))
-                        size += [-n] * len(i)
-                    if n < 11 or n >= PAIRED_UP_TO * percent // 100:
+                        size += [-told] * len(i)
+                    if not _only_paired(n, percent):
                         made.append(often)
-                        size += [n] * len(often)
+                        size += [told] * len(often)
                 tokens.append(np.concatenate(made))
                 sets.append(np.full(len(size), name, np.int64))
                 sizes.append(np.array(size, np.int32))
@@ -164,12 +166,20 @@ def _entries(often_bits: np.ndarray, buckets: int, percent: int):
     return run
 
 
+def _only_paired(n: np.ndarray | int, percent: int):
+    """Whether sets of n tokens index their frequent tokens in combinations only."""
+    return (n >= 11) & (n < PAIRED_UP_TO * percent // 100)
+
+
 def _similar_size(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return 100 * small.astype(np.int64) >= percent * large.astype(np.int64)
 
 
 def _pair_up(percent: int):
-    """A bucket's entries -> rows (0, a, b, shared, na, nb) of pairs, (1, token, set, weight, n, null) of the tokens of many sets."""
+    """A bucket's entries -> rows (0, a, b, shared, na, nb, single) of pairs, (1, token, set, weight, n, n, single) of the tokens of many sets.
+
+    single is 1 for pairs that may share one frequent token that no entry shows, and for sets with frequent tokens in their prefixes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
@@ -180,6 +190,7 @@ def _pair_up(percent: int):
         new = np.r_[True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])]
         token, name, n = token[new], name[new], n[new]
         weight, n = np.where(n < 0, MANY, 1), np.abs(n).astype(np.int64)
+        single, n = n & 1, n >> 1
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         counts = np.diff(np.r_[starts, len(token)])
         left, right, kept, share = [], [], [], []
@@ -220,6 +231,7 @@ def _pair_up(percent: int):
                 "shared": np.r_[share, weight[kept]],
                 "na": np.r_[n[i], n[kept]],
                 "nb": np.r_[n[j], n[kept]],
+                "single": np.r_[single[i] & single[j] & (_only_paired(n[i], percent) | _only_paired(n[j], percent)), single[kept]].astype(np.int32),
             }
         )
 
@@ -304,13 +316,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     heads = rows.where("set <> 0 and id is not null").groupBy("set").agg(F.min("id").alias("id"))
     entries = texts.select("text").mapInArrow(_entries(often, buckets, percent), "bucket int, tokens binary, sets binary, sizes binary")
-    made = materialize(entries.groupBy("bucket").applyInArrow(_pair_up(percent), "kind int, a long, b long, shared long, na long, nb long"), "ngram-pairs")
-    waiting = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("shared").alias("weight"), F.col("na").alias("n"))
-    counted = made.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    made = materialize(entries.groupBy("bucket").applyInArrow(_pair_up(percent), "kind int, a long, b long, shared long, na long, nb long, single int"), "ngram-pairs")
+    waiting = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("shared").alias("weight"), F.col("na").alias("n"), "single")
+    counted = made.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("single").alias("single"))
     held = waiting.groupBy("set").agg(F.sum("weight").alias("held"))
     open_a, open_b = (held.select(F.col("set").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
     both = counted.join(open_a, "a", "left").join(open_b, "b", "left")
-    most = F.col("shared") + F.coalesce(F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0))), F.lit(0))
+    most = F.col("shared") + F.col("single") + F.coalesce(F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0))), F.lit(0))
     pairs = materialize(both.withColumn("passes", _may_reach(percent, most)).select("a", "b", "shared", "passes"), "ngram-counted")
 
     def verify(found: DataFrame, tag: str) -> DataFrame:
@@ -331,7 +343,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     links = verify(pairs.where("passes").select("a", "b"), "ngram-links")
     # Two sets that share no token of few sets must share two of many: prefixes are one token longer for that.
-    waiting = waiting.join(held.where("held >= 2"), "set")
+    waiting = waiting.join(held, "set").where("held + single >= 2")
     if not waiting.isEmpty():
         links = links.unionByName(verify(_across(waiting, heads, links, pairs, percent), "ngram-late"))
     comps = materialize(connected_components(links, "ngram-cc"), "ngram-comps")
@@ -353,16 +365,18 @@ def _across(waiting: DataFrame, heads: DataFrame, links: DataFrame, pairs: DataF
     rows = materialize(waiting.join(ids, "set"), "ngram-waiting")
     several = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     left = rows.join(several, "token")
-    spans = left.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held"))
-    x, y = (spans.select("token", *[F.col(k).alias(f"{k}_{c}") for k in ("comp", "least", "most", "held")]) for c in "xy")
+    spans = left.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held"), F.max("single").alias("single"))
+    x, y = (spans.select("token", *[F.col(k).alias(f"{k}_{c}") for k in ("comp", "least", "most", "held", "single")]) for c in "xy")
     # Even all that two components' sets hold of such tokens must reach what their sizes ask for beyond the rest.
-    reach = f"least(held_x, held_y) >= (least_x + least_y) * {percent}D / {100 + percent} - greatest(most_x, most_y) * {percent}D / 100"
+    reach = f"least(held_x, held_y) + least(single_x, single_y) >= (least_x + least_y) * {percent}D / {100 + percent} - greatest(most_x, most_y) * {percent}D / 100"
     meet = x.join(y, "token").where(f"comp_x < comp_y and 100 * most_x >= {percent} * least_y and 100 * most_y >= {percent} * least_x and {reach}").select("token", "comp_x", "comp_y")
-    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("held").alias("held_a"), "weight")
-    b = left.select("token", F.col("comp").alias("comp_y"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("held").alias("held_b"))
-    found = meet.join(a, ["token", "comp_x"]).join(b, ["token", "comp_y"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(_may_reach(percent, F.least("held_a", "held_b")))
+    a = left.select("token", F.col("comp").alias("comp_x"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("held").alias("held_a"), F.col("single").alias("single_a"), "weight")
+    b = left.select("token", F.col("comp").alias("comp_y"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("held").alias("held_b"), F.col("single").alias("single_b"))
+    found = meet.join(a, ["token", "comp_x"]).join(b, ["token", "comp_y"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    single = F.when(_only_paired(F.col("na"), percent) | _only_paired(F.col("nb"), percent), F.least("single_a", "single_b")).otherwise(0)
+    found = found.withColumn("single", single).where(_may_reach(percent, F.least("held_a", "held_b") + F.col("single")))
     low = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-    shared = found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("late"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    shared = found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "weight", "single").groupBy("a", "b").agg(F.sum("weight").alias("late"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("single").alias("single"))
     # Pairs that share a token of few sets have been judged with all that they could share of the others.
-    return shared.where(_may_reach(percent, F.col("late"))).join(pairs, ["a", "b"], "left_anti").select("a", "b")
+    return shared.where(_may_reach(percent, F.col("late") + F.col("single"))).join(pairs, ["a", "b"], "left_anti").select("a", "b")

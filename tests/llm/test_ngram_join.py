@@ -89,6 +89,42 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def fillers(passage, but=()):
+    """Short documents that make each shingle of the passage frequent."""
+    return [[*passage[i : i + 5], f"f{i}.{k}"] for i in range(len(passage) - 4) if i not in but for k in range(ngram_join.ALL_PAIRS_UP_TO + 1)]
+
+
+def boilerplate(seed):
+    """Short documents of a common passage, in pairs whose ends differ by about as many words as the threshold allows."""
+    r = random.Random(seed)
+    own = lambda k: [f"o{r.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for n in (14, 18, 34):
+        passage = own(n)
+        rows += fillers(passage)
+        for _ in range(30):
+            tail = own(r.randrange(2, 2 + n // 2))
+            other = own(r.randrange(1, 2 + n // 6))
+            rows += [passage + tail, passage + tail[: max(0, len(tail) - r.randrange(len(other) + 1))] + other]
+    r.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_borderline_pairs_of_short_boilerplate(spark):
+    rows = boilerplate(1)
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_one_frequent_token_beside_one_of_many_sets(spark):
+    passage = [f"p{i}" for i in range(19)]  # 15 shingles; with five words more 20, of which 15 are common
+    name = lambda i: int(next(iter(common.shingle_sets(pa.array([" ".join(passage[i : i + 5])]))))[0])
+    words = [passage, *[passage + [f"x{k}.{i}" for i in range(5)] for k in range(30)], *fillers(passage, [max(range(15), key=name)])]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_nulls_copies_long_texts_and_clashes(spark):
     long = " ".join(f"v{i}" for i in range(30_000))
     rows = [(5, "a b c d e f"), (3, "A  b c\td e f"), (9, None), (8, ""), (7, " \n"), (6, "one two"), (2, "one two"), (4, "two one"), (None, "a b c d e f"), (5, "a b c d e f"), (11, long), (10, long + " tail")]
