@@ -1,7 +1,7 @@
 """Licence detection: ordered signature rules over a text's words.
 
 A rule is a regular expression over lower-cased words joined by single spaces, with a label, a priority and a keyword. Only
-texts that hold a keyword are looked at, and of the rules only those whose keyword the text holds. Of detections whose
+texts that hold a name or phrase of a rule are looked at, and of the rules only those whose keyword the text holds. Of detections whose
 places overlap, one inside a detection of a higher rule is suppressed. Most rules come from licence families and the forms
 in which licences are named, so a family added brings all its forms.
 
@@ -106,22 +106,36 @@ OTHERS = (
     ("proprietary", r"unauthori[sz]ed (?:copying|use|distribution|reproduction) (?:of this \w+ )?(?:is )?(?:strictly )?prohibited", "unauthor", 0.8),
     ("noncommercial", r"(?:for )?non ?commercial use only", "commercial use only", 0.7),
     ("copyright", r"copyright (?:c |© )?(?:19|20)\d\d", "copyright", 0.3),
+)#: Every match of a rule holds one of these, at the start of a word: cheaper to look for than what gate() tells.
+OPENINGS = (
+    r" (?:licen[sc]e|a(?:gpl|pache 2)|b(?:sd|usl|sl 1 1)|c(?:opyright|c by|c0|reative commons|ddl|ecill|ommercial use only)|e(?:pl|upl)|free software you can|g(?:pl|fdl)|hereby granted|lgpl"
+    r"|m(?:pl|it 0|it no attribution|ulan)|noncommercial use only|o(?:fl 1 1|dbl|dc by|pen data commons attribution|penrail)|p(?:ddl|ublic domain|roprietary)"
+    r"|r(?:ights reserved|edistribution and use)|sspl|un(?:license|author)|wtfpl|0bsd)"
 )
-#: A text without one of these is not looked at any further.
-GATE = r"licen[sc]|copyright|gpl|\bcc|creative commons|public domain|apache|rights reserved|proprietary|commercial use only|bsd|wtfpl|mulan|cecill|openrail|hereby granted|redistribution and use|unauthor"
 
 
-def rules() -> list[tuple[str, str, str, float]]:
-    """(label, regex, keyword, worth) in the order of priority: whole texts first, then forms from the most particular, families in their order."""
-    families = list(FAMILIES)
+def families() -> list[tuple[str, str, str]]:
+    """FAMILIES and those of Creative Commons."""
+    made = list(FAMILIES)
     for short, long in CC_PARTS:
         for label, version in CC_VERSIONS:
             name = f"cc-{short.replace(' ', '-')}" + (f"-{label}" if label else "")
             tail = f" {version}" if version else ""
-            families.append((name, rf"(?:cc {short}|creative commons attribution{' ' + long if long else ''}){tail}", "c"))
+            made.append((name, rf"(?:cc {short}|creative commons attribution{' ' + long if long else ''}){tail}", "c"))
+    return made
+
+
+def gate() -> str:
+    """What every text with a match holds: a base phrase, the bare name of a family, which all its forms hold, or another rule's match."""
+    parts = [phrase for phrase, _ in BASE] + [rx for _, rx, _ in families()] + [rx for _, rx, _, _ in OTHERS]
+    return f" (?:{'|'.join(f'(?:{rx})' for rx in parts)}) "
+
+
+def rules() -> list[tuple[str, str, str, float]]:
+    """(label, regex, keyword, worth) in the order of priority: whole texts first, then forms from the most particular, families in their order."""
     made = list(OTHERS)
     for form, worth in FORMS:
-        made += [(label, form.format(name=f"(?:{name})"), keyword, worth) for label, name, keyword in families]
+        made += [(label, form.format(name=f"(?:{name})"), keyword, worth) for label, name, keyword in families()]
     return made
 
 
@@ -155,7 +169,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Null and empty texts have no words. Repeated rows are rows of their own. Other columns play no part. No shuffle.
     """
     rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
-    rows = rows.select("key", "words", F.col("words").rlike(GATE).alias("gate"))
+    rows = rows.select("key", "words", (F.col("words").rlike(OPENINGS) & F.col("words").rlike(gate())).alias("gate"))
     for i, (phrase, _) in enumerate(BASE):
         rows = rows.withColumn(f"at{i}", F.when(F.col("gate"), _places(F.col("words"), phrase)).otherwise(F.expr("cast(array() as array<bigint>)")))
     at = [F.col(f"at{i}") for i in range(len(BASE))]

@@ -111,6 +111,33 @@ def test_license_scan_against_python(spark):
     assert len(license_scan.rules()) > 300
 
 
+def spellings(parsed):
+    """Every text that a parsed regex matches; of a repeated class a text of one."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(arg)]
+            case "BRANCH":
+                more = [t for branch in arg[1] for t in spellings(branch)]
+            case "SUBPATTERN":
+                more = spellings(arg[3])
+            case "MAX_REPEAT":
+                more = ([""] if arg[0] == 0 else []) + spellings(arg[2])
+            case "IN":
+                more = [chr(x) if str(kind) == "LITERAL" else "7" for kind, x in arg]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_passes_the_gate(spark):
+    texts = ["Released under MPL 2.0", "available under the EPL-2.0", "SSPL", "MIT-0"]
+    texts += [t for _, name, _ in license_scan.families() for t in spellings(re._parser.parse(name))]
+    texts += [min(spellings(re._parser.parse(rx)), key=len) for _, rx, _, _ in license_scan.rules()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert [texts[r.doc_id] for r in license_scan.scan(docs).where("score = 0 or labels = ''").collect()] == []
+
+
 def test_license_query_against_python(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in queries.op6_license_scan(spark, "/root/testdata/sf0.001").collect():
