@@ -34,8 +34,9 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
 
 
 def reputation(outcomes: DataFrame, strength: float = PRIOR_STRENGTH, z: float = BOUND_Z) -> DataFrame:
-    """(host, n, bad) -> (host, n, mean, bound): posterior mean and lower bound of the rate of bad pages.
+    """(host, n, bad) -> (host, n, mean, bound): posterior mean and lower bound of the rate of bad pages; nulls if no n is above 0.
 
+    Hosts of n = 0 take the mean of their domain, which is that of its suffix or of all where nothing is labelled.
     The registered domain is the last two labels of the host, the suffix the last one; a host of one label is both.
     """
     named = outcomes.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
@@ -43,7 +44,7 @@ def reputation(outcomes: DataFrame, strength: float = PRIOR_STRENGTH, z: float =
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     total = suffixes.agg(F.sum("sn").alias("tn"), F.sum("sb").alias("tb"))  # one row
     s = F.lit(strength)
-    suffix = suffixes.join(F.broadcast(total)).select("suffix", ((F.col("sb") + s * F.col("tb") / F.col("tn")) / (F.col("sn") + s)).alias("suffix_mean"))
+    suffix = suffixes.join(F.broadcast(total)).select("suffix", ((F.col("sb") + s * F.col("tb") / F.nullif("tn", F.lit(0))) / (F.col("sn") + s)).alias("suffix_mean"))
     domain = domains.join(suffix, "suffix").select("domain", ((F.col("db") + s * F.col("suffix_mean")) / (F.col("dn") + s)).alias("domain_mean"))
     mean = (F.col("bad") + s * F.col("domain_mean")) / (F.col("n") + s)
     spread = F.sqrt(mean * (1 - mean) / (F.col("n") + s + 1))
@@ -54,14 +55,15 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str =
     """One row for each row of pages: key, host, path, rule, verdict, bound.
 
     verdict is that of the longest rule that fits, else block when the lower bound of the host's posterior rate of bad
-    pages (outcome = 1 among its labelled pages) is above the limit, else allow; hosts without labelled pages are allowed,
-    their bound is null. A url that is null or has no :// has an empty host and path. Null keys and null outcomes carry no
+    pages (outcome = 1 among its labelled pages) is above the limit, else allow; hosts without labelled pages are judged by
+    their domain, suffix or all. Bounds are null, and pages allowed, where the host is empty or no page is labelled at all.
+    A url that is null or has no :// has an empty host and path. Null keys and null outcomes carry no
     outcome; repeated labels count once, a key labelled both ways is bad. Other columns play no part.
     """
     host, path = host_and_path(F.col("__url"))
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("__url")).select("page", host.alias("host"), path.alias("path"))
     marked = labels.where(F.col(label_key).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(label_key).alias("page")).agg(F.max(outcome).alias("bad"))
-    seen = rows.where("host <> ''").select("page", "host").distinct().join(marked, "page").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    seen = rows.where("host <> ''").select("page", "host").distinct().join(marked, "page", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     known = reputation(seen).select("host", "bound")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = rows.withColumn("rule", rule).withColumn("ruled", verdict).join(known, "host", "left")

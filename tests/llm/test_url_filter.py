@@ -20,3 +20,18 @@ def test_hosts_rules_and_reputation(spark):
     assert got[100][3] == "block" and got[200][3] == "allow" and got[13][3] == "allow"
     assert url_filter.judge(pages.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
     assert url_filter.judge(pages, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(urls + more)
+
+
+def test_hosts_without_labels_take_the_posterior_above(spark):
+    urls = [(i, f"http://spam.bad.io/{i}") for i in range(60)] + [(100 + i, f"http://fine.good.io/{i}") for i in range(60)] + [(200 + i, f"http://x.clean.dev/{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in urls], "doc_id long, toxic int")
+    new = [(900, "http://new.bad.io/"), (901, "http://new.good.io/"), (902, "http://other.io/"), (903, "http://new.dev/"), (904, "http://elsewhere.xyz/"), (905, "none"), (None, "http://null.bad.io/")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(urls + new, "page_id long, url string"), labels).collect()}
+    total = 60 / 320
+    io, dev = (60 + 20 * total) / 140, 20 * total / 220
+    means = {900: (60 + 20 * io) / 80, 901: 20 * io / 80, 902: io, 903: dev, 904: total, None: (60 + 20 * io) / 80}
+    for i, mean in means.items():
+        bound = mean - 1.64 * (mean * (1 - mean) / 21) ** 0.5
+        assert abs(got[i].bound - bound) < 1e-9 and got[i].verdict == ("block" if bound > 0.15 else "allow"), i
+    assert got[900].verdict == got[902].verdict == "block" and got[901].verdict == got[903].verdict == "allow"
+    assert got[905].bound is None and got[905].verdict == "allow"
