@@ -5,6 +5,7 @@ These are inherently sequential, so each runs as one Arrow-backed function over
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from difflib import SequenceMatcher
 
@@ -13,6 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.textops import NUMBER_WORDS
+
+#: As textops.mask, for texts at hand.
+_NUMBERS, _BETWEEN = re.compile(rf"[0-9][0-9,.]*|\b(?:{'|'.join(NUMBER_WORDS)})\b", re.A), re.compile(r"[^a-z#]+")
+
 
 def longest_chain(candidates: list[list[int]]) -> list[int | None]:
     """One offset for each block, ascending, for as many blocks as possible; None for blocks left out."""
@@ -81,30 +87,56 @@ def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFra
 
 
 def fuzzy_diff(pairs: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, old array, new array) -> (key, kept, changed, added, dropped): items matched one to one, equal ones first, then by similarity."""
+    """(key, old array, new array) -> (key, kept, changed, added, dropped): items matched one to one, equal ones first, then by similarity.
+
+    With columns old_heads and new_heads, arrays of a heading for each item, and headings on more than half of the items of
+    both sides, headings at least 0.85 similar match first, and texts of the rest at 0.8; else texts match at least. Texts
+    are compared whole, numbers masked. Null items are none.
+    """
+    headed = {"old_heads", "new_heads"} <= set(pairs.columns)
+
+    def masked(text: str) -> str:
+        return _BETWEEN.sub(" ", _NUMBERS.sub("#", text.lower())).strip() or text
+
+    def matches(old: list[str], new: list[str], floor: float) -> list[tuple[int, int]]:
+        """Each old item with the free new one most similar to it, the first of equals; empty ones match nothing."""
+        out, free = [], {i: SequenceMatcher(None, "", x, autojunk=False) for i, x in enumerate(new) if x}
+        for i, x in enumerate(old):
+            best, most = None, 0.0
+            for j, m in free.items() if x else ():
+                m.set_seq1(x)
+                # Both are bounds from above, so nothing is lost.
+                if all(bound() >= floor and bound() > most for bound in (m.real_quick_ratio, m.quick_ratio)) and (ratio := m.ratio()) > most:
+                    best, most = j, ratio
+            if best is not None and most >= floor:
+                out.append((i, best))
+                del free[best]
+        return out
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for key, old, new in zip(pdf["key"], pdf["old"], pdf["new"], strict=True):
-                old, new = list(old), list(new)
-                kept = 0
+            heads = zip(pdf["old_heads"], pdf["new_heads"], strict=True) if headed else [([], [])] * len(pdf)
+            for key, old, new, (old_heads, new_heads) in zip(pdf["key"], pdf["old"], pdf["new"], heads, strict=True):
+                old, new = ([(x, h or "") for x, h in zip(xs, hs if len(hs) else [""] * len(xs), strict=True) if x is not None] for xs, hs in ((old, old_heads), (new, new_heads)))
+                use_heads = all(2 * sum(h != "" for _, h in side) > len(side) for side in (old, new))
+                kept = changed = 0
                 for item in list(old):
                     if item in new:
                         old.remove(item)
                         new.remove(item)
                         kept += 1
-                changed = 0
-                for item in list(old):
-                    scored = max(((SequenceMatcher(None, item, other).ratio(), -i) for i, other in enumerate(new)), default=(0.0, 0))
-                    if scored[0] >= least:
-                        new.pop(-scored[1])
-                        old.remove(item)
-                        changed += 1
+                passes = [(lambda x: x[1], 0.85)] if use_heads else []
+                for told, floor in [*passes, (lambda x: masked(x[0]), 0.8 if use_heads else least)]:
+                    found = matches([told(x) for x in old], [told(x) for x in new], floor)
+                    changed += sum(old[i][0] != new[j][0] for i, j in found)
+                    kept += sum(old[i][0] == new[j][0] for i, j in found)
+                    gone, taken = {i for i, _ in found}, {j for _, j in found}
+                    old, new = [x for i, x in enumerate(old) if i not in gone], [x for j, x in enumerate(new) if j not in taken]
                 rows.append((key, kept, changed, len(new), len(old)))
             yield pd.DataFrame(rows, columns=["key", "kept", "changed", "added", "dropped"])
 
-    return pairs.select("key", "old", "new").mapInPandas(run, "key long, kept long, changed long, added long, dropped long")
+    return pairs.select("key", "old", "new", *(["old_heads", "new_heads"] if headed else [])).mapInPandas(run, "key long, kept long, changed long, added long, dropped long")
 
 
 def quantile_line(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 200) -> np.ndarray:

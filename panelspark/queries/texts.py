@@ -139,8 +139,8 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Openings of each conversation's first turns against its later ones: kept, changed, added, dropped."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), "turn", F.substring("text", 1, 40).alias("t"))
+    """Each conversation's first turns against its later ones: kept, changed, added, dropped."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), "turn", F.col("text").alias("t"))
     pairs = c.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("turn") < 2, F.col("t")))).alias("old"), F.array_sort(F.collect_list(F.when(F.col("turn") >= 2, F.col("t")))).alias("new"))
     return A.fuzzy_diff(pairs, 0.5)
 

@@ -16,6 +16,7 @@ from panelspark.operators import spatial as G
 from panelspark.operators import stats as S
 from panelspark.operators import survival as V
 from panelspark.operators import windows as R
+from panelspark.queries import catalogue
 
 
 def applied(spark, column, values):
@@ -116,6 +117,25 @@ def test_greedy_match_and_diff(spark):
     assert tuple(A.fuzzy_diff(pairs).first()) == (1, 1, 1, 1, 1)
 
 
+def test_diff_of_whole_texts_and_headings(spark):
+    same, ends = "the sponsor shall plant trees along the street " * 8, ["and water them daily in summer " * 12, "but nothing of kind will befall x y z q j k " * 9]
+    # Alike up to the end; alike but for numbers; alike in the opening only.
+    old, new = [same + ends[0], "within 3 days of " + same, "opening words of the text are the same " + ends[0]], [same + ends[0] + "end", "within 45 days of " + same, "opening words of the text are the same " + ends[1] * 2]
+    plain = spark.createDataFrame([(1, old, new)], "key long, old array<string>, new array<string>")
+    assert tuple(A.fuzzy_diff(plain).first()) == (1, 0, 2, 1, 1)
+    heads = spark.createDataFrame([(1, [ends[0], same, None], [same + "x", ends[1]], ["Tree Extension", "", ""], ["", "Tree Extenslon"])], "key long, old array<string>, new array<string>, old_heads array<string>, new_heads array<string>")
+    assert tuple(A.fuzzy_diff(heads).first()) == (1, 0, 1, 1, 1)  # too few headings
+    heads = spark.createDataFrame([(1, [ends[0], same], [same + "x", ends[1]], ["Tree Extension", "Care"], ["Noise", "Tree Extenslon"])], "key long, old array<string>, new array<string>, old_heads array<string>, new_heads array<string>")
+    assert tuple(A.fuzzy_diff(heads).first()) == (1, 0, 2, 0, 0)
+
+
+def test_diff_query_reads_whole_turns(spark, tmp_path):
+    opening = "the same first forty characters of all of it, "
+    rows = [(1, 0, "user", opening + "apples " * 30), (1, 1, "assistant", "zzz " * 40), (1, 2, "user", opening + "qkjx wvb " * 60), (1, 3, "assistant", "zzz " * 40)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert tuple(catalogue.queries()["fuzzy_diff"](spark, str(tmp_path)).first()) == (1, 1, 0, 1, 1)
+
+
 def test_quantile_line_balances_residuals():
     r = np.random.default_rng(1)
     x = np.c_[np.ones(500), r.normal(size=500)]
