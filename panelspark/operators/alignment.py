@@ -43,21 +43,45 @@ def longest_chain(candidates: list[list[int]]) -> list[int | None]:
     return out
 
 
-def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40) -> DataFrame:
-    """docs (doc, text), blocks (doc, ordinal, block) -> (doc, ordinal, offset): where each block stands in its document, in order; null if it isn't placed."""
+def folded(text: str) -> tuple[str, np.ndarray]:
+    """Lower-cased a-z, digits and points of a text, and the place of each in it."""
+    low = text.lower()
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero((points == 46) | ((points >= 48) & (points <= 57)) | ((points >= 97) & (points <= 122)))
+    place = np.arange(len(text)) if len(low) == len(text) else np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return points[at].astype(np.uint8).tobytes().decode("ascii"), place[at]
+
+
+def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40, passes: int = 8) -> DataFrame:
+    """docs (doc, text), blocks (doc, ordinal, block) -> (doc, ordinal, offset): where each block stands in its document; null if it isn't placed.
+
+    Both are folded to letters, digits and points; a block is sought by its first 120 of these, else by its first 40. The
+    longest chain in order is placed, then that of the blocks left, and so on.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return pd.DataFrame({"doc": [], "ordinal": [], "offset": []})
-        text = left["text"].iloc[0] if len(left) else ""
+        text, place = folded((left["text"].iloc[0] if len(left) else "") or "")
         right = right.sort_values("ordinal")
         found = []
         for block in right["block"]:
-            at, offsets = -1, []
-            while block and len(offsets) < most and (at := text.find(block, at + 1)) >= 0:
-                offsets.append(at)
+            block, offsets = folded(block or "")[0], []
+            for piece in (block[:120], block[:40]):
+                at = -1
+                while piece and len(offsets) < most and (at := text.find(piece, at + 1)) >= 0:
+                    offsets.append(at)
+                if offsets:
+                    break
             found.append(offsets)
-        return pd.DataFrame({"doc": right["doc"], "ordinal": right["ordinal"], "offset": pd.array(longest_chain(found), dtype="Int64")})
+        placed: list[int | None] = [None] * len(found)
+        todo = [i for i, offsets in enumerate(found) if offsets]
+        for _ in range(passes):
+            for i, offset in zip(todo, longest_chain([found[i] for i in todo]), strict=True):
+                placed[i] = offset
+            todo = [i for i in todo if placed[i] is None]
+        offset = pd.array([None if x is None else int(place[x]) for x in placed], dtype="Int64")
+        return pd.DataFrame({"doc": right["doc"], "ordinal": right["ordinal"], "offset": offset})
 
     docs = docs.select(F.col("doc").alias("in_doc"), F.col("text").alias("text"))
     return docs.groupBy("in_doc").cogroup(blocks.groupBy("doc")).applyInPandas(run, "doc long, ordinal int, offset long")

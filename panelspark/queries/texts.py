@@ -124,9 +124,10 @@ def envelope_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of documents placed in their documents again, in order; how many of each language find their place."""
-    docs = table(spark, d, "documents").where("text is not null and length(text) > 400").select(F.col("doc_id").alias("doc"), "text", "lang")
-    blocks = docs.select("doc", F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.substring("text", 1 + 90 * i, 60).alias("block")) for i in range(4)])).alias("b")).select("doc", "b.ordinal", "b.block")
+    """Documents cut into pieces of 60 characters, each placed in its document again; how many of each language and place find theirs."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text", "lang")
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int"))
+    blocks = docs.where("text <> ''").select("doc", "text", F.explode(starts).alias("ordinal")).select("doc", "ordinal", F.expr("substring(text, 1 + 60 * ordinal, 60)").alias("block"))
     placed = A.align_blocks(docs.select("doc", "text"), blocks).join(docs.select("doc", "lang"), "doc")
     return placed.groupBy("lang", "ordinal").agg(F.count("*").alias("n"), F.count("offset").alias("placed"))
 

@@ -117,6 +117,21 @@ def test_greedy_match_and_diff(spark):
     assert tuple(A.fuzzy_diff(pairs).first()) == (1, 1, 1, 1, 1)
 
 
+def test_blocks_are_folded_and_placed_in_passes(spark):
+    text = "İn the  first “part” of it.\nThe second part stands here. A third one comes. And the fourth is last."
+    blocks = ["in the first 'part' of it", "A third\none comes.", "And the FOURTH is last.", "The second part\tstands here", "is not there", "", None]
+    docs = spark.createDataFrame([(1, text)], "doc long, text string")
+    got = A.align_blocks(docs, spark.createDataFrame([(1, i, b) for i, b in enumerate(blocks)], "doc long, ordinal int, block string")).collect()
+    assert [r.offset for r in sorted(got, key=lambda r: r.ordinal)] == [0, text.index("A third"), text.index("And"), text.index("The second"), None, None, None]
+
+
+def test_alignment_query_cuts_whole_documents(spark, tmp_path):
+    rows = [(1, "".join(f"word{i} " for i in range(200)), "en"), (2, "a short one", "en"), (3, None, "en"), (4, "", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.lang, r.ordinal): (r.n, r.placed) for r in catalogue.queries()["block_alignment"](spark, str(tmp_path)).collect()}
+    assert got == {("en", i): (1 + (i == 0), 1 + (i == 0)) for i in range(-(-len(rows[0][1]) // 60))}
+
+
 def test_diff_of_whole_texts_and_headings(spark):
     same, ends = "the sponsor shall plant trees along the street " * 8, ["and water them daily in summer " * 12, "but nothing of kind will befall x y z q j k " * 9]
     # Alike up to the end; alike but for numbers; alike in the opening only.
