@@ -25,7 +25,7 @@ def norm_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def template_frequency(spark: SparkSession, d: str) -> DataFrame:
     """How often each masked opening stands in documents, the most frequent ten."""
-    t = table(spark, d, "documents").select("doc_id", F.substring(X.mask(F.col("text")), 1, 40).alias("template")).where("template <> ''")
+    t = table(spark, d, "documents").select("doc_id", X.template_key(F.col("text")).alias("template")).where("template <> ''")
     return t.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "template").limit(10)
 
 

@@ -1,10 +1,12 @@
 """Queries over whole tables against plain Python."""
 
+import re
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+from panelspark.functions.textops import NUMBER_WORDS
 from panelspark.queries import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,11 @@ def test_linkage_rule_scores_of_every_customer(spark, tables):
     want = (statistics.mean(b / p for b, _, p in cases if p), statistics.mean(b / t for b, t, _ in cases), statistics.mean(p > 0 for *_, p in cases), statistics.median(p for *_, p in cases))
     got = catalogue.queries()["linkage_rule_scores"](spark, SF).first()
     assert tuple(map(float, got)) == pytest.approx(want)
+
+
+def test_template_frequency_by_200_characters(spark):
+    mask = lambda t: re.sub(r"[^a-z#]+", " ", re.sub(rf"[0-9][0-9,.]*|\b(?:{'|'.join(NUMBER_WORDS)})\b", "#", t.lower(), flags=re.A)).strip()
+    keys = [(mask(r.text or "")[:200], r.doc_id) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    n = Counter(k for k, _ in keys if k)
+    want = [(k, c, min(i for x, i in keys if x == k)) for k, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:10]]
+    assert [tuple(r) for r in catalogue.queries()["template_frequency"](spark, SF).collect()] == want
