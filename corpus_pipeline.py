@@ -16,14 +16,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones stays: that of the smallest doc_id. Rows of null doc_id stay."""
+    """One document of each component of similar ones stays: that of the smallest doc_id. Rows of one doc_id and text are one document. Rows of null doc_id stay."""
+    named, key = docs.where("doc_id is not null"), "doc_id"
     classes = ngram_join.jaccard_classes(docs)
-    keep = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    named = docs.where("doc_id is not null")
-    if not keep.where("__rows > 1").isEmpty():  # rows of one doc_id are one document; as a rule there are none
-        named = named.dropDuplicates(["doc_id"])
-    named = named.join(keep, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # as a rule there are none
+        # A key for each document, ascending with doc_id.
+        key = "__row"
+        named = materialize(named.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "ngram-rows")
+        classes = ngram_join.jaccard_classes(named, key=key)
+    named = named.join(classes.where(F.col("component_id") == F.col(key)).select(key), key, "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,15 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    times = mixing.mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # as a rule there are none
+        # The whole row is the key; rows alike in all columns are one, taken as often as all of them together.
+        key = "__row"
+        rows = docs.withColumn(key, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    times = mixing.mix(rows, key=key).where("times > 0").groupBy(key).agg(F.sum("times").alias("times"))
+    if key == "__row":
+        rows = rows.dropDuplicates([key])
+    taken = rows.join(times, rows[key].eqNullSafe(times[key])).drop(times[key])
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
 
 

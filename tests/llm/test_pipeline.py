@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
+from panelspark.llm import mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,3 +37,24 @@ def test_stages_on_nulls_and_no_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             part = stage(spark, part, sf)
             part.collect()
+
+
+def test_rows_of_one_doc_id_are_judged_by_themselves(spark):
+    copy, other, third = ("a b c d e f g h", "quite another text of eight words here indeed", "and one more that nobody else has written down")
+    rows = [(1, copy, "en", "s", 1), (2, copy, "en", "s", 1), (2, other, "en", "s", 1), (3, third, "en", "s", 1), (3, third, "en", "s", 1), (3, other, "en", "s", 1), (None, copy, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies_out(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted([(1, copy), (2, other), (3, third), (0, copy)])
+
+
+def test_mix_takes_each_row_as_decided(spark):
+    rows = [(i // 4 if i % 3 else None, "w " * (1 + i % 17), "en", f"src{i % 3}", i) for i in range(240)]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = corpus_pipeline.mixed(spark, docs, "").collect()
+    keyed = docs.withColumn("k", mixing.F.xxhash64(mixing.F.to_json(mixing.F.struct(*docs.columns))))
+    words = {r.source: r.n for r in mixing.mix(keyed, key="k").groupBy("source").agg(mixing.F.sum("taken").alias("n")).collect()}
+    got = Counter()
+    for r in taken:
+        got[r.source] += len(r.text.split())
+    assert got == {k: v for k, v in words.items() if v}
+    assert Counter(map(tuple, corpus_pipeline.mixed(spark, docs.repartition(5), "").collect())) == Counter(map(tuple, taken))
