@@ -83,7 +83,7 @@ def corpus(seed, n=260):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ALL_PAIRS_UP_TO", 4)
+    monkeypatch.setattr(ngram_join, "RARE_UP_TO", 4)
     rows = corpus(seed)
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
@@ -91,7 +91,7 @@ def test_against_all_pairs(spark, seed, monkeypatch):
 
 def fillers(passage, but=()):
     """Short documents that make each shingle of the passage frequent."""
-    return [[*passage[i : i + 5], f"f{i}.{k}"] for i in range(len(passage) - 4) if i not in but for k in range(ngram_join.ALL_PAIRS_UP_TO + 1)]
+    return [[*passage[i : i + 5], f"f{i}.{k}"] for i in range(len(passage) - 4) if i not in but for k in range(ngram_join.RARE_UP_TO + 1)]
 
 
 def boilerplate(seed):
