@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and \t \n \v \f \r.
@@ -97,6 +97,42 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+#: Matches whose lengths are summed up together, and characters of context kept of either side.
+SPAN_BLOCK, CONTEXT_CHARS = 256, 24
+
+
+def match_spans(text: Column, pattern: Column | str) -> Column:
+    """Every match of a pattern as array<struct<start, end, span, before, after>> in code points, by DataFrame functions alone.
+
+    Places are the summed lengths of matches and of the pieces between, block by block, so that thousands of matches do
+    not copy each other. before and after are the nearest CONTEXT_CHARS of the pieces on either side.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    kind = "array<struct<start:int,end:int,span:string,before:string,after:string>>"
+    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    n = F.size(found)
+    parts = F.zip_with(
+        F.zip_with(found, F.slice(pieces, 1, n), lambda m, p: F.struct(F.length(p).alias("gap"), m.alias("span"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"))),
+        F.slice(pieces, 2, n),
+        lambda x, p: F.struct(x["gap"].alias("gap"), x["span"].alias("span"), x["before"].alias("before"), F.left(p, F.lit(CONTEXT_CHARS)).alias("after")),
+    )
+
+    def fold(done, x):
+        start = done["at"] + x["gap"]
+        end = start + F.length(x["span"])
+        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["span"].alias("span"), x["before"].alias("before"), x["after"].alias("after")))).alias("spans"))
+
+    def blocks(parts):
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / SPAN_BLOCK).cast("int"), F.lit(0))), lambda b: F.aggregate(F.slice(parts, b * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)), F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("spans")), fold))
+        # Each block's start is the sum of the lengths of those before it.
+        starts = lambda s: F.aggregate(s, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")), lambda d, x: F.struct((d["at"] + x["at"]).alias("at"), F.concat(d["starts"], F.array(d["at"])).alias("starts")))["starts"]
+        moved = lambda x, o: F.transform(x["spans"], lambda m: F.struct((m["start"] + o).alias("start"), (m["end"] + o).alias("end"), m["span"].alias("span"), m["before"].alias("before"), m["after"].alias("after")))
+        return F.flatten(F.flatten(F.transform(F.array(sums), lambda s: F.zip_with(s, starts(s), moved))))
+
+    # Named once each by passing through arrays of one.
+    return F.flatten(F.transform(F.array(parts), blocks))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
