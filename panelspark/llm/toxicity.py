@@ -41,7 +41,9 @@ LENGTH, DECAY = 3, 0.7
 #: Longest stretch of letters that is looked at as one word; longer words are read in stretches that overlap by LAP letters.
 STRETCH, LAP = 16, 10
 #: Words remembered by a worker before it starts anew; bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Characters of text looked at together; a longer text is looked at alone.
+CHUNK_CHARS = 1_000_000
 LANDMARKS, SEEDS, ROUNDS, THRESHOLD = 240, 400, 3, 0.3
 #: Margins below this are taken for this; a document is judged by its so many highest ones, repeats counted.
 FLOOR, HIGHEST = -0.4, 3
@@ -210,8 +212,8 @@ class Model:
         for n in np.unique(length[length >= LENGTH]).tolist():
             at = np.flatnonzero(length == n)
             i, j, k, decay = _triples(n)
-            for lo in range(0, len(at), max(1, 1_000_000 // len(i))):
-                some = at[lo : lo + max(1, 1_000_000 // len(i))]
+            for lo in range(0, len(at), max(1, CHUNK_CHARS // 4 // len(i))):
+                some = at[lo : lo + max(1, CHUNK_CHARS // 4 // len(i))]
                 raw = np.frombuffer("".join(words[x] for x in some).encode("utf-32-le"), np.int32).reshape(-1, n)
                 seen, back = np.unique(raw, return_inverse=True)
                 c = np.array([self.alphabet.get(x, 0) for x in seen.tolist()])[back].reshape(-1, n)
@@ -236,7 +238,7 @@ class Model:
         start = 0
         while start < len(texts):
             met, at, size = [], start, 0
-            while start < len(texts) and (not met or size + len(texts[start]) <= 4_000_000):
+            while start < len(texts) and (not met or size + len(texts[start]) <= CHUNK_CHARS):
                 met.append(tokens_of(texts[start]))
                 size += len(texts[start])
                 start += 1
