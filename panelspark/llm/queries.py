@@ -134,13 +134,26 @@ ORACLE_SQL = {
         u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
         l AS (SELECT doc_id AS page_id, max(toxic) AS bad FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
-        h AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM u JOIN l USING (page_id) WHERE host <> '' GROUP BY host),
-        d AS (SELECT host, n, bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h),
-        t AS (SELECT sum(n) AS tn, sum(bad) AS tb FROM d),
-        s AS (SELECT suffix, (sum(bad) + 20 * (SELECT tb / tn FROM t)) / (sum(n) + 20) AS sm FROM d GROUP BY suffix),
-        m AS (SELECT domain, (sum(bad) + 20 * any_value(sm)) / (sum(n) + 20) AS dm FROM d JOIN s USING (suffix) GROUP BY domain),
-        r AS (SELECT host, n, (bad + 20 * dm) / (n + 20) AS mean FROM d JOIN m USING (domain)),
-        b AS (SELECT host, mean - 1.64 * sqrt(mean * (1 - mean) / (n + 21)) AS bound FROM r),
+        h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM (SELECT DISTINCT page_id, host FROM u WHERE host <> '') LEFT JOIN l USING (page_id) GROUP BY host),
+        e AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM h),
+        d AS (SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\[') THEN 0
+                WHEN regexp_matches(bare, '\.(ac|co|com|edu|gob|gov|go|ltd|mil|ne|net|nom|or|org|plc)\.[a-z]{2}$') THEN 2 ELSE 1 END AS k, bare, string_split(bare, '.') AS parts FROM e),
+        g AS (SELECT host, n, bad, CASE WHEN k = 0 THEN bare ELSE array_to_string(parts[-(k + 1):], '.') END AS domain, CASE WHEN k = 0 THEN bare ELSE array_to_string(parts[-k:], '.') END AS suffix FROM d),
+        gd AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM g GROUP BY ALL),
+        gs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM g GROUP BY ALL),
+        t AS (SELECT sum(bad) / sum(n) AS m FROM g),
+        s1 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.5) - 1 AS s FROM gs, t),
+        m1 AS (SELECT suffix, (bad + s * m) / (n + s) AS m FROM gs, t, s1),
+        s2 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.5) - 1 AS s FROM gd JOIN m1 USING (suffix)),
+        m2 AS (SELECT domain, (bad + s * m) / (n + s) AS m FROM gd JOIN m1 USING (suffix), s2),
+        s3 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0), 1e-4), 0.5) - 1 AS s FROM g JOIN m2 USING (domain)),
+        ab AS (SELECT host, bad + s * m AS a, n - bad + s * (1 - m) AS b FROM g JOIN m2 USING (domain), s3 WHERE m > 0 AND m < 1),
+        lo AS (SELECT *, ln(a / b) AS mid, 12 * sqrt(1 / a + 1 / b) AS reach FROM ab),
+        x AS (SELECT host, a, b, i, mid - greatest(reach, 30 / a) + (greatest(reach, 30 / b) + greatest(reach, 30 / a)) * i / 400 AS x, mid FROM lo, range(0, 401) r(i)),
+        y AS (SELECT host, i, x, exp(-a * ln(1 + exp(-x)) - b * ln(1 + exp(x)) + a * ln(1 + exp(-mid)) + b * ln(1 + exp(mid))) AS y FROM x),
+        c AS (SELECT host, i, x, lag(x) OVER w AS x0, (y + lag(y) OVER w) / 2 AS cell FROM y WINDOW w AS (PARTITION BY host ORDER BY i)),
+        z AS (SELECT *, sum(cell) OVER (PARTITION BY host ORDER BY i) AS upto, sum(cell) OVER (PARTITION BY host) AS whole FROM c WHERE i > 0),
+        b AS (SELECT host, 1 / (1 + exp(-arg_min(x0 + (x - x0) * (0.1 * whole - (upto - cell)) / cell, i))) AS bound FROM z WHERE upto >= 0.1 * whole GROUP BY host),
         k AS (SELECT u.*, bound,
                 CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -149,6 +162,6 @@ ORACLE_SQL = {
               FROM u LEFT JOIN b USING (host))
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
                CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-                    ELSE CASE WHEN bound > 0.15 THEN 'block' ELSE 'allow' END END AS verdict
+                    ELSE CASE WHEN bound > 1.25 * (SELECT m FROM t) THEN 'block' ELSE 'allow' END END AS verdict
         FROM k""",
 }
