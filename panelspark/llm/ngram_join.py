@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from panelspark.llm.common import connected_components, discard, materialize, mix64, shingle_sets
 
@@ -447,6 +448,35 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return result
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs that stand for their component, that of the smallest key; all columns. Rows of one key stay or go together; rows of null key stay.
+
+    Only rows whose key falls on a bit of a dropped one meet the dropped keys in a join, so the others' texts are not
+    shuffled; the bitmap ends at SLOTS bits, beyond which more rows take that way.
+    """
+    classes = jaccard_classes(docs, key, text, percent)
+    gone = materialize(classes.where(F.col("component_id") != F.col(key)).select(F.col(key).cast("long").alias("__gone")).distinct(), "ngram-gone")
+    slots = _slots(classes.count())
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots)).cast("long")
+    words = gone.select(slot("__gone").alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bits"))
+    marked = docs.sparkSession.sparkContext.broadcast(_bitmap(words, slots).view(np.uint8))
+
+    names = [*docs.columns, "__met"]
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            met = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(met)], names=names)
+
+    rows = docs.withColumn("__slot", F.coalesce(slot(key), F.lit(0))).mapInArrow(meets, StructType([*docs.schema.fields, StructField("__met", BooleanType())]))
+    met = F.col("__met") & F.col(key).isNotNull()
+    doubted = rows.where(met).drop("__met").withColumn("__key", F.col(key).cast("long"))
+    left = doubted.join(gone.hint("merge"), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    return rows.where(~met).drop("__met").unionByName(left)
+
+
 def _across(listed: DataFrame, ids: DataFrame, links: DataFrame, tokens_of, percent: int, done: list) -> DataFrame | None:
     """Links between components of sets that share a combination: all lists that span several components are compared, under their first set as home."""
     comps = materialize(connected_components(links, "ngram-cc1"), "ngram-comps1")

@@ -41,9 +41,9 @@ LENGTH, DECAY = 3, 0.7
 #: Longest stretch of letters that is looked at as one word; longer words are read in stretches that overlap by LAP letters.
 STRETCH, LAP = 16, 10
 #: Words remembered by a worker before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
-#: Characters of text looked at together; a longer text is looked at alone.
-CHUNK_CHARS = 1_000_000
+REMEMBERED = 250_000
+#: Characters of text looked at together, a longer text alone, and rows read together.
+CHUNK_CHARS, ROWS = 500_000, 500
 LANDMARKS, SEEDS, ROUNDS, THRESHOLD = 240, 400, 3, 0.3
 #: Margins below this are taken for this; a document is judged by its so many highest ones, repeats counted.
 FLOOR, HIGHEST = -0.4, 3
@@ -518,8 +518,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             _LOADED.clear()
             _LOADED[name] = shared.value
         mine = _LOADED[name]
-        for batch in batches:
-            made = mine.probabilities([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.float64())], names=[*keep, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # few texts at a time as strings of Python
+                batch = whole.slice(at, ROWS)
+                made = mine.probabilities([t or "" for t in batch.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.float64())], names=[*keep, out])
 
     return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, docs.select(*keep).schema.add(out, "double"))

@@ -136,3 +136,16 @@ def test_nulls_copies_long_texts_and_clashes(spark):
 def test_query_against_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op8_ngram_join(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
+
+
+def test_representatives(spark, monkeypatch):
+    rows = corpus(3)
+    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(None, rows[0][1], "y"), (rows[5][0], rows[5][1], "z")], "doc_id long, text string, __met string").withColumnRenamed("__met", "component_id")
+    want = {d for d, _, c in brute(rows) if d == c}
+    for slots in (1 << 16, 64):  # with few bits most rows meet the dropped keys
+        monkeypatch.setattr(ngram_join, "_slots", lambda n, slots=slots: slots)
+        got = ngram_join.representatives(docs)
+        assert got.columns == docs.columns
+        got = got.collect()
+        assert {r.doc_id for r in got} == want | {None} and len(got) == len(want) + 1 + (rows[5][0] in want)
+    assert ngram_join.representatives(docs.limit(0)).count() == 0
