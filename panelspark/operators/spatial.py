@@ -77,3 +77,80 @@ def parse_ring(wkt: Column) -> Column:
     body = F.split(F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1), r"\s*,\s*")
     points = F.transform(body, lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].try_cast("double").alias("y")))
     return F.slice(points, 1, F.size(points) - 1)
+
+
+def rings_of_wkt(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON text, closing points left out: array<array<struct<x,y>>>."""
+    listed = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+
+    def ring(body: Column) -> Column:
+        points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].try_cast("double").alias("y")))
+        return F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(1)))
+
+    return F.transform(listed, ring)
+
+
+def rings_of_geojson(text: Column) -> Column:
+    """All rings of a GeoJSON geometry, Polygon or MultiPolygon, closing points left out."""
+    polygon = F.from_json(text, "struct<coordinates:array<array<array<double>>>>")["coordinates"]
+    multi = F.flatten(F.from_json(text, "struct<coordinates:array<array<array<array<double>>>>>")["coordinates"])
+    rings = F.when(F.get_json_object(text, "$.type") == "MultiPolygon", multi).otherwise(polygon)
+    return F.transform(rings, lambda r: F.slice(F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))), 1, F.greatest(F.size(r) - 1, F.lit(1))))
+
+
+def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """One ring, counter-clockwise, as rings."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1)))
+
+
+def inside_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point is in a polygon by the even-odd rule: holes and several parts are rings too."""
+    return F.aggregate(rings, F.lit(False), lambda acc, r: acc != inside(x, y, r))
+
+
+def polygon_cells(layer: DataFrame, rings: str, size: float) -> DataFrame:
+    """A row for each grid cell that the polygon's bounding box touches: cx, cy."""
+    points = F.flatten(F.col(rings))
+    span = lambda axis: F.sequence(F.floor(F.array_min(F.transform(points, lambda p: p[axis])) / size), F.floor(F.array_max(F.transform(points, lambda p: p[axis])) / size))
+    return layer.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+
+
+def layer_join(points: DataFrame, layer: DataFrame, size: float) -> DataFrame:
+    """Points (pid, px, py) with every polygon (gid, rings) they lie in: an equi join on cells, then ray casting; unmatched points keep a null gid."""
+    cells = polygon_cells(layer.select("gid", "rings"), "rings", size)
+    met = in_cells(points, "px", "py", size).join(cells, ["cx", "cy"]).where(inside_rings(F.col("px"), F.col("py"), F.col("rings"))).select("pid", "gid")
+    return points.join(met, "pid", "left")
+
+
+def clipped(subject: Column, convex: Column) -> Column:
+    """The part of a ring within a convex counter-clockwise ring: each of its edges cuts off what lies to its right."""
+    after = F.concat(F.slice(convex, 2, F.size(convex)), F.slice(convex, 1, 1))
+    edges = F.zip_with(convex, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    side = lambda p, e: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
+
+    def cut(ring: Column, e: Column) -> Column:
+        before = F.concat(F.slice(ring, F.greatest(F.size(ring), F.lit(1)), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+
+        def step(p: Column, q: Column) -> Column:
+            sp, sq = side(p, e), side(q, e)
+            t = sp / (sp - sq)
+            crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            return F.when((sp >= 0) & (sq >= 0), F.array(q)).when((sp >= 0) & (sq < 0), F.array(crossing)).when((sp < 0) & (sq >= 0), F.array(crossing, q)).otherwise(F.slice(F.array(q), 1, 0))
+
+        return F.flatten(F.zip_with(before, ring, step))
+
+    return F.aggregate(edges, subject, cut)
+
+
+def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """(lid, rid, area) of polygons (lid, rings) and convex ones (rid, rings) of one ring each that overlap: an equi join on cells, each pair once, then clipping."""
+    a, b = polygon_cells(left.select("lid", F.col("rings").alias("lr")), "lr", size), polygon_cells(right.select("rid", F.col("rings").alias("rr")), "rr", size)
+    pairs = a.join(b, ["cx", "cy"]).dropDuplicates(["lid", "rid"])
+    area = pairs.withColumn("__c", clipped(F.col("lr")[0], F.col("rr")[0])).withColumn("area", F.when(F.size("__c") > 2, ring_area(F.col("__c"))).otherwise(0.0))
+    return area.where("area > 0").select("lid", "rid", "area")
+
+
+def largest_overlap(shares: DataFrame) -> DataFrame:
+    """(lid, rid): of each left polygon the right one that it shares most area with, ties to the smaller rid."""
+    return shares.groupBy("lid").agg(F.min_by("rid", F.struct(-F.round("area", 9), "rid")).alias("rid"))

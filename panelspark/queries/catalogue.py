@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("chains", "linkage", "measures", "texts")
+FAMILIES = ("chains", "linkage", "measures", "texts", "resolving", "evaluating", "layers")
 
 
 def _collect(name: str) -> dict:
