@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.common import remembered
+
 #: Pieces and token pairs that a worker remembers before it starts anew; this bounds memory, not results.
 REMEMBERED = 600_000
 #: Characters of text that are split into pieces at once; a longer text is split alone.
@@ -212,18 +214,6 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple, PrefixBPE] = {}
-
-
-def _encoder(name: str, ranks, pattern: str) -> PrefixBPE:
-    """One encoder for each worker process, so that what it remembers serves all its tasks."""
-    key = (name, pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = PrefixBPE(ranks.value, pattern)
-    return _LOADED[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs and `ids` array<int>: the tokens of the whole text, null as empty.
 
@@ -270,7 +260,8 @@ def _with_encoder(docs: DataFrame, ranks_path: str, pattern: str, text: str, mak
     names, name = [*keep, *fields], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(name, ranks, pattern)
+        # One encoder for each worker process, so that what it remembers serves all its tasks.
+        bpe = remembered(name, lambda: PrefixBPE(ranks.value, pattern))
         for batch in batches:
             made = make(bpe, ["" if t is None else t for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made.values()], names=names)

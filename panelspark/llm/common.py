@@ -32,13 +32,15 @@ _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of a single process, as in tests, gets one of its own where it is unset; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"  # one process, as in tests
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -53,6 +55,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(name: str, make):
+    """What a worker process keeps from task to task under this name; what it kept for another operator goes, so one such memory is held at a time."""
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_panelspark_path", None)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import discard, materialize
+from panelspark.llm.common import discard, materialize, remembered
 
 #: Labelled documents that the model is fitted on at most, toxic and clean ones alike by half.
 SAMPLE = 4000
@@ -505,19 +505,13 @@ def _judged(model: Model):
     return run
 
 
-_LOADED: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of docs and `out`: the probability that a text is toxic, by its words alone. Null texts are empty. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep, name = [c for c in docs.columns if c != out], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = shared.value
-        mine = _LOADED[name]
+        mine = remembered(name, lambda: shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):  # few texts at a time as strings of Python
                 batch = whole.slice(at, ROWS)

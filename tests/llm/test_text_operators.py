@@ -79,7 +79,7 @@ def added_spans(text):
     """Generators, trees, thresholds and overlaps in plain Python."""
     trees, thresholds = pii.model()
     found = []
-    for kind, pattern in pii.GENERATORS:
+    for kind, pattern, _ in pii.GENERATORS:
         matches = list(re.finditer(pattern, text))
         edges = [0, *[m.end() for m in matches]], [*[m.start() for m in matches], len(text)]
         for n, m in enumerate(matches):
