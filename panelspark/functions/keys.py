@@ -77,20 +77,31 @@ def expand_year(two: Column, hearing: Column) -> Column:
 
 
 def clean_name(x: Column) -> Column:
-    """Without honorifics and what is in parentheses, white space folded."""
+    """Without honorifics and what is in parentheses, but for a marker (M) or (F), which comes first; initials end with a point, white space is folded."""
+    marker = F.upper(F.regexp_extract(x, r"(?i)\(\s*([MF])\s*\)", 1))
     name = F.regexp_replace(x, r"\([^)]*\)", " ")
     name = F.regexp_replace(name, r"(?i)\b(?:mr|mrs|ms|dr|hon|commissioner|president|vice)\b\.?", " ")
-    return F.trim(F.regexp_replace(name, r"\s+", " "))
+    name = F.trim(F.regexp_replace(F.regexp_replace(name, r"^[\s.,;]+|[\s.,;]+$", ""), r"\s+", " "))
+    name = F.regexp_replace(name, r"\b([A-Z])\b\.?\s+", "$1. ")
+    return F.when(marker != "", F.concat(F.lit("("), marker, F.lit(") "), name)).otherwise(name)
 
 
 def surname(x: Column) -> Column:
     return F.lower(F.element_at(F.split(F.regexp_replace(clean_name(x), r"(?i),?\s+(?:jr|sr|ii|iii)\.?$", ""), " "), -1))
 
 
+#: Where an address is glossed by its place: a side of the street, neighbours, a corner, an alias.
+GLOSS = r"(?is)\s*,?\s*(?:(?:north|south|east|west)(?:erly)?\s+side\b|between\b|at\s+the\s+(?:corner|intersection)\b|on\s+the\s+(?:north|south|east|west)\b|near\s+the\b|adjacent\s+to\b|\(a\.?k\.?a\b).*$"
+
+
 def address_core(x: Column) -> Column:
-    """The address up to where its place is glossed, street words shortened."""
-    cut = F.regexp_replace(x, r"(?i)[,;]?\s*(?:-|–|located|between|at the|on the|north|south|east|west) .*$", "")
-    short = reduce(lambda a, r: F.regexp_replace(a, rf"(?i)\b{r[0]}\b\.?", r[1]), (("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("road", "rd"), ("drive", "dr"), ("court", "ct")), cut)
+    """The address up to where its place is glossed, without what ends it; street names like North Point stay whole."""
+    return F.regexp_replace(F.regexp_replace(F.trim(x), GLOSS, ""), r"[\s,;]+$", "")
+
+
+def address_key(x: Column) -> Column:
+    """The core in lower-cased letters and digits, street words shortened: what two spellings share."""
+    short = reduce(lambda a, r: F.regexp_replace(a, rf"(?i)\b{r[0]}\b\.?", r[1]), (("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("road", "rd"), ("drive", "dr"), ("court", "ct")), address_core(x))
     return F.trim(F.regexp_replace(F.lower(short), r"[^a-z0-9]+", " "))
 
 
