@@ -32,11 +32,21 @@ def cascade_join(left: DataFrame, tiers: list[tuple[str, DataFrame, list[str]]],
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, before: int, after: int, how: str = "inner") -> DataFrame:
-    """Rows of equal keys whose time lies within [at - before, at + after] days."""
-    near = F.datediff(right[time], left[at]).between(-before, after)
-    keys = [left[k] == right[k] for k in on]
-    joined = left.join(right, reduce(lambda a, b: a & b, [*keys, near]), how)
-    return joined if how in ("left_semi", "left_anti") else reduce(lambda d, k: d.drop(right[k]), on, joined)
+    """Rows of equal keys whose time lies within [at - before, at + after] days.
+
+    Time falls into buckets as wide as the window, which join the key: rows of a busy key meet those near in time alone. A
+    left row is in one bucket; a right one goes to the one or two where it may be looked for.
+    """
+    width = before + after + 1
+    bucket = lambda day: F.floor(day / F.lit(width))
+    l = left.withColumn("__bucket", bucket(F.unix_date(F.to_date(at))))
+    low, high = bucket(F.unix_date(F.to_date(time)) - after), bucket(F.unix_date(F.to_date(time)) + before)
+    r = right.withColumn("__bucket", F.explode(F.array_distinct(F.array(low, high))))
+    near = F.datediff(r[time], l[at]).between(-before, after)
+    joined = l.join(r, reduce(lambda a, b: a & b, [*[l[k] == r[k] for k in (*on, "__bucket")], near]), how)
+    if how in ("left_semi", "left_anti"):
+        return joined.drop("__bucket")
+    return reduce(lambda d, k: d.drop(r[k]), on, joined).drop("__bucket")
 
 
 def nearest_k(pairs: DataFrame, key: list[str], gap: Column, ties: list[str], k: int = 1) -> DataFrame:
@@ -45,22 +55,30 @@ def nearest_k(pairs: DataFrame, key: list[str], gap: Column, ties: list[str], k:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, value: Column) -> DataFrame:
+    """Rows of both sides under one clock: keys, __t, __left (the left row, else null), __right (struct of the right value, else null)."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns])
+    l = left.select(*on, F.col(at).alias("__t"), row.alias("__left"))
+    r = right.select(*on, F.col(time).alias("__t"), F.struct(value.alias("v")).alias("__right"))
+    named = reduce(lambda d, k: d.where(F.col(k).isNotNull()), on, r)
+    return l.unionByName(named, allowMissingColumns=True)
+
+
 def next_event(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str) -> DataFrame:
-    """left with `next`, the first time of right on or after `at`, and `last`, the latest of all its times."""
-    keys = reduce(lambda a, b: a & b, [left[k] == right[k] for k in on])
-    joined = left.join(right.select(*on, F.col(time).alias("__time")), keys, "left")
-    joined = reduce(lambda d, k: d.drop(right[k]), on, joined)
-    return joined.groupBy(*left.columns).agg(F.min(F.when(F.col("__time") >= F.col(at), F.col("__time"))).alias("next"), F.max("__time").alias("last"))
+    """left with `next`, the first time of right on or after `at`, and `last`, the latest of all its times. One sort of both sides by key and time: no pairs of rows are made."""
+    both = _merged(left, right.where(F.col(time).isNotNull()), on, at, time, F.col(time))
+    key = W.partitionBy(*on)
+    ahead = key.orderBy(F.asc_nulls_first("__t"), F.col("__left").isNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
+    out = both.withColumn("next", F.when(F.col("__t").isNotNull(), F.min("__right.v").over(ahead))).withColumn("last", F.max("__right.v").over(key))
+    return out.where("__left is not null").select("__left.*", "next", "last")
 
 
 def latest_before(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, value: str) -> DataFrame:
-    """left with the value of right's latest row of time at most `at`; a null time counts as earliest."""
-    keys = reduce(lambda a, b: a & b, [left[k] == right[k] for k in on])
-    joined = left.join(right, keys, "left")
-    joined = reduce(lambda d, k: d.drop(right[k]), on, joined)
-    fits = F.col(time).isNull() | (F.col(time) <= F.col(at))
-    order = F.when(fits, F.struct(F.col(time).isNotNull(), F.col(time), F.col(value)))
-    return joined.groupBy(*left.columns).agg(F.max_by(F.col(value), order).alias(value))
+    """left with the value of right's latest row of time at most `at`, the largest of ties; a null time counts as earliest. One sort of both sides by key and time."""
+    both = _merged(left, right, on, at, time, F.col(value))
+    so_far = W.partitionBy(*on).orderBy(F.asc_nulls_first("__t"), F.col("__left").isNotNull(), F.asc_nulls_first("__right")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = both.withColumn("__seen", F.last("__right", ignorenulls=True).over(so_far))
+    return out.where("__left is not null").select("__left.*", F.col("__seen.v").alias(value))
 
 
 def clamp(year: Column, low: Column | int, high: Column | int) -> Column:

@@ -56,13 +56,3 @@ def candidates_of(blocks: Column, lots: Column) -> Column:
 def any_within(value: Column, others: list[Column], tolerance: float) -> Column:
     """Whether one of the other values, nulls aside, is within the tolerance."""
     return F.exists(F.array_compact(F.array(*others)), lambda o: F.abs(o - value) <= tolerance)
-
-
-def as_of(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, value: str, out: str, ties: list[str]) -> DataFrame:
-    """left with `out`: the value of right's last row of the key at or before `at`. One sort of both sides by key and time, no pair of rows ever meets."""
-    cells = lambda d, t, v, side: d.select(*on, F.col(t).alias("__t"), F.lit(side).alias("__s"), v.alias("__v"), F.struct(*[F.col(c) for c in left.columns if c not in on] if side else [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in on]).alias("__row"), F.struct(*([F.lit(None).cast(right.schema[c].dataType).alias(c) for c in ties] if side else [F.col(c) for c in ties])).alias("__k"))
-    kind = right.schema[value].dataType
-    both = cells(right, time, F.struct(F.col(value).alias("v")), 0).unionByName(cells(left, at, F.lit(None).cast(right.select(F.struct(F.col(value).alias("v")).alias("x")).schema["x"].dataType), 1))
-    seen = F.last("__v", ignorenulls=True).over(W.partitionBy(*on).orderBy("__t", "__s", "__k").rowsBetween(W.unboundedPreceding, W.currentRow))
-    done = both.withColumn("__seen", seen).where("__s = 1")
-    return done.select(*[F.col(c) if c in on else F.col(f"__row.{c}").alias(c) for c in left.columns], F.col("__seen.v").cast(kind).alias(out))

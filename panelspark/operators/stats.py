@@ -11,8 +11,12 @@ QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 def distribution(x: Column, quantiles: tuple = QUANTILES) -> list[Column]:
     """n, mean, sd, exact quantiles by linear interpolation, spread of logs and the number of negative values."""
-    cuts = [F.percentile(x, q).alias(f"p{q * 100:g}") for q in quantiles]
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *cuts, (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), (F.stddev_samp(x) / F.avg(x)).alias("cv"), F.stddev_samp(F.when(x > 0, F.ln(x))).alias("sd_log"), F.count_if(x < 0).alias("n_negative")]
+    # One state for all quantiles of a group: Spark keeps equal aggregates once.
+    every = sorted({*quantiles, 0.25, 0.75})
+    at = F.percentile(x, F.array(*[F.lit(float(q)) for q in every]))
+    cut = {q: at[i] for i, q in enumerate(every)}
+    cuts = [cut[q].alias(f"p{q * 100:g}") for q in quantiles]
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *cuts, (cut[0.75] - cut[0.25]).alias("iqr"), (F.stddev_samp(x) / F.nullif(F.avg(x), F.lit(0.0))).alias("cv"), F.stddev_samp(F.when(x > 0, F.ln(x))).alias("sd_log"), F.count_if(x < 0).alias("n_negative")]
 
 
 def weighted(x: Column, w: Column) -> tuple[Column, Column]:
@@ -74,7 +78,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return d.join(at.drop("__k"), c)
 
     both = ranks(ranks(df.where(f"{x} is not null and {y} is not null").select(x, y), x), y)
-    return both.agg(F.corr(f"__r_{x}", f"__r_{y}").alias("spearman"), F.corr(x, y).alias("pearson"))
+    # Null, not an error, where a column is constant.
+    linear = lambda a, b: F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return both.agg(linear(f"__r_{x}", f"__r_{y}").alias("spearman"), linear(x, y).alias("pearson"))
 
 
 def inventory(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -239,7 +239,7 @@ ORACLE_SQL = {
         WITH f AS (SELECT l_orderkey, bool_or(p_retailprice > 1500) AS hit, bool_or(p_retailprice > 1500 AND p_size > 25) AS large FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
         SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE large) AS n_large FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
     "two_hop_bridge": """
-        WITH u AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 = 3),
+        WITH u AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT'),
         v AS (SELECT o_orderkey, o_orderkey AS via FROM u UNION SELECT u.o_orderkey, o.o_orderkey FROM u JOIN orders o ON o.o_custkey = u.o_custkey AND o.o_orderdate::DATE = u.day)
         SELECT o_orderkey, count(DISTINCT l_suppkey) AS n_suppliers, min(l_suppkey) AS first_supplier FROM v JOIN lineitem ON l_orderkey = via GROUP BY 1""",
     "tier_links": f"""

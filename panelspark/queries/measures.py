@@ -356,7 +356,7 @@ ORACLE_SQL = {
         SELECT user_id % 2 = 0 AS even, x IS NOT NULL AS had_error, count(*) AS n, avg(date_diff('day', s, e) - lag) AS mean_rest, median(date_diff('day', s, e) - lag) AS median_rest FROM g WHERE date_diff('day', s, e) >= lag GROUP BY ALL""",
     "linkage_rule_scores": """
         WITH s AS (SELECT o_custkey, count(*) FILTER (WHERE l_discount >= 0.08 AND l_quantity >= 35) AS b, count(*) FILTER (WHERE l_discount >= 0.08) AS t, count(*) FILTER (WHERE l_quantity >= 35) AS p
-                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 1 GROUP BY 1 HAVING t > 0)
+                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING t > 0)
         SELECT avg(b / p) FILTER (WHERE p > 0) AS precision, avg(b / t) AS recall, avg((p > 0)::INT) AS coverage, median(p) AS median_size FROM s""",
     "field_accuracy_vs_over_extraction": """
         WITH l AS (SELECT lang, 'quality' AS field, quality AS g, (n_chars > 800)::INT AS p FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, 'toxic', toxic, (source < 'src3')::INT FROM labels JOIN documents USING (doc_id))

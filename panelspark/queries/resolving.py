@@ -197,8 +197,8 @@ def columns_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partitions_and_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts kept for training by an arithmetic split, in nested prefixes of 10, 20 and 40 that take one of each type in turn: classes of each prefix."""
-    p = table(spark, d, "part").where("p_partkey % 10 < 8").select("p_partkey", "p_type", (F.pmod(F.col("p_partkey") * 7919, F.lit(10007))).alias("k"))
+    """Parts in an arithmetic order, in nested prefixes of 10, 20 and 40 that take one of each type in turn: classes of each prefix."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", (F.pmod(F.col("p_partkey") * 7919, F.lit(10007))).alias("k"))
     nested = E.nested_prefixes(p, "p_type", ["k", "p_partkey"], [10, 20, 40])
     return nested.groupBy("size", "p_type").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("parts"))
 
@@ -333,7 +333,7 @@ ORACLE_SQL = {
         SELECT 'l_quantity' AS column, count(l_quantity) AS n, avg(l_quantity) AS mean FROM lineitem UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), avg(l_extendedprice) FROM lineitem
         UNION ALL SELECT 'l_discount', count(l_discount), avg(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax), avg(l_tax) FROM lineitem""",
     "partitions_and_prefixes": """
-        WITH p AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey * 7919 % 10007, p_partkey) AS t FROM part WHERE p_partkey % 10 < 8), o AS (SELECT *, row_number() OVER (ORDER BY t, p_type) AS place FROM p)
+        WITH p AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey * 7919 % 10007, p_partkey) AS t FROM part), o AS (SELECT *, row_number() OVER (ORDER BY t, p_type) AS place FROM p)
         SELECT s::INT AS size, p_type, count(*) AS n, sum(p_partkey)::BIGINT AS parts FROM o, (VALUES (10), (20), (40)) v(s) WHERE place <= s GROUP BY ALL""",
     "label_deficits": """
         WITH h AS (SELECT source, count(*) AS have FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)

@@ -166,8 +166,11 @@ ORACLE_SQL = {
                '20' || lpad((p_partkey % 20)::VARCHAR, 2, '0') || '-' || lpad(p_partkey::VARCHAR, 6, '0') || 'CUA' AS case_no, '20' || lpad((p_partkey % 20)::VARCHAR, 2, '0') || '-' || p_partkey AS stem,
                strftime(make_date(1998, (p_partkey % 12 + 1)::INT, (p_partkey % 28 + 1)::INT), '%Y-%m-%d') AS day, regexp_replace(p_brand, '[^0-9]+', '', 'g') AS brand_digits FROM part""",
     "template_frequency": r"""
-        WITH m AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[0-9][0-9,.]*|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|twelve)\b', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS m FROM documents)
-        SELECT substr(m, 1, 40) AS template, count(*) AS n, min(doc_id) AS first_doc FROM m WHERE m <> '' GROUP BY 1 ORDER BY n DESC, template LIMIT 10""",
+        WITH m AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[0-9][0-9,./:-]*|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|twelve|eighteen|twenty|thirty|forty|sixty)\b', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS m FROM documents)
+        SELECT substr(m, 1, 200) AS template, count(*) AS n, min(doc_id) AS first_doc FROM m WHERE m <> '' GROUP BY 1 ORDER BY n DESC, template LIMIT 10""",
+    "evidence_check": r"""
+        WITH f AS (SELECT lang, text IS NULL AS missing, trim(regexp_replace(translate(substr(text, 20, 30), '‘’“”–— ', '''""-- '), '\s+', ' ', 'g')) AS q, trim(regexp_replace(translate(text, '‘’“”–— ', '''""-- '), '\s+', ' ', 'g')) AS t FROM documents)
+        SELECT lang, CASE WHEN coalesce(q, '') = '' THEN 'blank' WHEN missing THEN 'no_source' WHEN contains(t, q) THEN 'found' ELSE 'not_found' END AS status, count(*) AS n FROM f GROUP BY ALL""",
     "jaccard_topk": """
         WITH w AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
         p AS (SELECT a.item_id, b.item_id AS other, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.item_id <> b.item_id GROUP BY ALL),

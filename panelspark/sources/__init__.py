@@ -78,9 +78,9 @@ def links(html: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of both by key, those of `new` first; columns that one lacks are null."""
+    """Rows of both by key, those of `new` first; columns that one lacks are null. Of several rows of a side the least in all columns stays."""
     both = old.withColumn("__turn", F.lit(1)).unionByName(new.withColumn("__turn", F.lit(0)), allowMissingColumns=True)
-    return both.withColumn("__rank", F.row_number().over(W.partitionBy(*key).orderBy("__turn"))).where("__rank = 1").drop("__turn", "__rank")
+    return both.withColumn("__rank", F.row_number().over(W.partitionBy(*key).orderBy("__turn", *sorted(c for c in both.columns if c != "__turn")))).where("__rank = 1").drop("__turn", "__rank")
 
 
 def write_forms(df: DataFrame, path: str, form: str, chunk: str) -> None:
