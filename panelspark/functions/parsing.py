@@ -25,8 +25,9 @@ def permit_numbers(text: Column) -> Column:
     """array<struct<number, form>>: every permit number as digits with the printed form that claims it first."""
     text = F.coalesce(text, F.lit(""))
     found = []
+    claim = lambda name: lambda m: F.struct(F.regexp_replace(m, r"\D+", "").alias("number"), F.lit(name).alias("form"))
     for name, rx in PERMIT_FORMS:
-        found.append(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), lambda m, n=name: F.struct(F.regexp_replace(m, r"\D+", "").alias("number"), F.lit(n).alias("form"))))
+        found.append(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), claim(name)))
     # Every bare number with what stands before it; a number too near to the one before shares its run-up through the lookbehind of words.
     bare = F.regexp_extract_all(text, F.lit(BARE), F.lit(0))
     near = lambda m: F.regexp_extract(m, r"(?s)^(.*)\bNos?\.?\s*\d{7,9}$", 1)
@@ -114,7 +115,7 @@ def fee_lines(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
 
 def split_items(df: DataFrame, key: str, text: str, start: str = r"\n(?=\d{1,2}\. )") -> DataFrame:
     """(key, item, body): the text cut before lines that begin an item; what stands before the first one is item 0."""
-    return df.select(key, F.posexplode(F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), start)).alias("item", "body")).withColumn("body", F.trim("body")).where("body <> ''")
+    return df.select(key, F.posexplode(F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), start)).alias("item", "body")).withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
 
 
 def renumbering(df: DataFrame, text: str, rx: str = r"[Ss]ection (\d+(?:\.\d+)*) \(formerly (?:[Ss]ection )?(\d+(?:\.\d+)*)\)") -> DataFrame:
