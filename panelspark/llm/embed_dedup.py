@@ -2,7 +2,8 @@
 
 Unit vectors are turned so that the leading coordinates hold most of the variance. Two unit vectors of cosine t lie within
 sqrt(2 - 2t) of each other, so each pair that links lies in the same or neighbouring cells of a grid of that width over
-the two leading coordinates. A cell is compared in tiles of bounded size. A tile pair adds up products of the leading
+the three leading coordinates; a vector goes to its own cell and to those of half of the neighbours that it is that near
+to. Vectors of one label and length meet alone. A cell is compared in tiles of bounded size. A tile pair adds up products of the leading
 coordinates block by block, bounds the rest by the norms of what is left, and drops every pair that cannot reach the
 threshold; it stops when none is left. Survivors are measured on the original vectors.
 
@@ -12,6 +13,7 @@ links themselves.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,49 +54,66 @@ def normalised(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+def lengths_of(column: pa.Array) -> list[int]:
+    """The different lengths of a column's vectors, 0 aside."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    found = np.unique(np.diff(column.offsets.to_numpy())[np.array(column.is_valid())])
+    return found[found > 0].tolist()
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of products of coordinates over the partition, as rows (cell, value)."""
-    total = None
+    """Sums of products of coordinates over the partition, as rows (width, cell, value), for each length of vectors."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        _, rows = unit_rows(batch.column(0))
-        if len(rows):
+        for width in lengths_of(batch.column(0)):
+            _, rows = unit_rows(batch.column(0), width)
             u = normalised(rows)
-            part = (u.T @ u).ravel()
-            total = part if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "value"])
+            total[width] = total.get(width, 0) + (u.T @ u).ravel()
+    for width, sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), width)), pa.array(np.arange(len(sums))), pa.array(sums)], names=["width", "cell", "value"])
+
+
+def principal_axes(df: DataFrame, vector: str) -> dict[int, np.ndarray]:
+    """For each length of vectors, columns: directions of the most variance first. What reaches the driver is one number for each pair of coordinates of a length."""
+    sums = df.select(vector).mapInArrow(_moments, "width long, cell long, value double").groupBy("width", "cell").agg(F.sum("value").alias("value")).toArrow()
+    width, cell, value = (sums.column(c).to_numpy() for c in ("width", "cell", "value"))
+    axes = {}
+    for w in np.unique(width).tolist():
+        moments = np.zeros(w * w)
+        moments[cell[width == w]] = value[width == w]
+        axes[w] = np.linalg.eigh(moments.reshape(w, w))[1][:, ::-1]
+    return axes
 
 
-def principal_axes(df: DataFrame, vector: str) -> np.ndarray:
-    """Columns: directions of the most variance first. What reaches the driver is one number for each pair of coordinates."""
-    sums = df.select(vector).mapInArrow(_moments, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    if not sums:
-        return np.zeros((0, 0))
-    width = round(len(sums) ** 0.5)
-    if width * width != len(sums):
-        raise ValueError("vectors of several lengths")
-    moments = np.zeros(width * width)
-    for r in sums:
-        moments[r.cell] = r.value
-    return np.linalg.eigh(moments.reshape(width, width))[1][:, ::-1]
+#: Leading coordinates that make the grid.
+DIMENSIONS = 3
+#: Half of the neighbours of a cell: each pair of cells once.
+NEAR = [c for c in itertools.product((-1, 0, 1), repeat=DIMENSIONS) if c > (0,) * DIMENSIONS]
 
 
-def _place(axes: np.ndarray, width: float, keep_batch: bool = False):
-    """(group, id, weight, vector) -> a row for its own cell and one for each cell it must be compared with, home first."""
+def _place(axes: dict[int, np.ndarray], width: float):
+    """(group, id, weight, vector) -> a row for its own cell, named by the vectors' length and place, and one for each cell it must be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = unit_rows(batch.column(3))
-            if not len(at):
-                continue
-            turned = normalised(rows) @ axes[:, :2]
-            cell = np.floor(turned / width).astype(np.int64)
-            take = batch.take(pa.array(at))
-            for home, dx, dy in ((True, 0, 0), (False, 1, 0), (False, -1, 1), (False, 0, 1), (False, 1, 1)):
-                x, y = cell[:, 0] + dx, cell[:, 1] + dy if cell.shape[1] > 1 else np.zeros(len(cell), np.int64) + dy
-                if not home and cell.shape[1] == 1 and dy:
+            for size in lengths_of(batch.column(3)):
+                at, rows = unit_rows(batch.column(3), size)
+                if not len(at):
                     continue
-                yield pa.RecordBatch.from_arrays([*take.columns[:3], pa.array(x), pa.array(y), pa.array(np.full(len(x), home)), take.column(3)], names=["grp", "id", "weight", "x", "y", "home", "vector"])
+                turned = np.zeros((len(at), DIMENSIONS))
+                led = normalised(rows) @ axes[size][:, :DIMENSIONS]
+                turned[:, : led.shape[1]] = led
+                cell = np.floor(turned / width).astype(np.int64)
+                take = batch.take(pa.array(at))
+                # Only neighbours that a vector is near enough to: within the width of the border that they share.
+                inner = turned / width - cell
+                for step in ((0,) * DIMENSIONS, *NEAR):
+                    gap = np.where(np.array(step) > 0, 1 - inner, np.where(np.array(step) < 0, inner, 0))
+                    near = np.flatnonzero((gap * gap).sum(1) <= 1 + 1e-9)
+                    x = cell[near] + np.array(step)
+                    name = x @ (np.int64(1) << np.arange(0, 20 * DIMENSIONS, 20))
+                    some = take.take(pa.array(near))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.full(len(near), size, np.int32)), pa.array(name), pa.array(np.full(len(near), not any(step))), some.column(3)], names=["grp", "id", "weight", "size", "cell", "home", "vector"])
 
     return run
 
@@ -138,7 +157,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(axes: np.ndarray, threshold: float):
+def _compare(axes: dict[int, np.ndarray], threshold: float):
     """A tile pair -> rows (0, id, n) links of a vector and (1, id, other) edges of a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -147,7 +166,7 @@ def _compare(axes: np.ndarray, threshold: float):
         same = bool(table.column("same")[0].as_py())
         ids, weights = table.column("id").to_numpy(), table.column("weight").to_numpy()
         _, rows = unit_rows(table.column("vector"))
-        turned = normalised(rows) @ axes
+        turned = normalised(rows) @ axes[rows.shape[1]]
         a = np.flatnonzero(side)
         b = a if same else np.flatnonzero(~side)
         i, j = [], []
@@ -175,20 +194,20 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     Rows link when their groups are equal and not null and their cosine, in double precision, is at least the threshold.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of null key or group, link with
     nothing. Repeated rows of one key are rows of their own that link with each other; ties go to the smallest key.
-    Vectors of different lengths are an error. Other columns play no part. An empty table gives an empty result.
+    Vectors of different lengths do not link. Other columns play no part. An empty table gives an empty result.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), F.col(vector).alias("vector"))
     valid = rows.where("id is not null and grp is not null and vector is not null")
     axes = principal_axes(valid, "vector")
-    if not axes.size:
+    if not axes:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), (F.col("id") == F.col("id")).alias("kept"))
     heads = materialize(valid.groupBy("grp", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "embed-heads")
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     kind = df.schema[group].dataType.simpleString()
-    placed = materialize(heads.select("grp", "id", "weight", "vector").mapInArrow(_place(axes, width), f"grp {kind}, id long, weight long, x long, y long, home boolean, vector {df.schema[vector].dataType.simpleString()}"), "embed-placed")
-    sizes = placed.groupBy("grp", "x", "y").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).where("homes > 0 and homes + guests > 1")
-    tiles = sizes.select("grp", "x", "y", F.ceil(F.col("homes") / TILE).cast("int").alias("th"), F.ceil(F.col("guests") / TILE).cast("int").alias("tg"))
-    dealt = placed.join(tiles, ["grp", "x", "y"]).withColumn("tile", F.when(F.col("home"), F.pmod(F.xxhash64("id"), "th")).otherwise(F.pmod(F.xxhash64("id"), "tg")).cast("int"))
+    placed = materialize(heads.select("grp", "id", "weight", "vector").mapInArrow(_place(axes, width), f"grp {kind}, id long, weight long, size int, cell long, home boolean, vector {df.schema[vector].dataType.simpleString()}"), "embed-placed")
+    sizes = placed.groupBy("grp", "size", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).where("homes > 0 and homes + guests > 1")
+    tiles = sizes.select("grp", "size", "cell", F.ceil(F.col("homes") / TILE).cast("int").alias("th"), F.ceil(F.col("guests") / TILE).cast("int").alias("tg"))
+    dealt = placed.join(tiles, ["grp", "size", "cell"]).withColumn("tile", F.when(F.col("home"), F.pmod(F.xxhash64("id"), "th")).otherwise(F.pmod(F.xxhash64("id"), "tg")).cast("int"))
     # A home tile meets itself and every later home tile, and every guest tile of its cell.
     as_left = F.concat(
         F.transform(F.sequence(F.col("tile"), F.col("th") - 1), lambda t: F.struct(F.col("tile").alias("i"), t.alias("j"), F.lit(False).alias("guest"), F.lit(True).alias("left"))),
@@ -196,9 +215,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     )
     as_right = F.when(F.col("tile") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("tile") - 1, F.lit(0))), lambda t: F.struct(t.alias("i"), F.col("tile").alias("j"), F.lit(False).alias("guest"), F.lit(False).alias("left")))).otherwise(F.expr("array()"))
     as_guest = F.transform(F.sequence(F.lit(0), F.col("th") - 1), lambda t: F.struct(t.alias("i"), F.col("tile").alias("j"), F.lit(True).alias("guest"), F.lit(False).alias("left")))
-    blocks = dealt.select("grp", "x", "y", "id", "weight", "vector", F.explode(F.when(F.col("home"), F.concat(as_left, as_right)).otherwise(as_guest)).alias("at"))
-    blocks = blocks.select("grp", "x", "y", "at.*", "id", "weight", "vector").withColumn("same", F.expr("not guest and i = j"))
-    found = materialize(blocks.groupBy("grp", "x", "y", "i", "j", "guest").applyInArrow(_compare(axes, threshold), "kind int, a long, b long"), "embed-links")
+    blocks = dealt.select("grp", "size", "cell", "id", "weight", "vector", F.explode(F.when(F.col("home"), F.concat(as_left, as_right)).otherwise(as_guest)).alias("at"))
+    blocks = blocks.select("grp", "size", "cell", "at.*", "id", "weight", "vector").withColumn("same", F.expr("not guest and i = j"))
+    found = materialize(blocks.groupBy("grp", "size", "cell", "i", "j", "guest").applyInArrow(_compare(axes, threshold), "kind int, a long, b long"), "embed-links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("head")).agg(F.sum("b").alias("others"))
     comps = connected_components(found.where("kind = 1").select("a", "b"), "embed-cc")
     classes = heads.join(counts, heads["id"] == counts["head"], "left").join(comps, heads["id"] == comps["node"], "left")

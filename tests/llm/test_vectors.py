@@ -45,6 +45,16 @@ def test_dedup_against_all_pairs(spark, tile, monkeypatch):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(9)
+    long, short = r.normal(size=(20, 8)), r.normal(size=4)
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(long)] + [(20 + i, (short + 0.01 * r.normal(size=4)).astype(np.float32).tolist(), 1) for i in range(4)]
+    rows += [(30, [1.0], 1), (31, [2.0], 1), (32, [-1.0], 1), (33, [1.0, 0.0], 1), (34, [1.0, 0.05], 1)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3), threshold=0.98)
+    found = {x.vec_id: (x.n_links, x.component_id) for x in got.collect()}
+    assert all(found[i] == (3, 20) for i in range(20, 24)) and found[30] == found[31] == (1, 30) and found[32] == (0, 32) and found[33] == found[34] == (1, 33)
+
+
 def test_suffix_bounds_lose_nothing():
     r = np.random.default_rng(3)
     a, b = (embed_dedup.normalised(r.normal(size=(60, 40))) for _ in range(2))
