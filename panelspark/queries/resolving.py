@@ -242,8 +242,8 @@ def runs_with_counts(spark: SparkSession, d: str) -> DataFrame:
 def searched_queue(spark: SparkSession, d: str) -> DataFrame:
     """A filtered list: parts whose name or type has a word, by priority of brand and price, the first 25."""
     p = table(spark, d, "part")
-    hit = F.lower("p_name").contains("1") & (F.col("p_size") >= 10)
-    return p.where(hit).orderBy(F.desc(F.col("p_brand") == "Brand#1"), F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_brand", "p_retailprice")
+    hit = F.lower("p_name").contains("widget") & (F.col("p_size") >= 10)
+    return p.where(hit).orderBy(F.desc(F.col("p_brand") == "Brand#5"), F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_brand", "p_retailprice")
 
 
 def upsert_balances(spark: SparkSession, d: str) -> DataFrame:
@@ -348,7 +348,7 @@ ORACLE_SQL = {
         SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_nations, (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = r_regionkey) AS n_customers,
                (SELECT count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = r_regionkey) AS n_suppliers FROM region""",
     "searched_queue": """
-        SELECT p_partkey, p_brand, p_retailprice FROM part WHERE lower(p_name) LIKE '%1%' AND p_size >= 10 ORDER BY (p_brand = 'Brand#1') DESC, p_retailprice DESC, p_partkey LIMIT 25""",
+        SELECT p_partkey, p_brand, p_retailprice FROM part WHERE lower(p_name) LIKE '%widget%' AND p_size >= 10 ORDER BY (p_brand = 'Brand#5') DESC, p_retailprice DESC, p_partkey LIMIT 25""",
     "upsert_balances": """
         WITH n AS (SELECT o_custkey, arg_max(o_totalprice, epoch(o_orderdate) * 10000000 + o_orderkey) AS x FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
         SELECT c_nationkey, count(x) AS n_replaced, sum(coalesce(x, c_acctbal)) AS total FROM customer LEFT JOIN n ON o_custkey = c_custkey GROUP BY 1""",
