@@ -4,7 +4,8 @@ A bounded sample is split in two again and again, the largest part first, until
 are the centroids of the posting lists. Every vector goes to its nearest centroid and, near a border, to every further
 centroid that is almost as near. A query finds centroids in a graph of neighbouring centroids held in memory, best first,
 and reads the lists whose distance is at most a ratio times the nearest one's. The ratio is the smallest that reaches the
-recall asked for on the sample itself.
+recall asked for: a fixed number of trial queries is compared with every row, in blocks, and the lists of what is truly
+nearest tell which ratio finds it. If none does, that is an error.
 
 Inner products become distances by one more coordinate, which brings every vector to the largest norm; a query has 0 there.
 Lists are laid out in shards of even size, long lists over several of them.
@@ -31,8 +32,10 @@ SAMPLE, SAMPLE_LIST = 8192, 48
 COPIES, BORDER_RATIO = 3, 1.08
 #: Neighbours of a centroid in the graph; rows of a shard and of a list's part, about.
 DEGREE, SHARD_ROWS, PART_ROWS = 24, 8000, 4000
+#: Rows compared with each other at once.
+BLOCK = 1024
 #: Ratios tried for the search, and queries of the sample that they are tried on.
-RATIOS, TRIALS = (1.02, 1.05, 1.08, 1.11, 1.15, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 3.0), 256
+RATIOS, TRIALS = (1.02, 1.04, 1.06, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 3.0, 10.0), 128
 
 
 @dataclass
@@ -105,38 +108,66 @@ def _split(rows: np.ndarray, most: int) -> list[np.ndarray]:
     return parts
 
 
-def learn_lists(sample: np.ndarray, norm: float, recall: float, k: int) -> Lists:
-    """Centroids, graph and ratio from the sample."""
+def learn_lists(sample: np.ndarray, norm: float) -> Lists:
+    """Centroids and their graph from the sample."""
     lists = Lists(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 0), np.int64), norm)
     lifted = lists.lifted(sample)
     centroids = np.array([lifted[p].mean(0) for p in _split(lifted, SAMPLE_LIST)])
     for _ in range(3):  # even parts, rounded off to their neighbourhoods
         lists.centroids = centroids
-        home = lists.distances(lifted).argmin(1)
+        home = np.concatenate([lists.distances(lifted[lo : lo + BLOCK]).argmin(1) for lo in range(0, len(lifted), BLOCK)])
         for c in np.unique(home):
             centroids[c] = lifted[home == c].mean(0)
-    apart = ((centroids[:, None] - centroids[None]) ** 2).sum(2) if len(centroids) <= 2048 else None
-    near = np.argsort(apart, 1, kind="stable")[:, 1 : DEGREE + 1]
+    near = []
+    for lo in range(0, len(centroids), BLOCK):
+        apart = lists.distances(centroids[lo : lo + BLOCK])
+        apart[np.arange(len(apart)), lo + np.arange(len(apart))] = -1
+        near.append(np.argsort(apart, 1, kind="stable")[:, 1 : DEGREE + 1])
     ring = np.stack([(np.arange(len(centroids)) + 1) % len(centroids), (np.arange(len(centroids)) - 1) % len(centroids)], 1)
-    lists = Lists(centroids, np.concatenate([near, ring], 1), norm)
+    lists = Lists(centroids, np.concatenate([np.concatenate(near), ring], 1), norm)
     queries = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
     lists.usual = float(np.median(lists.distances(np.c_[queries, np.zeros(len(queries))]).min(1)))
-    scores = queries @ sample.T
-    k = min(k, len(sample))
-    true = [set(np.argsort(-s, kind="stable")[:k].tolist()) for s in scores]
-    holds = [np.zeros(len(centroids), bool) for _ in sample]
-    for mask, home in zip(holds, lists.homes(sample), strict=True):
-        mask[home] = True
-    holds = np.array(holds)
+    return lists
+
+
+def _truly_nearest(ids: np.ndarray, queries: np.ndarray, k: int, width: int):
+    """(vec_id, vector) -> (query, vec_id, score, vector): for each trial query the k nearest of a partition, its own row aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, width))) for _ in ids]
+        for batch in batches:
+            at, rows = unit_rows(batch.column(1), width)
+            names = batch.column(0).to_numpy()[at]
+            for lo in range(0, len(at), BLOCK):
+                scores = queries @ rows[lo : lo + BLOCK].T
+                for q, row in enumerate(scores):
+                    row[names[lo : lo + BLOCK] == ids[q]] = -np.inf
+                    top = np.argpartition(-row, min(k, len(row)) - 1)[:k]
+                    top = top[np.isfinite(row[top])]
+                    score, name, vector = (np.concatenate([a, b]) for a, b in zip(best[q], (row[top], names[lo + top], rows[lo + top]), strict=True))
+                    order = np.lexsort((name, -score))[:k]
+                    best[q] = score[order], name[order], vector[order]
+        n = [len(b[0]) for b in best]
+        if sum(n):
+            vectors = np.concatenate([b[2] for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(list(vectors), pa.list_(pa.float64()))], names=["query", "vec_id", "score", "vector"])
+
+    return run
+
+
+def ratio_for(lists: Lists, queries: np.ndarray, true: list[np.ndarray], recall: float) -> float:
+    """The smallest ratio at which the lists read hold so large a share of what is truly nearest to the queries."""
+    homes = [lists.homes(t) if len(t) else [] for t in true]
+    wanted = sum(map(len, true))
     for ratio in RATIOS:
-        lists.ratio = ratio
         hit = 0
-        for q, t in zip(queries, true, strict=True):
-            reached = holds[:, lists.probe(q)].any(1)
-            hit += sum(reached[x] for x in t)
-        if hit >= recall * k * len(queries):
-            break
-    return lists
+        for q, home in zip(queries, homes, strict=True):
+            read = np.zeros(len(lists.centroids), bool)
+            read[lists.probe(q, ratio)] = True
+            hit += sum(bool(read[h].any()) for h in home)
+        if hit >= recall * wanted:
+            return ratio
+    raise ValueError(f"no ratio reaches a recall of {recall}")
 
 
 def _search(k: int, width: int):
@@ -182,26 +213,34 @@ def _search(k: int, width: int):
     return run
 
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = 0.97, sample_rows: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, sample_rows: int = SAMPLE) -> DataFrame:
     """The k rows of largest inner product found for every query, a row whose key is divisible by `every`: query_id, rank, vec_id, score.
 
     All rows but the query's own are candidates; ties go to the smaller key. Vectors that are null, empty, zero or hold
     null or non-finite components, rows of null key, and vectors of another length than most of the sample take no part.
     Repeated rows of one key count once. Fewer candidates than k are all returned if their lists are read. The index is
-    learned from at most `sample_rows` rows, taken in the order of a hash of their key; every row is indexed.
+    learned from at most `sample_rows` rows, taken in the order of a hash of their key; every row is indexed. TRIALS of these
+    rows are compared with all rows, so that `recall` is that of the whole table as far as they tell.
     Other columns play no part. An empty table gives an empty result.
     """
     spark = df.sparkSession
     kind = df.schema[vector].dataType.simpleString()
     rows = df.where(f"`{key}` is not null and `{vector}` is not null").select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()
-    sample = unit_rows(picked.column(0))[1]
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector", "vec_id").toArrow()
+    at, sample = unit_rows(picked.column(0))
     out = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = sample.shape[1]
     norms = rows.select("vector").mapInArrow(_largest_norm(width), "norm double").agg(F.max("norm")).first()[0]
-    lists = learn_lists(sample, float(norms), recall, k)
+    lists = learn_lists(sample, float(norms))
+    step = max(1, len(sample) // TRIALS)
+    trials, trial_ids = sample[::step][:TRIALS], picked.column(1).to_numpy()[at][::step][:TRIALS]
+    found = rows.select("vec_id", "vector").mapInArrow(_truly_nearest(trial_ids, trials, k, width), "query long, vec_id long, score double, vector array<double>")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(f"r <= {k}").select("query", "vector").toArrow()
+    of = best.column(0).to_numpy()
+    nearest_rows = np.array(best.column(1).to_pylist(), float).reshape(len(of), -1)
+    lists.ratio = ratio_for(lists, trials, [nearest_rows[of == q] for q in range(len(trials))], recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
