@@ -1,4 +1,4 @@
-"""Scans and sinks: all-string CSV, JSON lines with corrupt rows kept, zipped members, HTML text, keyed upserts."""
+"""Scans: all-string CSV, typed JSON lines with corrupt rows kept, gz documents, zipped members, databases, HTML text, keyed upserts."""
 
 from __future__ import annotations
 
@@ -72,6 +72,62 @@ def html_text(df: DataFrame, html: str, out: str) -> DataFrame:
     return df.withColumn(out, run(F.col(html)))
 
 
+def read_items(spark: SparkSession, path: str, schema: str, day: str = "meeting_date", year: str = "year") -> tuple[DataFrame, DataFrame]:
+    """read_json_lines over a sorted set of files, `day` as a date and `year` that of the day, else the record's own."""
+    rows, broken = read_json_lines(spark, path, schema)
+    typed = rows.withColumn(day, F.try_to_date(F.col(day).cast("string"), "yyyy-MM-dd"))
+    return typed.withColumn(year, F.coalesce(F.year(day), F.col(year).try_cast("int"))), broken
+
+
+def read_wanted(spark: SparkSession, path: str, keys: DataFrame, on: list[str], columns: list[str], sep: str = ",") -> DataFrame:
+    """Rows of a large text table whose key is wanted: a pruned scan and a semi join, which streams the large side."""
+    rows = read_text_csv(spark, path, sorted({*on, *columns}, key=lambda c: ([*on, *columns].index(c))), sep)
+    return rows.join(keys.select(*on).distinct(), on, "left_semi").select(*columns)
+
+
+def read_documents_gz(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, unreadable): one JSON document a .json.gz file; files that are cut short or no JSON are told, not fatal."""
+
+    def run(batches):
+        import gzip
+
+        for pdf in batches:
+            texts, errors = [], []
+            for content in pdf["content"]:
+                try:
+                    texts.append(gzip.decompress(content).decode("utf-8"))
+                    errors.append(None)
+                except (OSError, EOFError, ValueError) as e:
+                    texts.append(None)
+                    errors.append(type(e).__name__)
+            yield pd.DataFrame({"path": pdf["path"], "text": texts, "error": errors})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).select("path", "content").mapInPandas(run, "path string, text string, error string")
+    parsed = files.withColumn("d", F.from_json("text", f"{schema}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}))
+    good = F.col("text").isNotNull() & F.col("d.__broken").isNull()
+    return parsed.where(good).select("path", "d.*").drop("__broken"), parsed.where(~good).select("path", F.coalesce("error", F.lit("not JSON")).alias("error"))
+
+
+def read_table(spark: SparkSession, url: str, query: str, driver: str) -> DataFrame:
+    """A database's query by JDBC, for landing as a table; the driver's jar must be on the class path."""
+    return spark.read.format("jdbc").option("url", url).option("driver", driver).option("query", query).load()
+
+
+def content_kind(content: Column) -> Column:
+    """pdf, zip, html or text by the first bytes of a file."""
+    head = F.lower(F.decode(F.substring(content, 1, 64), "ISO-8859-1"))
+    return F.when(head.startswith("%pdf"), "pdf").when(head.startswith("pk\x03\x04"), "zip").when(head.rlike(r"^\s*<(?:!doctype|html|head|body|\?xml)"), "html").otherwise("text")
+
+
+def pooled(parts: dict[str, DataFrame], tag: str) -> DataFrame:
+    """All parts by column name with the part's name in `tag`; columns that one lacks are null."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn(tag, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def links(html: Column) -> Column:
     """array<string>: the distinct targets of a page's links."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), F.lit(1)))
