@@ -150,9 +150,14 @@ def landmark_compare(spark: SparkSession, d: str) -> DataFrame:
     """Immortal-time-free comparison: users with an error get the next click after it as landmark, the rest a lag drawn from the errors' own by an arithmetic rule."""
     e = table(spark, d, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.min(F.when(F.col("event_type") == "error", F.col("ts"))).alias("error"))
-    lags = first.where("error is not null").select(F.datediff("error", "start").alias("lag"))
-    pool = lags.agg(F.array_sort(F.collect_list("lag")).alias("pool"))  # one number a user of the events table
-    drawn = first.crossJoin(pool).withColumn("lag", F.when(F.col("error").isNotNull(), F.datediff("error", "start")).otherwise(F.element_at("pool", (F.pmod("user_id", F.size("pool")) + 1).cast("int"))))
+    # The errors' lags as steps, one row a day of lag: a draw falls into the step that holds its place.
+    steps = first.where("error is not null").groupBy(F.datediff("error", "start").alias("drawn")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.orderBy("drawn"))
+    steps = steps.withColumn("high", upto).withColumn("low", upto - F.col("k")).withColumn("size", F.sum("k").over(W.partitionBy()))
+    size = steps.agg(F.max("size").alias("size"))
+    placed = first.crossJoin(F.broadcast(size)).withColumn("place", F.pmod("user_id", "size"))
+    met = placed.join(F.broadcast(steps.select("drawn", "low", "high")), (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    drawn = met.withColumn("lag", F.when(F.col("error").isNotNull(), F.datediff("error", "start")).otherwise(F.col("drawn")))
     alive = drawn.where(F.datediff("end", "start") >= F.col("lag")).withColumn("rest", F.datediff("end", "start") - F.col("lag"))
     return alive.groupBy((F.col("user_id") % 2 == 0).alias("even"), F.col("error").isNotNull().alias("had_error")).agg(F.count("*").alias("n"), F.avg("rest").alias("mean_rest"), F.median("rest").alias("median_rest"))
 
