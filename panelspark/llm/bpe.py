@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import remembered
+from panelspark.llm.common import remembered, sliced
 
 #: Pieces and token pairs that a worker remembers before it starts anew; this bounds memory, not results.
 REMEMBERED = 600_000
@@ -52,8 +52,9 @@ def narrow_pattern(pattern: str) -> str:
 class PrefixBPE:
     """Encoder and decoder over mergeable ranks; `pattern` splits a text into the pieces that are encoded apart."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = REMEMBERED):
         self.ranks = ranks
+        self.most = most
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.size_of = {rank: len(token) for rank, token in self.bytes_of.items()}
@@ -94,7 +95,7 @@ class PrefixBPE:
         """
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) >= 4 * REMEMBERED:
+            if len(self.follows) >= 4 * self.most:
                 self.follows.clear()
             x, y, x_until, y_until, known = left, right, 1 << 60, 1 << 60, True
             while True:
@@ -200,7 +201,7 @@ class PrefixBPE:
                 end += 1
             split = [self.split(t) for t in texts[start:end]]
             met = set(chain.from_iterable(split))
-            if len(self.pieces) + len(met) > REMEMBERED:
+            if len(self.pieces) + len(met) > self.most:
                 self.pieces.clear()
             self.learn(met - self.pieces.keys())
             for pieces in split:
@@ -238,10 +239,11 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "by
     return encoded.select(*keep).mapInArrow(run, fields.add(out, "binary"))
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", most: int = REMEMBERED) -> DataFrame:
     """One row a document: key, n_tokens, ids_sha256 of the ids in decimal and decoded_sha256 of the bytes decoded from them.
 
-    Encodes and decodes in one pass, so that the ids of a corpus are never stored for their digest alone.
+    Encodes and decodes in one pass, so that the ids of a corpus are never stored for their digest alone. A worker remembers
+    `most` pieces, which bounds its memory, not the result.
     """
 
     def run(bpe: PrefixBPE, texts: list[str]) -> dict[str, pa.Array]:
@@ -252,17 +254,17 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             decoded_hash.append(sha256(bpe.decode(ids)).hexdigest())
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash), "decoded_sha256": pa.array(decoded_hash)}
 
-    return _with_encoder(docs, ranks_path, pattern, text, run, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, [key])
+    return _with_encoder(docs, ranks_path, pattern, text, run, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, [key], most)
 
 
-def _with_encoder(docs: DataFrame, ranks_path: str, pattern: str, text: str, make, fields: dict[str, str], keep: list[str]) -> DataFrame:
+def _with_encoder(docs: DataFrame, ranks_path: str, pattern: str, text: str, make, fields: dict[str, str], keep: list[str], most: int = REMEMBERED) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     names, name = [*keep, *fields], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One encoder for each worker process, so that what it remembers serves all its tasks.
-        bpe = remembered(name, lambda: PrefixBPE(ranks.value, pattern))
-        for batch in batches:
+        bpe = remembered(name, lambda: PrefixBPE(ranks.value, pattern, most))
+        for batch in sliced(batches):
             made = make(bpe, ["" if t is None else t for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made.values()], names=names)
 

@@ -55,6 +55,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what a worker makes of one at a time is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _REMEMBERED: dict[str, object] = {}
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from panelspark.llm.common import connected_components, discard, materialize, mix64, shingle_sets
+from panelspark.llm.common import connected_components, discard, materialize, mix64, shingle_sets, sliced
 
 #: Tokens of more documents are frequent and indexed in combinations of two.
 RARE_UP_TO = 12
@@ -59,7 +59,7 @@ def _sketch(s: np.ndarray) -> bytes:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, id) -> (id, set, n, bits)."""
-    for batch in batches:
+    for batch in sliced(batches):
         names, sizes, bits = [], [], []
         for s in shingle_sets(batch.column(0)):
             names.append(_set_id(s))
@@ -72,7 +72,7 @@ def _met(buckets: int):
     """(text) -> (bucket, tokens): the tokens of this batch's different sets by bucket, three bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             met = {_set_id(s): s for s in shingle_sets(batch.column(0))}
             token = np.concatenate([*met.values(), np.zeros(0, np.uint64)])
             if len(token):
@@ -170,7 +170,7 @@ def _entries(often_bits: np.ndarray, buckets: int, percent: int):
     small = int((100 / percent) ** 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rare_of, made_of, met = [], [], set()
             for s in shingle_sets(batch.column(0)):
                 n, name = len(s), _set_id(s)
@@ -288,7 +288,7 @@ def _sets(wanted: np.ndarray):
     """(text, id, slot) -> (id, set, tokens) of the documents whose slot is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             slot = batch.column(2).to_numpy()
             some = batch.take(pa.array(np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)))
             names, packed = [], []
