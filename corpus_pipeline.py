@@ -67,7 +67,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text as tokens, with the digests of its ids and of the bytes decoded from them."""
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # Workers hold what the stages before have left of their heap: they remember fewer pieces than where this operator runs alone.
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, most=200_000)
 
 
 STAGES = [
