@@ -22,3 +22,35 @@ def tiered(n: Column, edge: float, low: Column, high: Column) -> Column:
 def escalated(base: Column, step: float, year: Column, first: int, cap: float) -> Column:
     """base plus a step for every year after the first, up to a cap."""
     return F.least(base + step * F.greatest(year - first, F.lit(0)), F.lit(cap))
+
+
+def first_regime(ladder: list[tuple[str, Column, dict[str, Column | float]]], terms: list[str]) -> Column:
+    """struct<regime, terms...> of the first regime of a ladder whose condition holds; all null where none does."""
+    out = F.struct(F.lit(None).cast("string").alias("regime"), *[F.lit(None).cast("double").alias(t) for t in terms])
+    for name, condition, values in reversed(ladder):
+        one = F.struct(F.lit(name).alias("regime"), *[(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(t) for t in terms for v in [values.get(t, F.lit(None))]])
+        out = F.when(F.coalesce(condition, F.lit(False)), one).otherwise(out)
+    return out
+
+
+def register_rate(df: DataFrame, register: DataFrame, year: str, section: str, out: str) -> DataFrame:
+    """df with `out` and `out`_clamped: the rate of its section in its year, years after a section's last register year taking that one's; null before the first."""
+    last = register.groupBy(section).agg(F.max(year).alias("__last"))
+    clamped = df.join(last, section, "left").withColumn("__year", F.least(F.col(year), F.col("__last")))
+    rates = register.select(section, F.col(year).alias("__year"), F.col("rate").alias(out))
+    return clamped.join(rates, [section, "__year"], "left").withColumn(f"{out}_clamped", F.coalesce(F.col(year) > F.col("__last"), F.lit(False))).drop("__year", "__last")
+
+
+def whole_total(parts: list[Column]) -> Column:
+    """The sum of all parts, null where one of them is unknown."""
+    known = parts[0].isNotNull()
+    total = parts[0]
+    for p in parts[1:]:
+        known, total = known & p.isNotNull(), total + p
+    return F.when(known, total)
+
+
+def verified(claims: DataFrame, key: str, field: str, value: str, flag: str = "verified") -> DataFrame:
+    """(key, field, value) of the claims that are verified; a claim that is asked for and not verified is an error where the plan runs."""
+    checked = F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("not verified: "), F.col(key).cast("string"), F.lit("."), F.col(field).cast("string"))).cast(claims.schema[value].dataType))
+    return claims.select(key, field, checked.alias(value))
