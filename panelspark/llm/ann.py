@@ -32,6 +32,8 @@ SAMPLE, SAMPLE_LIST = 8192, 48
 COPIES, BORDER_RATIO = 3, 1.08
 #: Neighbours of a centroid in the graph; rows of a shard and of a list's part, about.
 DEGREE, SHARD_ROWS, PART_ROWS = 24, 8000, 4000
+#: Queries that read a shard in one task, about.
+SHARD_QUERIES = 2000
 #: Rows compared with each other at once.
 BLOCK = 1024
 #: Ratios tried for the search, and queries of the sample that they are tried on.
@@ -274,14 +276,18 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", ve
     indexed = postings.join(wide, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).join(plan, ["list", "part"]).select("shard", "list", "vec_id", "vector")
     queries = rows.where(f"vec_id % {every} = 0").dropDuplicates(["vec_id"]).mapInArrow(ask, f"query_id long, vector {kind}, lists array<int>")
     queries = materialize(queries, "ann-queries")
-    reads = queries.select("query_id", F.explode("lists").alias("list")).join(reached, "list").groupBy("query_id", "read").agg(F.collect_set("list").alias("lists"))
-    asked = reads.join(queries.select("query_id", "vector"), "query_id").select("read", "query_id", "vector", "lists")
-    found = indexed.groupBy("shard").cogroup(asked.groupBy("read")).applyInArrow(_search(k, width), out)
+    reads = materialize(queries.select("query_id", F.explode("lists").alias("list")).join(reached, "list").groupBy("query_id", "read").agg(F.collect_set("list").alias("lists")), "ann-reads")
+    # A shard that many queries reach is read by several tasks, each with a share of them.
+    shares = reads.groupBy("read").agg(F.ceil(F.count("*") / F.lit(SHARD_QUERIES)).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("query_id"), "shares").cast("int").alias("share")
+    asked = reads.join(shares, "read").select("read", share, "query_id", "lists").join(queries.select("query_id", "vector"), "query_id").select("read", F.col("share").alias("asked_share"), "query_id", "vector", "lists")
+    dealt = indexed.join(shares, F.col("shard") == F.col("read")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("shard", "share", "list", "vec_id", "vector")
+    found = dealt.groupBy("shard", "share").cogroup(asked.groupBy("read", "asked_share")).applyInArrow(_search(k, width), out)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     result = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "ann-out")
-    discard(postings)
-    discard(queries)
+    for x in (postings, queries, reads):
+        discard(x)
     return result
 
 
