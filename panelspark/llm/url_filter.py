@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import discard, materialize
+
 #: (verdict, host, path): the longest host and path that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: The posterior's quantile that is held against the limit, and the limit as a multiple of the mean rate of bad pages.
@@ -87,8 +89,10 @@ def reputation(outcomes: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     labelled. The three strengths and the overall rate are one row.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
-    named = outcomes.withColumn("domain", domain).withColumn("suffix", suffix)
+    # Each level is written once: the strengths and means of the next are made of it several times.
+    named = materialize(outcomes.withColumn("domain", domain).withColumn("suffix", suffix), "url-hosts")
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = materialize(domains, "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg((F.sum("bad") / F.nullif(F.sum("n"), F.lit(0))).alias("overall"))
     smooth = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
@@ -98,11 +102,15 @@ def reputation(outcomes: DataFrame, quantile: float = QUANTILE) -> DataFrame:
         return groups.crossJoin(F.broadcast(_strength(groups, "prior")))
 
     by_suffix = level(suffixes.crossJoin(F.broadcast(total)).withColumn("prior", F.col("overall"))).select("suffix", "overall", smooth.alias("prior"))
-    by_domain = level(domains.join(by_suffix, "suffix")).select("domain", "overall", smooth.alias("prior"))
+    by_suffix = materialize(by_suffix, "url-suffixes")
+    by_domain = materialize(level(domains.join(by_suffix, "suffix")).select("domain", "overall", smooth.alias("prior")), "url-priors")
     hosts = level(named.select("host", "domain", "n", "bad").join(by_domain, "domain"))
     a, b = F.col("bad") + F.col("strength") * F.col("prior"), F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))
     bound = F.when(F.col("prior") <= 0, 0.0).when(F.col("prior") >= 1, 1.0).otherwise(beta_quantile(F.col("a"), F.col("b"), quantile))
-    return hosts.withColumn("a", a).withColumn("b", b).select("host", "n", smooth.alias("mean"), F.when(F.col("overall").isNotNull(), bound).alias("bound"), "overall")
+    out = materialize(hosts.withColumn("a", a).withColumn("b", b).select("host", "n", smooth.alias("mean"), F.when(F.col("overall").isNotNull(), bound).alias("bound"), "overall"), "url-reputation")
+    for x in (named, domains, by_suffix, by_domain):
+        discard(x)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", label_key: str = "doc_id", outcome: str = "toxic", rules: tuple = RULES, limit: float = LIMIT) -> DataFrame:
