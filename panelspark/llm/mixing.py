@@ -23,8 +23,8 @@ from panelspark.llm.common import discard, materialize, mix64, word_counts
 
 #: Weights of the sources in order, repeated, and how often a document may be taken.
 WEIGHTS, MOST_TIMES = (5, 2, 1), 3
-#: Documents of a block, about.
-BLOCK = 20_000
+#: Documents of a block, about: a hot source is dealt to as many blocks as it needs.
+BLOCK = 4_000
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(word_counts(batch.column(0)))], names=["doc", "source", "size"])

@@ -49,7 +49,7 @@ def test_inclusion_probabilities_are_kept_at_every_size(spark):
         assert abs(kept[(got["size"] > lo) & (got["size"] <= lo + 200)].mean() - p) < 0.025
 
 
-@pytest.mark.parametrize("block", [20_000, 50])
+@pytest.mark.parametrize("block", [4_000, 50])
 def test_query_meets_its_contract(spark, block, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", block)
     sf = "/root/testdata/sf0.01"
