@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.textops import NUMBER_WORDS
+from panelspark.functions.textops import MASKED_WORDS
 
 #: As textops.mask, for texts at hand.
-_NUMBERS, _BETWEEN = re.compile(rf"[0-9][0-9,.]*|\b(?:{'|'.join(NUMBER_WORDS)})\b", re.A), re.compile(r"[^a-z#]+")
+_NUMBERS, _BETWEEN = re.compile(rf"[0-9][0-9,./:-]*|\b(?:{'|'.join(MASKED_WORDS)})\b", re.A), re.compile(r"[^a-z#]+")
 
 
 def longest_chain(candidates: list[list[int]]) -> list[int | None]:
