@@ -90,7 +90,7 @@ def surname(x: Column) -> Column:
     return F.lower(F.element_at(F.split(F.regexp_replace(clean_name(x), r"(?i),?\s+(?:jr|sr|ii|iii)\.?$", ""), " "), -1))
 
 
-#: Where an address is glossed by its place: a side of the street, neighbours, a corner, an alias.
+#: Where an address is glossed by its place: a side of the street, neighbours, a corner, an alias.
 GLOSS = r"(?is)\s*,?\s*(?:(?:north|south|east|west)(?:erly)?\s+side\b|between\b|at\s+the\s+(?:corner|intersection)\b|on\s+the\s+(?:north|south|east|west)\b|near\s+the\b|adjacent\s+to\b|\(a\.?k\.?a\b).*$"
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 
 from panelspark.functions import textops as T
 
-#: Printed forms of a permit number, the more particular first: name and pattern, whose groups joined are the number.
+#: Printed forms of a permit number, the more particular first: name and pattern, whose digits are the number.
 PERMIT_FORMS = (
     ("YYYY.MM.DD.NNNN", r"\b((?:19|20)\d\d)[.\-/](\d{2})[.\-/](\d{2})[.\-/](\d{3,5})\b"),
     ("YYYY.MMDD.NNNN", r"\b((?:19|20)\d\d)[.\-/](\d{4})[.\-/](\d{3,5})\b"),
     ("packed", r"\b((?:19|20)\d\d)(\d{2})(\d{2})(\d{4})\b"),
 )
-#: A bare number after "No." counts where the 70 characters before speak of a permit and of nothing that also has such numbers.
+#: A bare number after "No." counts where the 70 characters before speak of a permit and of nothing that also has such numbers.
 BARE = r"(?s)(.{0,70})\bNos?\.?\s*(\d{7,9})\b"
 BARE_OK, BARE_BAD = r"(?i)\bpermits?\b|\bBPA\b", r"(?i)notice of violation|\bNOV\b|complaint|clearinghouse|enforcement"
 
@@ -52,6 +52,7 @@ def _first_number(text: Column, rx: str, group: int = 1) -> Column:
 
 
 _COUNT = r"(\d[\d,]*|" + "|".join(T.NUMBER_WORDS) + r")(?:\s*\(\d+\))?"
+#: Months of an interval in words.
 INTERVALS = {"month": 1.0, "monthly": 1.0, "quarterly": 3.0, "semi-annually": 6.0, "six months": 6.0, "annually": 12.0, "annual": 12.0, "year": 12.0, "every year": 12.0}
 
 
