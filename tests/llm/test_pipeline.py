@@ -1,9 +1,15 @@
 import re
 from collections import Counter
+from hashlib import sha256
 
 import corpus_pipeline
-from panelspark.llm import mixing
+import test_bpe as bytes_of
+import test_mixing as mixes
+import test_ngram_join as ngrams
+import test_text_operators as texts
+from panelspark.llm import mixing, pii, toxicity
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -58,3 +64,49 @@ def test_mix_takes_each_row_as_decided(spark):
         got[r.source] += len(r.text.split())
     assert got == {k: v for k, v in words.items() if v}
     assert Counter(map(tuple, corpus_pipeline.mixed(spark, docs.repartition(5), "").collect())) == Counter(map(tuple, taken))
+
+
+def brute_redaction(text):
+    """Every span of plain Python's finding as [KIND], overlapping ones together as the first one's kind."""
+    out, at, last = [], 0, 0
+    for start, kind, end in sorted(texts.base_spans(text) + texts.added_spans(text)):
+        if start < last:
+            last = max(last, end)
+            at = last
+            continue
+        out += [text[at:start], f"[{pii.ALL_KINDS[kind].upper()}]"]
+        at = last = end
+    return "".join(out) + text[at:]
+
+
+def test_stages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    before = {r.doc_id: r for r in docs.collect()}
+    score = {i: model.probabilities([r.text or ""])[0] for i, r in before.items()}
+    clean = corpus_pipeline.toxic_out(spark, docs, sf)
+    kept = {i for i, p in score.items() if p < toxicity.THRESHOLD}
+    assert {r.doc_id for r in clean.collect()} == kept
+    single = corpus_pipeline.near_copies_out(spark, clean, sf)
+    want = {d for d, _, c in ngrams.brute([(i, before[i].text) for i in sorted(kept)]) if d == c}
+    assert {r.doc_id for r in single.collect()} == want
+    redacted = corpus_pipeline.personal_data_out(spark, single, sf)
+    rows = {r.doc_id: r for r in redacted.collect()}
+    assert {i: r.text for i, r in rows.items()} == {i: brute_redaction(before[i].text or "") for i in want}
+    assert all(r.n_chars == len(r.text) for r in rows.values())
+    mixed = corpus_pipeline.mixed(spark, redacted, sf)
+    times = Counter(r.doc_id for r in mixed.collect())
+    words = Counter()
+    for r in rows.values():
+        words[r.source] += len(WORD.findall(r.text))
+    targets, taken = mixes.shared(words), Counter()
+    for i, k in times.items():
+        assert 1 <= k <= 3
+        taken[rows[i].source] += k * len(WORD.findall(rows[i].text))
+    largest = {s: max(len(WORD.findall(r.text)) for r in rows.values() if r.source == s) for s in targets}
+    for s, t in targets.items():  # a source of few documents can be off by one of them
+        assert abs(taken[s] - t) <= max(50, largest[s]), s
+    for r in corpus_pipeline.encoded(spark, mixed, sf).collect():
+        ids = bytes_of.THEIRS.encode_ordinary(rows[r.doc_id].text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == sha256(rows[r.doc_id].text.encode()).hexdigest()
