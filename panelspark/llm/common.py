@@ -73,6 +73,11 @@ def remembered(name: str, make):
     return _REMEMBERED[name]
 
 
+def forget() -> None:
+    """Let go of what this worker process keeps for an operator that is done."""
+    _REMEMBERED.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_panelspark_path", None)

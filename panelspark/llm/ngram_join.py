@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from panelspark.llm.common import connected_components, discard, materialize, mix64, shingle_sets, sliced
+from panelspark.llm.common import connected_components, discard, forget, materialize, mix64, shingle_sets, sliced
 
 #: Tokens of more documents are frequent and indexed in combinations of two.
 RARE_UP_TO = 12
@@ -59,6 +59,7 @@ def _sketch(s: np.ndarray) -> bytes:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, id) -> (id, set, n, bits)."""
+    forget()
     for batch in sliced(batches):
         names, sizes, bits = [], [], []
         for s in shingle_sets(batch.column(0)):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import discard, materialize, remembered
+from panelspark.llm.common import discard, forget, materialize, remembered
 
 #: Labelled documents that the model is fitted on at most, toxic and clean ones alike by half.
 SAMPLE = 4000
@@ -400,7 +400,8 @@ def held_out(key) -> F.Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> (word, label, around): each word of a document once, with a hash of the words about its first place."""
+    """(text, label) -> (word, label, around): each word of a document once, with the words about its first place."""
+    forget()
     for batch in batches:
         words, labels, around = [], [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
