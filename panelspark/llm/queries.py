@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, chat, embed_dedup, license_scan, mixing, ngram_join, pii, toxicity, url_filter
+from panelspark.llm import ann, bpe, chat, cohorts, embed_dedup, filter_audit, license_scan, mixing, ngram_join, packing, pii, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
+
+
+def op12_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohorts.retention(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "clients"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_posting_lists": op1_posting_lists,
     "op2_cube_mixing": op2_cube_mixing,
@@ -86,6 +101,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_packing": op11_packing,
+    "op12_cohorts": op12_cohorts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -164,4 +182,48 @@ ORACLE_SQL = {
                CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
                     ELSE CASE WHEN bound > 1.25 * (SELECT m FROM t) THEN 'block' ELSE 'allow' END END AS verdict
         FROM k""",
+    "op12_cohorts": """
+        WITH
+        t AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+        ids AS (SELECT DISTINCT id FROM (SELECT click_id AS id FROM clicks UNION ALL SELECT client_id FROM clicks) WHERE id IS NOT NULL),
+        k AS (SELECT id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM ids, t),
+        c AS (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+        a AS (SELECT c.client_id, epoch_us(ts) AS tm, kind, m.crc AS client_crc,
+                     CASE WHEN value IS NULL THEN 0 ELSE floor(100 * value + 0.5)::BIGINT END AS cents,
+                     coalesce(epoch_us(arrived_at) + CASE WHEN k.crc % 3 = 0 THEN k.crc % 100 * 86400000000 ELSE 0 END < epoch_us(TIMESTAMP '2024-02-15 00:00:00'), false) AS early
+              FROM c LEFT JOIN k ON k.id = click_id JOIN k m ON m.id = c.client_id),
+        s AS (SELECT client_id, min(tm) FILTER (kind = 'signup' AND early) AS start0, min(tm) FILTER (kind = 'signup') AS start1 FROM a GROUP BY client_id),
+        g AS (SELECT client_id, min(segment) AS segment FROM clients GROUP BY client_id),
+        e AS (SELECT 0 AS state, a.*, start0 AS start, start0, start1 FROM a JOIN s USING (client_id) WHERE early AND tm >= start0
+              UNION ALL SELECT 1, a.*, start1, start0, start1 FROM a JOIN s USING (client_id) WHERE tm >= start1),
+        p AS (SELECT state, client_id, client_crc, start // 86400000000 AS cohort, (tm - start) // 86400000000 AS period,
+                     coalesce(start0 // 86400000000 <> start1 // 86400000000, false) AS moved, sum(cents) AS cents FROM e GROUP BY ALL)
+        SELECT state, coalesce(segment, '') AS segment, cohort, period, count(*) AS users, sum(client_crc)::BIGINT AS users_crc32,
+               count(*) FILTER (moved) AS moved, sum(cents)::BIGINT AS cents
+        FROM p LEFT JOIN g USING (client_id) GROUP BY ALL""",
+    "op13_filter_audit": r"""
+        WITH RECURSIVE
+        f AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        e AS (SELECT text, min(doc_id) AS least FROM f GROUP BY text),
+        m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                     + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+                     + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask,
+                     coalesce(q.good, 0) AS good, coalesce(q.toxic, 0) AS toxic
+              FROM f JOIN e USING (text) LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) q USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE instr(filter_order, x) = 0),
+        s AS (SELECT filter_order, i AS step, instr('ABCDE', filter_order[i]) - 1 AS bit,
+                     list_sum(list_transform(string_split(filter_order[:i - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (instr('ABCDE', x) - 1) END))::INT AS before
+              FROM o, range(1, 6) r(i) WHERE length(filter_order) = 5),
+        r AS (SELECT part, filter_order, step, bit,
+                     coalesce(sum(n) FILTER (mask & (before | (1 << bit)) = 0), 0) AS kept,
+                     coalesce(sum(n) FILTER (mask & before = 0 AND mask >> bit & 1 = 1), 0) AS removed,
+                     coalesce(sum(n) FILTER (mask & before <> 0 AND mask >> bit & 1 = 1), 0) AS redundant,
+                     coalesce(sum(n) FILTER (mask = 1 << bit), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & before = 0 AND mask >> bit & 1 = 1), 0) AS good_lost,
+                     coalesce(sum(toxic) FILTER (mask & before = 0 AND mask >> bit & 1 = 1), 0) AS toxic_lost
+              FROM s, c GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM r""",
 }
