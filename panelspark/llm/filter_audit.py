@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
-#: Characters of text whose copies are looked for before any is sent.
-CHUNK_CHARS = 16_000_000
+#: Characters of text whose copies are looked for before any is sent, and characters of all texts for each partition that texts are routed to.
+CHUNK_CHARS, ROUTE_CHARS = 16_000_000, 16_000_000
 #: Fixed values of the filters.
 FEWEST_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 200, 50, 2
 UPPER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -45,9 +45,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     A null text is an empty one, a null part an empty string. Rows of a null key repeat nothing and are repeated by nothing;
     rows of one key and text do not repeat each other.
     """
+    # As many partitions as the characters ask for: files say little of the size of the texts in them.
+    routes = -(-(docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 1) // ROUTE_CHARS)
     rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(part).cast("string"), F.lit(""))).rdd
     routed = rows.mapPartitions(lambda it: _sent(it, hashed, chunk))
-    return routed.repartitionAndSortWithinPartitions(2 * rows.getNumPartitions(), lambda k: k[0], keyfunc=lambda k: k[:2]).mapPartitions(_chained)
+    return routed.repartitionAndSortWithinPartitions(routes, lambda k: k[0], keyfunc=lambda k: k[:2]).mapPartitions(_chained)
 
 
 def _sent(rows: Iterable, hashed: Callable[[bytes], int], chunk: int) -> Iterator:
