@@ -161,33 +161,3 @@ def fuzzy_diff(pairs: DataFrame, least: float = 0.6) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "kept", "changed", "added", "dropped"])
 
     return pairs.select("key", "old", "new", *(["old_heads", "new_heads"] if headed else [])).mapInPandas(run, "key long, kept long, changed long, added long, dropped long")
-
-
-def quantile_line(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 200) -> np.ndarray:
-    """Coefficients of the tau-quantile of y by reweighted least squares."""
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    for _ in range(rounds):
-        r = y - x @ beta
-        w = np.where(r >= 0, tau, 1 - tau) / np.maximum(np.abs(r), 1e-6 * (1 + np.abs(y).mean()))
-        new = np.linalg.solve(x.T @ (w[:, None] * x) + 1e-12 * np.eye(x.shape[1]), x.T @ (w * y))
-        if np.abs(new - beta).max() < 1e-10 * (1 + np.abs(beta).max()):
-            return new
-        beta = new
-    return beta
-
-
-def quantile_regression(df: DataFrame, key: str, x: str, y: str, taus: tuple = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """(key, tau, intercept, slope, pseudo_r2) for each group: one minus the check loss over that of the plain quantile."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        design = np.c_[np.ones(len(pdf)), pdf["x"].to_numpy(float)]
-        target = pdf["y"].to_numpy(float)
-        loss = lambda r, t: np.where(r >= 0, t * r, (t - 1) * r).sum()
-        rows = []
-        for t in taus:
-            b = quantile_line(design, target, t)
-            plain = loss(target - np.quantile(target, t), t)
-            rows.append((pdf["key"].iloc[0], t, b[0], b[1], 1 - loss(target - design @ b, t) / plain if plain else 0.0))
-        return pd.DataFrame(rows, columns=["key", "tau", "intercept", "slope", "pseudo_r2"])
-
-    return df.select(F.col(key).cast("string").alias("key"), F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("key").applyInPandas(run, "key string, tau double, intercept double, slope double, pseudo_r2 double")

@@ -82,13 +82,6 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> tuple[list[float], di
     return beta.tolist(), {"n": int(n), "r2": float(1 - sse / sst), "r2_adj": float(1 - (sse / df_left) / (sst / (n - 1))), "sd": float(np.sqrt(sse / df_left))}
 
 
-def bins_by_edges(df: DataFrame, x: str, bins: int, out: str) -> DataFrame:
-    """df with `out`, its right-closed bin between quantiles of x from 0 on, equal edges being one; the lowest value is in the first."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__e"))  # one row
-    at = F.size(F.filter(F.slice(F.col("__e"), 2, F.greatest(F.size("__e") - 2, F.lit(0))), lambda e: F.col(x) > e))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(x).isNotNull(), at)).drop("__e")
-
-
 def deficits(df: DataFrame, field: str, target: int) -> DataFrame:
     """(field, have, deficit): how many more labels each class wants."""
     return df.where(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("have")).withColumn("deficit", F.greatest(F.lit(target) - F.col("have"), F.lit(0)))

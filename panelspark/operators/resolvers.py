@@ -56,3 +56,33 @@ def candidates_of(blocks: Column, lots: Column) -> Column:
 def any_within(value: Column, others: list[Column], tolerance: float) -> Column:
     """Whether one of the other values, nulls aside, is within the tolerance."""
     return F.exists(F.array_compact(F.array(*others)), lambda o: F.abs(o - value) <= tolerance)
+
+
+def vintage_panel(live: DataFrame, keyed: DataFrame, spatial: DataFrame, current: DataFrame, first: int, last: int) -> DataFrame:
+    """(id, year, value, vintage, is_snapshot, method) for every year from first to last that a unit (id, y0, y1) lives in; open ends are null.
+
+    A year takes its values from one source: the table of that year (keyed: id, year, value) if there is one, else the
+    layer of that year (spatial: id, year, value), else, after the last layer, the current layer (current: id, value)
+    carried forward as a snapshot. Years that none serves are left out; a unit that its year's source lacks has null. Of
+    several values of a unit and year the smallest counts.
+    """
+    # A row a year, of which there are last - first + 1.
+    years = live.sparkSession.createDataFrame([(y,) for y in range(first, last + 1)], "year int")
+    table_years = keyed.select(F.col("year").cast("int")).distinct().withColumn("__table", F.lit(True))
+    layer_years = spatial.select(F.col("year").cast("int")).distinct().withColumn("__layer", F.lit(True))
+    newest = layer_years.agg(F.max("year").alias("__newest"))
+    source = F.when(F.col("__table"), "table").when(F.col("__layer"), "spatial").when(F.col("year") > F.coalesce("__newest", F.lit(0)), "carried")
+    served = years.join(table_years, "year", "left").join(layer_years, "year", "left").crossJoin(F.broadcast(newest)).withColumn("__source", source).where("__source is not null").select("year", "__source")
+    begins, ends = F.greatest(F.coalesce("y0", F.lit(first)), F.lit(first)).cast("int"), F.least(F.coalesce("y1", F.lit(last)), F.lit(last)).cast("int")
+    lived = live.where(begins <= ends).select("id", F.explode(F.sequence(begins, ends)).alias("year"))
+    rows = lived.join(F.broadcast(served), "year")
+    of = lambda df, name: df.groupBy("id", F.col("year").cast("int").alias("year")).agg(F.min("value").alias("value")).withColumn("__source", F.lit(name))
+    values = of(keyed, "table").unionByName(of(spatial, "spatial"))
+    now = current.groupBy("id").agg(F.min("value").alias("__now"))
+    met = rows.join(values, ["id", "year", "__source"], "left").join(now, "id", "left")
+    carried = F.col("__source") == "carried"
+    return met.select(
+        "id", "year", F.when(carried, F.col("__now")).otherwise(F.col("value")).alias("value"),
+        F.when(carried, F.lit("current layer, carried forward")).otherwise(F.concat(F.when(F.col("__source") == "table", F.lit("table ")).otherwise(F.lit("layer ")), F.col("year").cast("string"))).alias("vintage"),
+        carried.alias("is_snapshot"), F.when(F.col("__source") == "table", F.lit("table")).otherwise(F.lit("spatial")).alias("method"),
+    )

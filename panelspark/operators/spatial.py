@@ -143,12 +143,85 @@ def clipped(subject: Column, convex: Column) -> Column:
     return F.aggregate(edges, subject, cut)
 
 
+def ring_weights(rings: Column) -> Column:
+    """1 for each ring that bounds ground from outside, -1 for each hole: a ring within an odd number of the others is a hole."""
+    # A place near the middle of the first edge: corners of a hole may touch the ring about it.
+    probe = lambda r: F.struct((r[0]["x"] * 0.5371 + r[1]["x"] * 0.4629).alias("x"), (r[0]["y"] * 0.5371 + r[1]["y"] * 0.4629).alias("y"))
+    about = lambda r, i: F.aggregate(F.transform(rings, lambda o, j: (i != j) & inside(probe(r)["x"], probe(r)["y"], o)), F.lit(0), lambda n, c: n + c.cast("int"))
+    return F.transform(rings, lambda r, i: F.when(F.size(r) < 3, 0).when(about(r, i) % 2 == 0, 1).otherwise(-1))
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of a polygon of several parts with holes."""
+    signed = F.zip_with(F.transform(rings, ring_area), ring_weights(rings), lambda area, w: area * w)
+    return F.aggregate(signed, F.lit(0.0), lambda s, a: s + a)
+
+
+def edges(layer: DataFrame, key: str, rings: str, width: float) -> DataFrame:
+    """(key, slab, x0, y0, x1, y1, sign): the edges of all rings from left to right, cut at the slabs of so wide a strip.
+
+    The ground under an edge counts with its sign: over all edges of a polygon, what is inside counts once and all else 0
+    times, whichever way its rings run. Edges that stand upright have no ground under them.
+    """
+    after = lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+    turn = lambda r: F.signum(F.aggregate(F.zip_with(r, after(r), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, c: s + c))
+    signed = F.zip_with(F.col(rings), ring_weights(F.col(rings)), lambda r, w: F.struct(r.alias("r"), (w * turn(r)).alias("s")))
+    each = layer.withColumn("__r", F.explode(signed))
+    each = each.select(key, F.col("__r.s").alias("__s"), F.explode(F.zip_with(F.col("__r.r"), after(F.col("__r.r")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
+    a, b = F.col("e.a"), F.col("e.b")
+    left, right = F.when(a["x"] < b["x"], a).otherwise(b), F.when(a["x"] < b["x"], b).otherwise(a)
+    # Over the ground, a ring that runs counter-clockwise goes from right to left.
+    line = each.where("e.a.x <> e.b.x").select(key, left.alias("l"), right.alias("r"), F.when(a["x"] > b["x"], F.col("__s")).otherwise(-F.col("__s")).alias("sign"))
+    cut = line.withColumn("slab", F.explode(F.sequence(F.floor(F.col("l.x") / width), F.floor(F.col("r.x") / width))))
+    x0, x1 = F.greatest("l.x", F.col("slab") * F.lit(width)), F.least("r.x", (F.col("slab") + 1) * F.lit(width))
+    at = lambda x: F.col("l.y") + (F.col("r.y") - F.col("l.y")) * (x - F.col("l.x")) / (F.col("r.x") - F.col("l.x"))
+    return cut.select(key, "slab", x0.alias("x0"), at(x0).alias("y0"), x1.alias("x1"), at(x1).alias("y1"), "sign").where("x1 > x0")
+
+
 def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """(lid, rid, area) of polygons (lid, rings) and convex ones (rid, rings) of one ring each that overlap: an equi join on cells, each pair once, then clipping."""
-    a, b = polygon_cells(left.select("lid", F.col("rings").alias("lr")), "lr", size), polygon_cells(right.select("rid", F.col("rings").alias("rr")), "rr", size)
-    pairs = a.join(b, ["cx", "cy"]).dropDuplicates(["lid", "rid"])
-    area = pairs.withColumn("__c", clipped(F.col("lr")[0], F.col("rr")[0])).withColumn("area", F.when(F.size("__c") > 2, ring_area(F.col("__c"))).otherwise(0.0))
-    return area.where("area > 0").select("lid", "rid", "area")
+    """(lid, rid, area) of polygons (lid, rings) and (rid, rings) that share ground, whatever their rings: concave, in parts, with holes.
+
+    Pairs meet in grid cells of their bounding boxes, each once. The ground of both is the sum, over an edge of either, of
+    the ground under both edges with their signs: an equi join on pair and slab and one aggregation, so a polygon of many
+    corners is many rows and never one value. Shared ground below a billionth of the smaller box is rounding.
+    """
+    axis = lambda rings, c: F.transform(F.flatten(rings), lambda p: p[c])
+    box = lambda rings: F.struct(*[f(axis(rings, c)).alias(n) for n, f, c in (("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))])
+    a = polygon_cells(left.select("lid", F.col("rings").alias("lr")), "lr", size).select("lid", "cx", "cy", box(F.col("lr")).alias("a"))
+    b = polygon_cells(right.select("rid", F.col("rings").alias("rr")), "rr", size).select("rid", "cx", "cy", box(F.col("rr")).alias("b"))
+    # The pair belongs to the first cell of the boxes' common ground, so none has to be told from another.
+    home = (F.col("cx") == F.floor(F.greatest("a.x0", "b.x0") / size)) & (F.col("cy") == F.floor(F.greatest("a.y0", "b.y0") / size))
+    met = a.join(b, ["cx", "cy"]).where(home & (F.least("a.x1", "b.x1") > F.greatest("a.x0", "b.x0")) & (F.least("a.y1", "b.y1") > F.greatest("a.y0", "b.y0")))
+    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    pairs = met.select("lid", "rid", F.least("a.y0", "b.y0").alias("base"), (F.least(area(F.col("a")), area(F.col("b"))) * 1e-9).alias("least"))
+    of_left = edges(left.select("lid", "rings"), "lid", "rings", size)
+    of_right = edges(right.select("rid", "rings"), "rid", "rings", size).select("rid", "slab", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1", "sign")])
+    both = pairs.join(of_left, "lid").join(of_right, ["rid", "slab"]).where("x1 > r_x0 and r_x1 > x0")
+    found = both.groupBy("lid", "rid", "least").agg(F.sum(F.col("sign") * F.col("r_sign") * _under_both()).alias("area"))
+    return found.where("area > least").select("lid", "rid", "area")
+
+
+def _under_both() -> Column:
+    """Ground between base and the lower of two edges over the stretch that they share: one trapezoid, or two where they cross."""
+    a, b = F.greatest("x0", "r_x0"), F.least("x1", "r_x1")
+    at = lambda x, p: F.col(f"{p}y0") + (F.col(f"{p}y1") - F.col(f"{p}y0")) * (x - F.col(f"{p}x0")) / (F.col(f"{p}x1") - F.col(f"{p}x0"))
+    la, lb, ra, rb = at(a, ""), at(b, ""), at(a, "r_"), at(b, "r_")
+    low_a, low_b = F.least(la, ra) - F.col("base"), F.least(lb, rb) - F.col("base")
+    # Where they cross, the lower of both bulges above the straight line between its ends.
+    da, db = la - ra, lb - rb
+    t = da / (da - db)
+    middle = la + t * (lb - la) - F.col("base")
+    crossed = (low_a + middle) / 2 * t + (middle + low_b) / 2 * (1 - t)
+    return (b - a) * F.when(da * db < 0, crossed).otherwise((low_a + low_b) / 2)
+
+
+def crosswalk(parts: DataFrame, layer: DataFrame, size: float) -> DataFrame:
+    """(lid, rid, area, weight): how each polygon of parts is shared among a layer's, weights being parts of its own area; a row of null rid
+    takes what no polygon of the layer covers, so weights sum to 1 where the layer does not overlap itself, and to more where it does."""
+    whole = parts.select("lid", rings_area(F.col("rings")).alias("whole"))
+    shared = overlaps(parts, layer, size)
+    rest = whole.join(shared.groupBy("lid").agg(F.sum("area").alias("taken")), "lid", "left").select("lid", F.lit(None).cast(layer.schema["rid"].dataType).alias("rid"), F.greatest(F.col("whole") - F.coalesce("taken", F.lit(0.0)), F.lit(0.0)).alias("area"), "whole")
+    return shared.join(whole, "lid").unionByName(rest.where("area > whole * 1e-9")).withColumn("weight", F.col("area") / F.nullif("whole", F.lit(0.0))).drop("whole")
 
 
 def largest_overlap(shares: DataFrame) -> DataFrame:

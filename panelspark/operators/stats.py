@@ -16,7 +16,12 @@ def distribution(x: Column, quantiles: tuple = QUANTILES) -> list[Column]:
     at = F.percentile(x, F.array(*[F.lit(float(q)) for q in every]))
     cut = {q: at[i] for i, q in enumerate(every)}
     cuts = [cut[q].alias(f"p{q * 100:g}") for q in quantiles]
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *cuts, (cut[0.75] - cut[0.25]).alias("iqr"), (F.stddev_samp(x) / F.nullif(F.avg(x), F.lit(0.0))).alias("cv"), F.stddev_samp(F.when(x > 0, F.ln(x))).alias("sd_log"), F.count_if(x < 0).alias("n_negative")]
+    return [*moments(x), *cuts, (cut[0.75] - cut[0.25]).alias("iqr")]
+
+
+def moments(x: Column) -> list[Column]:
+    """What distribution() has besides quantiles: sums alone, so a group of any size is a small state."""
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), (F.stddev_samp(x) / F.nullif(F.avg(x), F.lit(0.0))).alias("cv"), F.stddev_samp(F.when(x > 0, F.ln(x))).alias("sd_log"), F.count_if(x < 0).alias("n_negative")]
 
 
 def weighted(x: Column, w: Column) -> tuple[Column, Column]:

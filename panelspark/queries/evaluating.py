@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from panelspark.operators import evaluation as E
 from panelspark.operators import joins as J
+from panelspark.operators import models as M
+from panelspark.operators import quantiles as Q
 from panelspark.operators import windows as R
 from panelspark.session import table
 
@@ -36,7 +38,7 @@ def calibration_deciles(spark: SparkSession, d: str) -> DataFrame:
     c = _cases(spark, d)
     fit = c.groupBy("year", "o_orderpriority", "o_orderstatus").agg(F.avg("ly").alias("fit"))
     fitted = c.join(fit, ["year", "o_orderpriority", "o_orderstatus"]).withColumn("fit", F.round("fit", 9))
-    b = E.bins_by_edges(fitted, "fit", 10, "decile")
+    b = Q.bins_by_edges(fitted, "fit", 10, "decile")
     return b.groupBy("decile").agg(F.count("*").alias("n"), F.expm1(F.avg("fit")).alias("predicted"), F.median("days").alias("median_days"), F.percentile("days", 0.75).alias("p75"), F.percentile("days", 0.9).alias("p90"), F.avg("d180").alias("over180"), F.avg("d365").alias("over365"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelspark.operators import joins as J
+from panelspark.operators import quantiles as Q
 from panelspark.operators import stats as S
 from panelspark.operators import survival as V
 from panelspark.operators import windows as R
@@ -65,14 +66,18 @@ def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:
 
 def multi_cut_moments(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of order prices over all, by status, by priority and by both; cells of at least 20."""
-    aggregates = S.distribution(F.col("o_totalprice"), (0.1, 0.5, 0.9))
-    return S.cut_moments(_orders(spark, d), [["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], ["o_orderpriority"], []], ["o_orderstatus", "o_orderpriority"], aggregates).where("n >= 20")
+    keys = ["o_orderstatus", "o_orderpriority"]
+    m = S.cut_moments(_orders(spark, d), [keys, keys[:1], keys[1:], []], keys, S.moments(F.col("o_totalprice"))).where("n >= 20")
+    cell = lambda *own: F.struct(*[(F.col(k) if k in own else F.lit("all")).alias(k) for k in keys])
+    long = _orders(spark, d).select("o_totalprice", F.explode(F.array(cell(*keys), cell(keys[0]), cell(keys[1]), cell())).alias("c")).select("c.*", "o_totalprice")
+    q = Q.quantile_table(long, keys, "o_totalprice", (0.1, 0.25, 0.5, 0.75, 0.9), ["p10", "p25", "p50", "p75", "p90"])
+    return m.join(q.withColumn("iqr", F.col("p75") - F.col("p25")).drop("p25", "p75"), keys)
 
 
 def within_year_quantile_universe(spark: SparkSession, d: str) -> DataFrame:
     """Orders in the universe by any of three rules: dear for their year, urgent, or open; each rule counted."""
     o = _orders(spark, d)
-    cut = o.groupBy("year").agg(F.percentile("o_totalprice", 0.95).alias("cut"))
+    cut = Q.quantile_table(o, ["year"], "o_totalprice", (0.95,), ["cut"])
     r = o.join(cut, "year").select("year", (F.col("o_totalprice") >= F.col("cut")).alias("dear"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), (F.col("o_orderstatus") == "O").alias("open"))
     return r.groupBy("year").agg(F.count_if("dear").alias("n_dear"), F.count_if("urgent").alias("n_urgent"), F.count_if("open").alias("n_open"), F.count_if(F.col("dear") | F.col("urgent") | F.col("open")).alias("n_any"))
 
@@ -86,8 +91,8 @@ def value_quintile_by_year(spark: SparkSession, d: str) -> DataFrame:
 def deciles_by_edges(spark: SparkSession, d: str) -> DataFrame:
     """Account balances in ten right-closed bins between their own deciles."""
     c = table(spark, d, "customer")
-    edges = c.agg(F.percentile("c_acctbal", F.array(*[F.lit(i / 10) for i in range(11)])).alias("e"))  # one row
-    b = c.crossJoin(F.broadcast(edges)).withColumn("bin", R.quantile_bin(F.col("c_acctbal"), [F.col("e")[i] for i in range(11)]))
+    edges = Q.exact_quantiles(c, [], "c_acctbal", tuple(i / 10 for i in range(11)))[()][1]
+    b = c.withColumn("bin", R.quantile_bin(F.col("c_acctbal"), [F.lit(e) for e in edges]))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"))
 
 

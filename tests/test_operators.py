@@ -151,15 +151,6 @@ def test_diff_query_reads_whole_turns(spark, tmp_path):
     assert tuple(catalogue.queries()["fuzzy_diff"](spark, str(tmp_path)).first()) == (1, 1, 0, 1, 1)
 
 
-def test_quantile_line_balances_residuals():
-    r = np.random.default_rng(1)
-    x = np.c_[np.ones(500), r.normal(size=500)]
-    y = x @ [1.0, 2.0] + r.normal(size=500)
-    for tau in (0.1, 0.5, 0.9):
-        b = A.quantile_line(x, y, tau)
-        assert abs(np.mean(y < x @ b) - tau) < 0.02
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": \n{"x": 2}\n')
     good, broken = sources.read_json_lines(spark, str(tmp_path / "a.jsonl"), "x int")
