@@ -158,6 +158,17 @@ FORMS = (
 )
 #: What a name alone is worth.
 ALONE = 0.5
+#: The last word of every form: before a name that says nothing alone, one of them stands.
+LEADS = ("under", "by", "the", "of", "identifier", "license", "licence", "licensed")
+#: Short names that count only after a form: label, first word, what may follow it.
+SPOKEN = (
+    ("mit", "mit", ""), ("mit", "expat", ""), ("isc", "isc", ""), ("zlib", "zlib", ""), ("libpng", "libpng", "(?: 2 0)?"), ("postgresql", "postgresql", ""), ("ruby", "ruby", ""), ("php-3", "php", " 3(?: 0)?(?: 0?1)?"),
+    ("tcl", "tcl", ""), ("curl", "curl", ""), ("vim", "vim", ""), ("x11", "x11", ""), ("ncsa", "ncsa", ""), ("openssl", "openssl", ""), ("json", "json", ""), ("python-2", "python", " 2(?: 0)?(?: 1)?"), ("python-2", "psf", " 2(?: 0)?"),
+    ("artistic-2", "artistic", " 2 0"), ("artistic-1", "artistic", " 1 0(?: perl| cl8)?"), ("elastic-2", "elastic", " 2 0"), ("ecl-2", "ecl", " 2 0"), ("osl-3", "osl", " 3 0"), ("afl-3", "afl", " 3 0"), ("upl-1", "upl", " 1 0"),
+    ("ipl-1", "ipl", " 1 0"), ("cpl-1", "cpl", " 1 0"), ("spl-1", "spl", " 1 0"), ("npl-1.1", "npl", " 1 1"), ("rpl-1.5", "rpl", " 1 5"), ("watcom-1", "watcom", " 1 0"), ("imagemagick", "imagemagick", ""), ("ijg", "ijg", ""),
+    ("unicode-3", "unicode", " (?:3 0|dfs 201[56]|tou)"), ("blueoak-1", "blueoak", " 1 0(?: 0)?"), ("hippocratic", "hippocratic", " 2 1"), ("beerware", "beerware", ""), ("sleepycat", "sleepycat", ""), ("mulan-2", "mulanpsl", "(?: 2 0)?"),
+    ("ogl-uk-3", "ogl", " uk 3 0"), ("dl-de-by-2", "dl", " de by 2 0"), ("hpnd", "hpnd", ""), ("bsd-3-clause", "bsd", " 3"), ("bsd-2-clause", "bsd", " 2"), ("bsd", "bsd", ""), ("apache-1.1", "apache", " 1 1"), ("apache-1", "apache", " 1 0"),
+)
 #: Rules that are not about a name: label, regex, keywords, worth. Sentences of licences and notices, then addresses.
 OTHERS = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge", 1.0),
@@ -235,6 +246,8 @@ def rules() -> list[tuple[str, str, tuple[str, ...], float | None]]:
             made.append((f"cc-{short.replace(' ', '-')}-{v}", rf"creativecommons org licenses {short} {tail}", ("creativecommons org",), 0.95))
     said = "|".join(rx for rx, _ in FORMS)
     made += [(label, rf"(?:{said})?(?:{name})", tuple(kw.split("|")), None) for label, name, kw in families()]
+    # Short names come last, so that what a longer name takes is not taken again.
+    made += [(label, rf"(?:{said})(?:{first}{rest})", tuple(f"{lead} {first}" for lead in LEADS), None) for label, first, rest in SPOKEN]
     return made
 
 
