@@ -17,7 +17,7 @@ PERMIT_FORMS = (
     ("packed", r"\b((?:19|20)\d\d)(\d{2})(\d{2})(\d{4})\b"),
 )
 #: A bare number after "No." counts where the 70 characters before speak of a permit and of nothing that also has such numbers.
-BARE = r"(?s)(.{0,70})\bNos?\.?\s*(\d{7,9})\b"
+BARE, RUN_UP = r"\bNos?\.?\s*(\d{7,9})\b", 70
 BARE_OK, BARE_BAD = r"(?i)\bpermits?\b|\bBPA\b", r"(?i)notice of violation|\bNOV\b|complaint|clearinghouse|enforcement"
 
 
@@ -28,11 +28,18 @@ def permit_numbers(text: Column) -> Column:
     claim = lambda name: lambda m: F.struct(F.regexp_replace(m, r"\D+", "").alias("number"), F.lit(name).alias("form"))
     for name, rx in PERMIT_FORMS:
         found.append(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), claim(name)))
-    # Every bare number with what stands before it; a number too near to the one before shares its run-up through the lookbehind of words.
-    bare = F.regexp_extract_all(text, F.lit(BARE), F.lit(0))
-    near = lambda m: F.regexp_extract(m, r"(?s)^(.*)\bNos?\.?\s*\d{7,9}$", 1)
-    kept = F.filter(bare, lambda m: near(m).rlike(BARE_OK) & ~near(m).rlike(BARE_BAD))
-    found.append(F.transform(kept, lambda m: F.struct(F.regexp_extract(m, r"(\d{7,9})$", 1).alias("number"), F.lit("seven-digit").alias("form"))))
+    # The numbers first, then what stands before each in the whole text, other numbers included: a fold that keeps the last RUN_UP characters.
+    bare, between = F.regexp_extract_all(text, F.lit(BARE), F.lit(0)), F.split(text, BARE, -1)
+    state = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<said:string,before:string>>").alias("seen"))
+
+    def step(s: Column, m: Column) -> Column:
+        before = F.right(F.concat(s["tail"], m["gap"]), F.lit(RUN_UP))
+        one = F.struct(m["said"].alias("said"), before.alias("before"))
+        return F.struct(F.right(F.concat(before, m["said"]), F.lit(RUN_UP)).alias("tail"), F.concat(s["seen"], F.array(one)).alias("seen"))
+
+    pairs = F.zip_with(bare, F.slice(between, 1, F.size(bare)), lambda m, gap: F.struct(m.alias("said"), gap.alias("gap")))
+    kept = F.filter(F.aggregate(pairs, state, step)["seen"], lambda m: m["before"].rlike(BARE_OK) & ~m["before"].rlike(BARE_BAD))
+    found.append(F.transform(kept, lambda m: F.struct(F.regexp_extract(m["said"], r"(\d{7,9})$", 1).alias("number"), F.lit("seven-digit").alias("form"))))
     every = F.concat(*found)
     numbers = F.array_distinct(F.transform(every, lambda x: x["number"]))
     return F.transform(numbers, lambda n: F.filter(every, lambda x: x["number"] == n)[0])
@@ -44,13 +51,24 @@ def permits_from(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: p.rlike(r"^\d{8,}$")))
 
 
-def _first_number(text: Column, rx: str, group: int = 1) -> Column:
-    """The group of a pattern's first match as a number, by digits or number words; else null."""
+def _counted(text: Column) -> Column:
+    """A printed count, in digits or words, as a number; else null."""
     words = F.create_map(*[F.lit(v) for p in T.NUMBER_WORDS.items() for v in p])
-    got = F.lower(F.regexp_replace(F.regexp_extract(text, rx, group), ",", ""))
+    got = F.lower(F.regexp_replace(text, ",", ""))
     return F.coalesce(got.try_cast("double"), F.try_element_at(words, F.nullif(got, F.lit(""))).cast("double"))
 
 
+def _all_numbers(text: Column, rx: str, group: int = 1) -> Column:
+    """The sum of a group of all of a pattern's matches; null where none is a number."""
+    found = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(group)), _counted))
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, b: a + b))
+
+
+def _first_number(text: Column, rx: str, group: int = 1) -> Column:
+    """The group of a pattern's first match as a number, by digits or number words; else null."""
+    return _counted(F.regexp_extract(text, rx, group))
+
+
 _COUNT = r"(\d[\d,]*|" + "|".join(T.NUMBER_WORDS) + r")(?:\s*\(\d+\))?"
 #: Months of an interval in words.
 INTERVALS = {"month": 1.0, "monthly": 1.0, "quarterly": 3.0, "semi-annually": 6.0, "six months": 6.0, "annually": 12.0, "annual": 12.0, "year": 12.0, "every year": 12.0}
@@ -62,8 +80,8 @@ def numbers_of(heading: Column, body: Column) -> Column:
     lead = F.concat_ws(" ", h, F.lower(F.substring(b, 1, 200)))
     about = lambda rx, text=lead: text.rlike(rx)
     start, end = T.hours(b)
-    hours = about(r"hours of operation|operating hours")
-    bikes = lambda cls: F.when(about("bicycle"), _first_number(b, rf"(?i){_COUNT}\s+class\s+(?:{cls})\s+(?:bicycle|bike)"))
+    hours = about(r"hours of operation|operating hours|shall be (?:open|closed)|limited to the following hours")
+    bikes = lambda cls: F.when(about("bicycle"), _all_numbers(b, rf"(?i){_COUNT}\s+class\s+(?:{cls})\s+(?:bicycle|bike)"))
     interval = F.create_map(*[F.lit(v) for p in INTERVALS.items() for v in p])
     values = {
         "validity_months": F.when(about(r"valid|expir"), F.get(T.durations(b), 0)),

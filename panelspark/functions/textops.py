@@ -18,7 +18,7 @@ def fold(x: Column) -> Column:
 
 def mask(x: Column) -> Column:
     """Numbers, dates and number words as #, everything but letters and # as one space."""
-    numbered = F.regexp_replace(F.lower(x), rf"\d[\d,./:-]*|\b(?:{'|'.join(MASKED_WORDS)})\b", "#")
+    numbered = F.regexp_replace(F.lower(x), rf"\d+(?:[,./:-]+\d+)*[,./:-]*|\b(?:{'|'.join(MASKED_WORDS)})\b", "#")
     return F.trim(F.regexp_replace(numbered, r"[^a-z#]+", " "))
 
 
@@ -27,30 +27,72 @@ def template_key(x: Column, chars: int = 200) -> Column:
 
 
 def durations(x: Column) -> Column:
-    """array<double>: every stated period in months, by digits, which go first, or words: three (3) years, 36 months."""
-    words = "|".join(w.replace(" ", "[- ]") for w in PERIOD_WORDS)
-    rx = rf"\b(?:({words})\s*)?\(?\s*(\d{{1,3}})?\s*\)?\s*(year|month)s?\b"
-    number = F.create_map(*[F.lit(v) for p in PERIOD_WORDS.items() for v in p])
+    """array<double>: every stated period in months: three (3) years, 36 months, twenty-four months.
 
-    def months(m: Column) -> Column:
-        part = lambda g: F.regexp_extract(m, rx, g)
-        n = F.coalesce(part(2).try_cast("double"), F.try_element_at(number, F.replace(part(1), F.lit("-"), F.lit(" "))).cast("double"))
-        return F.when(n > 0, n * F.when(part(3) == "year", 12.0).otherwise(1.0))
+    A grammar over the text's tokens: a unit, before it an optional closing bracket, then a count in digits, which go
+    first, or in one or two words, a hyphen between them or not. Counts of 0 and units without a count are no period.
+    """
+    tokens = F.regexp_extract_all(F.lower(x), F.lit(r"[a-z]+|\d+|[^\sa-z\d]"), F.lit(0))
+    counts = F.create_map(*[F.lit(v) for p in PERIOD_WORDS.items() for v in p])
 
-    return F.array_compact(F.transform(F.regexp_extract_all(F.lower(x), F.lit(rx), F.lit(0)), months))
+    def period(unit: Column, i: Column) -> Column:
+        at = lambda back: F.coalesce(F.get(tokens, i - back), F.lit(""))
+        closed = F.when(at(1) == ")", 1).otherwise(0)
+        last, before, first = at(closed + 1), at(closed + 2), at(closed + 3)
+        two = F.concat_ws(" ", F.when(before == "-", first).otherwise(before), last)
+        digits = F.when(last.rlike(r"^\d{1,3}$"), last.try_cast("double"))
+        n = F.coalesce(digits, F.try_element_at(counts, two).cast("double"), F.try_element_at(counts, last).cast("double"))
+        return F.when((n > 0) & unit.isin("year", "years"), n * 12).when((n > 0) & unit.isin("month", "months"), n)
+
+    return F.array_compact(F.transform(tokens, period))
+
+
+_CLOCK = r"(\d{1,2})(?::(\d\d))?\s*([ap])\.?\s?m\.?"
+_RANGE = rf"{_CLOCK}\s*(?:to|through|until|-|–|—)\s*{_CLOCK}"
+_ALL_DAY = r"24[\s-]*hours?(?:\s+(?:a|per))?\s+day"
 
 
 def hours(x: Column) -> tuple[Column, Column]:
-    """Opening and closing hour of the first time range, in decimal hours, past midnight from 24 on."""
-    rx = r"(\d{1,2})(?::(\d\d))?\s*([ap])\.?m\.?\s*(?:to|-|until)\s*(\d{1,2})(?::(\d\d))?\s*([ap])\.?m"
+    """Opening and closing hour of the first time range, in decimal hours, past midnight from 24 on; 0 and 24 for 24 hours a day."""
 
     def at(h: int) -> Column:
-        got = lambda g: F.regexp_extract(F.lower(x), rx, g)
+        got = lambda g: F.regexp_extract(F.lower(x), _RANGE, g)
         hour = got(h).try_cast("int") % 12 + F.when(got(h + 2) == "p", 12).otherwise(0)
         return hour + F.coalesce(got(h + 1).try_cast("int"), F.lit(0)) / 60
 
-    start, end = at(1), at(4)
-    return start, F.when(end <= start, end + 24).otherwise(end)
+    start, end, whole = at(1), at(4), F.lower(x).rlike(_ALL_DAY)
+    return F.when(whole, 0.0).otherwise(start), F.when(whole, 24.0).otherwise(F.when(end <= start, end + 24).otherwise(end))
+
+
+def hours_days(x: Column, around: int = 40) -> Column:
+    """24 hours, daily, weekend, weekday or unspecified: the days named within so many characters of the first time range; null without one."""
+    low = F.lower(x)
+    place = F.regexp_instr(low, F.lit(_RANGE))
+    said = F.substring(low, F.greatest(place - around, F.lit(1)), F.least(place - 1, F.lit(around)) + F.length(F.regexp_extract(low, _RANGE, 0)) + around)
+    names = "mon|tues|wednes|thurs|fri|satur|sun"
+    days = F.regexp_extract_all(said, F.lit(rf"\b(?:(?:{names})days?|weekdays?|weekends?|daily|every day|seven days|7 days)\b"), F.lit(0))
+    kind = F.when(F.exists(days, lambda d: d.isin("daily", "every day", "seven days", "7 days")), "daily").when(F.size(days) == 0, "unspecified").when(F.forall(days, lambda d: d.rlike("^(?:satur|sun|weekend)")), "weekend").otherwise("weekday")
+    return F.when(low.rlike(_ALL_DAY), "24 hours").when(place > 0, kind)
+
+
+#: Units of stated quantities, each with its spelling beside any count but 1, and beside 1.
+UNITS = {"year": ("years", "year"), "month": ("months", "month"), "day": ("days", "day"), "hour": ("hours", "hour"), "unit": ("units", "unit"), "space": ("spaces", "space"), "feet": ("feet", "foot"), "percent": ("percent", "percent"), "a.m.": ("a.m.", "a.m."), "p.m.": ("p.m.", "p.m.")}
+
+
+def stated_quantities(x: Column) -> Column:
+    """array<string>: each stated number with its unit, as "3 years", "1 foot", "10 percent", "9:00 a.m."; a class's number and parts of longer numbers are none."""
+    rx = r"(?<![\d.:])(?<!class )(?:\d{1,2}:\d\d|\d[\d,]*(?:\.\d+)?)\s*\)?\s*(?:(?:year|month|day|hour|unit|space)s?|feet|foot|percent|%|[ap]\.?\s?m\b\.?)"
+    spelled = F.create_map(*[F.lit(v) for k, (many, _) in UNITS.items() for v in (k, many)])
+    alone = F.create_map(*[F.lit(v) for k, (_, one) in UNITS.items() for v in (k, one)])
+
+    def one(m: Column) -> Column:
+        n = F.regexp_extract(m, r"^([\d:,.]*\d)", 1)
+        unit = F.regexp_extract(m, r"([a-z%][a-z.\s]*)$", 1)
+        clock = F.regexp_extract(unit, r"^([ap])\.?\s?m", 1)
+        base = F.when(clock != "", F.concat(clock, F.lit(".m."))).when(unit == "%", "percent").when(unit == "foot", "feet").when(unit.isin("feet", "percent"), unit).otherwise(F.regexp_replace(unit, "s$", ""))
+        return F.concat_ws(" ", n, F.when(F.replace(n, F.lit(",")) == "1", F.try_element_at(alone, base)).otherwise(F.try_element_at(spelled, base)))
+
+    return F.transform(F.regexp_extract_all(F.lower(x), F.lit(rx), F.lit(0)), one)
 
 
 def quantities(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import time
 from collections.abc import Callable
 
@@ -35,13 +37,18 @@ def write_table(df: DataFrame, path: str, partition: list[str] | None = None, fo
 
 
 def promote(spark: SparkSession, part: str, path: str) -> None:
-    """Move what was written in full to its name; what stood there goes."""
+    """Move what was written in full to its name. What stood there steps aside first and goes once the new stands: a crash leaves the old or the new, under its name or beside it."""
     fs, source = _fs(spark, part)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    target, aside = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before-{uuid.uuid4().hex}")
+    stood = fs.exists(target)
+    if stood and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if stood:
+            fs.rename(aside, target)
         raise OSError(f"could not move {part} to {path}")
+    if stood:
+        fs.delete(aside, True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

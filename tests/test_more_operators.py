@@ -105,3 +105,41 @@ def test_rings_holes_and_clipping(spark):
     triangle = G.rings_of_wkt(lit("POLYGON((2 2, 8 2, 2 8, 2 2))"))[0]
     assert spark.range(1).select(G.ring_area(G.clipped(a, triangle)).alias("v")).first().v == pytest.approx(4.0)
     assert spark.range(1).select(G.F.size(G.clipped(a, G.rectangle(lit(9), lit(9), lit(10), lit(10))[0])).alias("v")).first().v == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("building permit No. 1234567 and No. 2345678", ["1234567", "2345678"]),
+    ("building permit " + "x" * 66 + " No. 1234567", []), ("permit " + "x" * 60 + " No. 1234567", ["1234567"]),
+    ("permit No. 1234567, Notice of Violation No. 2345678", ["1234567"]), ("No. 1234567", []), (None, []),
+])
+def test_bare_permit_numbers_look_back_in_the_whole_text(spark, text, want):
+    assert [r.number for r in one(spark, text, P.permit_numbers(P.F.col("x")))] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("three (3) years, 36 months", [36.0, 36.0]), ("twenty-four months or thirty six (36) months", [24.0, 36.0]), ("a year; 0 years; 1,000 months; 1000 months", []),
+    ("within ten years and 18 months.", [120.0, 18.0]), ("1-year", []), (None, None),
+])
+def test_durations_by_grammar(spark, text, want):
+    assert one(spark, text, T.durations(T.F.col("x"))) == want
+
+
+@pytest.mark.parametrize(("text", "want", "days"), [
+    ("open 6 a.m. to 10:30 p.m. daily", (6.0, 22.5), "daily"), ("from 11 AM through 2 AM on Fridays", (11.0, 26.0), "weekday"), ("24 hours a day", (0.0, 24.0), "24 hours"),
+    ("9am–5pm, Saturday and Sunday", (9.0, 17.0), "weekend"), ("9am to 5pm", (9.0, 17.0), "unspecified"), ("no hours", (None, None), None),
+])
+def test_hours_and_days(spark, text, want, days):
+    start, end = T.hours(T.F.col("x"))
+    got = spark.createDataFrame([(text,)], "x string").select(start.alias("s"), end.alias("e"), T.hours_days(T.F.col("x")).alias("d")).first()
+    assert (got.s, got.e) == want and got.d == days
+
+
+def test_stated_quantities(spark):
+    text = "three (3) years, 1 foot, 2 foot, 10% and 1.5 percent, 9:00a.m., 8 P.M., 18 months, 1 units, class 2 spaces, 1,200 space"
+    assert one(spark, text, T.stated_quantities(T.F.col("x"))) == ["3 years", "1 foot", "2 feet", "10 percent", "1.5 percent", "9:00 a.m.", "8 p.m.", "18 months", "1 unit", "1,200 spaces"]
+
+
+def test_bicycles_of_all_matches_add_up(spark):
+    df = spark.createDataFrame([("Bicycle Parking", "12 Class 1 bicycle spaces and two Class 2 bicycle spaces; later 3 Class 1 bicycle spaces")], "h string, b string")
+    m = df.select(P.numbers_of(P.F.col("h"), P.F.col("b")).alias("m")).first().m
+    assert (m.bike_class1, m.bike_class2) == (15.0, 2.0)
