@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -99,13 +101,17 @@ def decision_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalogue_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of all tables: which could join by the words of their names, their types, and how many tables share the word."""
+    """Key columns of all tables by the words of their names: in how many tables the word stands, of how many types, how many values there are and how far they reach."""
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
-    rows = [(t, f.name, f.dataType.simpleString()) for t in names for f in table(spark, d, t).schema]  # schemas, not rows
-    c = spark.createDataFrame(rows, "source string, column string, type string")
-    word = F.regexp_replace("column", r"^[a-z]_", "")
-    keyed = c.withColumn("word", word).where(F.col("word").rlike(r"key$|_id$"))
-    return keyed.groupBy("word").agg(F.countDistinct("source").alias("n_tables"), F.min("source").alias("first_table"), F.countDistinct("type").alias("n_types"))
+    each = None
+    for t in names:
+        df = table(spark, d, t)
+        keys = [f for f in df.schema if re.search(r"key$|_id$", f.name)]
+        # One pass over a table's key columns, one row out.
+        read = df.agg(*[F.struct(F.lit(re.sub(r"^[a-z]_", "", f.name)).alias("word"), F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("n"), F.max(F.col(f.name).cast("long")).alias("most")).alias(f.name) for f in keys])
+        rows = read.select(F.explode(F.array(*[f.name for f in keys])).alias("k")).select(F.lit(t).alias("source"), "k.*")
+        each = rows if each is None else each.unionByName(rows)
+    return each.groupBy("word").agg(F.countDistinct("source").alias("n_tables"), F.min("source").alias("first_table"), F.countDistinct("type").alias("n_types"), F.sum("n").alias("n_values"), F.max("most").alias("greatest"))
 
 
 def packet_availability(spark: SparkSession, d: str) -> DataFrame:
@@ -167,9 +173,28 @@ ORACLE_SQL = {
                    UNION ALL SELECT 1, p_partkey + 1, 'Item B. MOTION: ' || (p_partkey + 1) || ' adopted.' || CASE WHEN p_partkey % 6 = 0 THEN chr(10) || 'Item C. MOTION: none.' ELSE '' END FROM part WHERE p_partkey % 2 = 0)
         SELECT place, place = 0 AS kept, count(*) AS n, sum(length(b))::BIGINT AS chars, max(m)::INT AS last_motion FROM f GROUP BY 1""",
     "catalogue_inventory": """
-        WITH c(t, w, k) AS (VALUES ('region', 'regionkey', 'i'), ('nation', 'nationkey', 'i'), ('nation', 'regionkey', 'i'), ('customer', 'custkey', 'l'), ('customer', 'nationkey', 'i'), ('supplier', 'suppkey', 'l'), ('supplier', 'nationkey', 'i'), ('part', 'partkey', 'l'), ('orders', 'orderkey', 'l'), ('orders', 'custkey', 'l'),
-             ('lineitem', 'orderkey', 'l'), ('lineitem', 'partkey', 'l'), ('lineitem', 'suppkey', 'l'), ('events', 'event_id', 'l'), ('events', 'user_id', 'l'), ('documents', 'doc_id', 'l'), ('embeddings', 'vec_id', 'l'), ('pages', 'page_id', 'l'), ('labels', 'doc_id', 'l'), ('conversations', 'conv_id', 'l'))
-        SELECT w AS word, count(DISTINCT t) AS n_tables, min(t) AS first_table, count(DISTINCT k) AS n_types FROM c GROUP BY 1""",
+        WITH c(t, w, k, n, m) AS (
+            SELECT 'region', 'regionkey', typeof(any_value(r_regionkey)), count(r_regionkey), max(r_regionkey)::BIGINT FROM region UNION ALL
+            SELECT 'nation', 'nationkey', typeof(any_value(n_nationkey)), count(n_nationkey), max(n_nationkey)::BIGINT FROM nation UNION ALL
+            SELECT 'nation', 'regionkey', typeof(any_value(n_regionkey)), count(n_regionkey), max(n_regionkey)::BIGINT FROM nation UNION ALL
+            SELECT 'customer', 'custkey', typeof(any_value(c_custkey)), count(c_custkey), max(c_custkey)::BIGINT FROM customer UNION ALL
+            SELECT 'customer', 'nationkey', typeof(any_value(c_nationkey)), count(c_nationkey), max(c_nationkey)::BIGINT FROM customer UNION ALL
+            SELECT 'supplier', 'suppkey', typeof(any_value(s_suppkey)), count(s_suppkey), max(s_suppkey)::BIGINT FROM supplier UNION ALL
+            SELECT 'supplier', 'nationkey', typeof(any_value(s_nationkey)), count(s_nationkey), max(s_nationkey)::BIGINT FROM supplier UNION ALL
+            SELECT 'part', 'partkey', typeof(any_value(p_partkey)), count(p_partkey), max(p_partkey)::BIGINT FROM part UNION ALL
+            SELECT 'orders', 'orderkey', typeof(any_value(o_orderkey)), count(o_orderkey), max(o_orderkey)::BIGINT FROM orders UNION ALL
+            SELECT 'orders', 'custkey', typeof(any_value(o_custkey)), count(o_custkey), max(o_custkey)::BIGINT FROM orders UNION ALL
+            SELECT 'lineitem', 'orderkey', typeof(any_value(l_orderkey)), count(l_orderkey), max(l_orderkey)::BIGINT FROM lineitem UNION ALL
+            SELECT 'lineitem', 'partkey', typeof(any_value(l_partkey)), count(l_partkey), max(l_partkey)::BIGINT FROM lineitem UNION ALL
+            SELECT 'lineitem', 'suppkey', typeof(any_value(l_suppkey)), count(l_suppkey), max(l_suppkey)::BIGINT FROM lineitem UNION ALL
+            SELECT 'events', 'event_id', typeof(any_value(event_id)), count(event_id), max(event_id)::BIGINT FROM events UNION ALL
+            SELECT 'events', 'user_id', typeof(any_value(user_id)), count(user_id), max(user_id)::BIGINT FROM events UNION ALL
+            SELECT 'documents', 'doc_id', typeof(any_value(doc_id)), count(doc_id), max(doc_id)::BIGINT FROM documents UNION ALL
+            SELECT 'embeddings', 'vec_id', typeof(any_value(vec_id)), count(vec_id), max(vec_id)::BIGINT FROM embeddings UNION ALL
+            SELECT 'pages', 'page_id', typeof(any_value(page_id)), count(page_id), max(page_id)::BIGINT FROM pages UNION ALL
+            SELECT 'labels', 'doc_id', typeof(any_value(doc_id)), count(doc_id), max(doc_id)::BIGINT FROM labels UNION ALL
+            SELECT 'conversations', 'conv_id', typeof(any_value(conv_id)), count(conv_id), max(conv_id)::BIGINT FROM conversations)
+        SELECT w AS word, count(DISTINCT t) AS n_tables, min(t) AS first_table, count(DISTINCT k) AS n_types, sum(n)::BIGINT AS n_values, max(m) AS greatest FROM c GROUP BY 1""",
     "packet_availability": """
         WITH s AS (SELECT o_orderkey, o_orderdate, year(o_orderdate)::INT AS year FROM orders QUALIFY row_number() OVER (PARTITION BY year(o_orderdate), o_orderstatus ORDER BY o_orderkey * 7919 % 10007, o_orderkey) <= 10),
         l AS (SELECT o_orderkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_extendedprice > 90000) AS x, bool_or(l_shipdate > o_orderdate) AS t FROM s JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
