@@ -77,16 +77,18 @@ def items(text: Column) -> Column:
     left out. With fewer than two, every numbered line begins an item; without any, the text is one of kind `whole`.
     Null and blank texts have none.
     """
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d\d\.\d{3,6}[A-Za-z]{0,8})[!?]+", "")
-
-    def cut(pieces: Column) -> Column:
-        marked = F.transform(_spans(pieces, _places(_begins(pieces))), lambda s: F.struct(kind_of(s).alias("kind"), _trimmed(s).alias("body")))
+    def cut(clean: Column) -> Column:
+        pieces = _lines_before(clean, _ANY)
+        marked = _let(pieces, lambda ps: F.transform(_spans(ps, _places(_begins(ps))), lambda s: F.struct(kind_of(s).alias("kind"), _trimmed(s).alias("body"))))
         plain = _let(_lines_before(clean, r"\d+[a-z]?[.)]\s"), lambda ps: F.slice(ps, 2, F.size(ps) - 1))
         numbered = F.transform(plain, lambda s: F.struct(F.lit("numbered").alias("kind"), _trimmed(s).alias("body")))
         whole = F.array(F.struct(F.lit("whole").alias("kind"), _trimmed(clean).alias("body")))
-        return F.when(F.size(marked) >= 2, marked).when(F.size(numbered) > 0, numbered).otherwise(whole)
+        return _let(marked, lambda m: F.when(F.size(m) >= 2, m).otherwise(_let(numbered, lambda n: F.when(F.size(n) > 0, n).otherwise(whole))))
 
-    return F.filter(_let(_lines_before(clean, _ANY), cut), lambda i: i["body"] != "")
+    # The sign first, then what stands before it: most texts have few.
+    noise = r"[!?]{1,4}(?<=\d\d\.\d{3,6}[A-Za-z]{0,8}[!?]{1,4})"
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), noise, "")
+    return F.filter(_let(clean, cut), lambda i: i["body"] != "")
 
 
 def fragments(block: Column) -> Column:

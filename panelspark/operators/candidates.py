@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Year and serial of a case number, and what stands behind them.
@@ -40,12 +40,13 @@ def candidates(keys: DataFrame, key: str, variant: str, families: dict[str, tupl
     A family that says so also takes the variant with its last capitals in lower case. Places are given once a key.
     """
     low = F.concat(F.regexp_replace(F.col(variant), "[A-Z]+$", ""), F.lower(F.regexp_extract(F.col(variant), "([A-Z]+)$", 1)))
-    out = None
-    for family, (template, lower) in families.items():
-        each = keys.withColumn("__v", F.explode(F.array_distinct(F.array(F.col(variant), low))) if lower else F.col(variant))
+
+    def filled(family: str, template: str, v: Column) -> Column:
         place = F.lit(template)
         for c in keys.columns:
-            place = F.replace(place, F.lit("{" + c + "}"), F.col("__v") if c == variant else F.col(c).cast("string"))
-        one = each.select(F.col(key).alias("key"), F.lit(family).alias("family"), F.col("__v").alias("variant"), place.alias("place"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+            place = F.replace(place, F.lit("{" + c + "}"), v if c == variant else F.coalesce(F.col(c).cast("string"), F.lit("")))
+        return F.struct(F.lit(family).alias("family"), v.alias("variant"), place.alias("place"))
+
+    each = F.array(*[filled(f, template, v) for f, (template, lower) in families.items() for v in ([F.col(variant), low] if lower else [F.col(variant)])])
+    # One pass over the keys, whatever the number of families.
+    return keys.select(F.col(key).alias("key"), F.explode(F.array_distinct(each)).alias("c")).select("key", "c.*").distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelspark.functions import parsing as P
+from panelspark.functions import headers as H
+from panelspark.functions import itemfields as I
 from panelspark.operators import rules as U
 from panelspark.session import table
 
@@ -62,24 +63,22 @@ def header_prefill(spark: SparkSession, d: str) -> DataFrame:
     """Fields of a meeting from the lines about its header: place, clock, people present and absent, presiding, by regular windows."""
     k = F.col("c_custkey")
     text = F.concat(F.lit("CITY COMMISSION\nRoom "), k % 400, F.lit(", City Hall\nThursday, May "), k % 28 + 1, F.lit(", 1999\n"), k % 3 + 1, F.lit(":30 PM\nPRESENT: Lee, Wu"), F.when(k % 2 == 0, ", Roe").otherwise(""), F.lit("\nABSENT: "), F.when(k % 2 == 1, "Roe").otherwise("none"), F.lit("\nTHE MEETING WAS CALLED TO ORDER BY PRESIDENT "), F.when(k % 3 == 0, "LEE").otherwise("WU"), F.lit(" AT 1:35 PM"))
-    people = lambda rx: F.filter(F.transform(F.split(F.regexp_extract("t", rx, 1), ","), F.trim), lambda n: (n != "") & (F.lower(n) != "none"))
-    m = table(spark, d, "customer").select("c_custkey", text.alias("t")).select(
-        F.regexp_extract("t", r"Room (\d+)", 1).try_cast("int").alias("room"),
-        F.regexp_extract("t", r"\n(\d{1,2}:\d\d [AP]M)\n", 1).alias("clock"),
-        F.size(people(r"PRESENT: ([^\n]*)")).alias("present"),
-        F.size(people(r"ABSENT: ([^\n]*)")).alias("absent"),
-        F.initcap(F.regexp_extract("t", r"CALLED TO ORDER BY (?:VICE[- ])?PRESIDENT (\w+)", 1)).alias("presiding"),
-    )
+    day = F.concat(F.lit("Thursday, May "), k % 28 + 1, F.lit(", 1999"))
+    h = table(spark, d, "customer").select(text.alias("t"), H.fields(text, day).alias("h"))
+    m = h.select(
+        F.regexp_extract("t", r"Room (\d+)", 1).try_cast("int").alias("room"), F.col("h.meeting_time").alias("clock"),
+        F.size("h.present").alias("present"), F.size("h.absent").alias("absent"), F.col("h.presiding").alias("presiding"),
+    )
     return m.groupBy("presiding", "clock", "present", "absent").agg(F.count("*").alias("n"), F.max("room").alias("largest_room"))
 
 
 def block_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of an item's block: case, action, motion, votes, district, by one pattern each; how many blocks give each, and with what."""
     k = F.col("p_partkey")
-    text = F.concat(F.lit("5. 2015-"), F.lpad(k.cast("string"), 6, "0"), F.when(k % 2 == 0, "CUA").otherwise("DRP"), F.lit(" (J. SMITH) 12 Elm St, in a "), F.when(k % 3 == 0, "RH-2").otherwise("NC-3"), F.lit(" District. ACTION: "), F.when(k % 4 == 0, "Disapproved").when(k % 4 == 1, "Approved with conditions").otherwise("Continued to June 1"), F.lit(" AYES: Lee, Wu NOES: "), F.when(k % 5 == 0, "Roe").otherwise("none"), F.when(k % 4 < 2, F.concat(F.lit(" MOTION: "), k + 100)).otherwise(""))
-    action = P.ladder_of(F.regexp_extract("t", r"ACTION: ([A-Za-z ]+)", 1), (("(?i)disapprov", "disapproved"), ("(?i)with conditions", "approved_with_conditions"), ("(?i)approv", "approved"), ("(?i)continu", "continued")))
-    kind = P.ladder_of(F.regexp_extract("t", r"\d{4}-\d{6}([A-Z]+)", 1), (("^CUA$", "conditional_use"), ("^DR", "discretionary_review")))
-    b = table(spark, d, "part").select(text.alias("t")).select(kind.alias("request"), action.alias("action"), F.regexp_extract("t", r"in an? ([A-Z]+-\d)", 1).alias("district"), F.nullif(F.regexp_extract("t", r"MOTION: (\d+)", 1), F.lit("")).try_cast("int").alias("motion"), (F.regexp_extract("t", r"NOES: (\w+)", 1) != "none").alias("dissent"))
+    text = F.concat(F.lit("5. 2015-"), F.lpad(k.cast("string"), 6, "0"), F.when(k % 2 == 0, "CUA").otherwise("DRP"), F.lit(" (J. SMITH) 12 Elm St, in a "), F.when(k % 3 == 0, "RH-2").otherwise("NC-3"), F.lit(" (HOUSE) District.\nACTION: "), F.when(k % 4 == 0, "Disapproved").when(k % 4 == 1, "Approved with conditions").otherwise("Continued to June 1"), F.lit("\nAYES: Lee, Wu\nNOES: "), F.when(k % 5 == 0, "Roe").otherwise("none"), F.when(k % 4 < 2, F.concat(F.lit("\nMOTION: "), k + 100)).otherwise(""))
+    f = table(spark, d, "part").select(I.fields(text).alias("f")).select("f.*")
+    action = F.when((F.col("action") == "approved") & (F.col("conditions_imposed") == "yes"), "approved_with_conditions").otherwise(F.col("action"))
+    b = f.select(F.col("request_type").alias("request"), action.alias("action"), F.col("type_district").alias("district"), F.col("action_instrument_no").alias("motion"), (F.size("noes") > 0).alias("dissent"))
     return b.groupBy("request", "action", "district").agg(F.count("*").alias("n"), F.count("motion").alias("n_motions"), F.max("motion").alias("last_motion"), F.count_if("dissent").alias("n_dissent"))
 
 

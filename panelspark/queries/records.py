@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import blocks as B
+from panelspark.operators import candidates as C
 from panelspark.operators import laws as L
+from panelspark.operators import positions as P
 from panelspark.session import table
 
 
@@ -55,7 +57,38 @@ def law_prices(spark: SparkSession, d: str) -> DataFrame:
     return i.where(L.counts_on(F.date_sub("day", 1))).groupBy("day", "priority").agg(F.count("*").alias("n"), F.sum(cents).alias("cents"), F.coalesce(F.sum(F.when(F.col("basis") == "inferred", cents)), F.lit(0)).alias("inferred_cents"))
 
 
-QUERIES = {"resplit_documents": resplit_documents, "document_items": document_items, "law_inventory": law_inventory, "law_prices": law_prices}
+def candidate_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places where papers of orders may be: orders as cases of their buyer and year with a suffix by priority, parts of their lines as motions or resolutions; by family the places, keys and the last place."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_custkey", F.substring("o_orderpriority", 3, 1).alias("s"), "o_orderkey")
+    cases = o.select(F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), "s").alias("cn"), F.concat(F.col("y").cast("string"), F.lit("-"), F.col("o_custkey").cast("string"), F.lit(" "), "s").alias("raw"))
+    l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("n"), F.when(F.col("l_returnflag") == "R", "resolution").otherwise("motion").alias("i"), F.year("l_shipdate").alias("y"))
+    by_case = C.candidates(C.case_keys(cases, "cn", "raw"), "case", "variant", {"packets": ("packets/{variant}.pdf", False), "archive": ("archive/{variant}.pdf", True)})
+    by_number = C.candidates(C.instrument_keys(l, "n", "i", "y"), "number", "form", {"motions": ("motions/{year}/{form}.pdf", False)})
+    return by_case.unionByName(by_number).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"), F.countDistinct("variant").alias("n_variants"), F.sum(F.length("place")).alias("chars"), F.max("place").alias("last_place"))
+
+
+def _sale_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Sales as marks: their client, day and second."""
+    s = table(spark, d, "sales")
+    return s.select(F.col("client_id").alias("doc"), F.to_date("sold_at").cast("string").alias("date"), F.unix_timestamp("sold_at").alias("place"))
+
+
+def purchase_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Clients' purchases by click as boundaries found, their sales as those marked: scores by day and one to one within an hour."""
+    c = table(spark, d, "clicks").where("kind = 'purchase'").select(F.col("client_id").alias("doc"), F.to_date("ts").cast("string").alias("date"), F.unix_timestamp("ts").alias("place"))
+    return P.boundary_scores(_sale_marks(spark, d), c, 3600)
+
+
+def dates_of_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Clients' clicks as blocks in the order of their ids, dated by the last sale at or before them: by kind how many have a date, and how many arrived on it."""
+    # Of rows with one click and client, the smallest in time, kind and arrival.
+    one = table(spark, d, "clicks").where("client_id is not null and click_id is not null").groupBy("client_id", "click_id").agg(F.min(F.struct("ts", "kind", "arrived_at")).alias("r")).select("client_id", "click_id", "r.*")
+    b = one.select(F.col("client_id").alias("doc"), F.col("click_id").alias("block"), F.unix_timestamp("ts").alias("place"), F.concat_ws("|", F.coalesce("kind", F.lit("")), F.to_date("arrived_at").cast("string")).alias("date"))
+    w = P.block_dates(_sale_marks(spark, d), b)
+    return w.groupBy(F.substring_index("date", "|", 1).alias("kind")).agg(F.count("*").alias("n"), F.count("want").alias("n_dated"), F.count_if(F.coalesce(F.substring_index("date", "|", -1) == F.col("want"), F.lit(False))).alias("n_same"), F.max("want").alias("last"))
+
+
+QUERIES = {"resplit_documents": resplit_documents, "document_items": document_items, "law_inventory": law_inventory, "law_prices": law_prices, "candidate_places": candidate_places, "purchase_boundaries": purchase_boundaries, "dates_of_blocks": dates_of_blocks}
 
 _INVENTORY = """
     laws AS (SELECT DISTINCT ON (sale_id) sale_id, client_id, status, total, priority, sold_at, arrived_at FROM sales WHERE sale_id IS NOT NULL ORDER BY sale_id, arrived_at NULLS FIRST, sold_at NULLS FIRST, client_id NULLS FIRST, status NULLS FIRST, total NULLS FIRST, priority NULLS FIRST),
@@ -82,4 +115,21 @@ ORACLE_SQL = {
     "law_prices": f"""WITH {_INVENTORY}
         SELECT day::DATE AS day, priority, count(*) AS n, sum(round(total * 100)::BIGINT)::BIGINT AS cents, coalesce(sum(round(total * 100)::BIGINT) FILTER (basis = 'inferred'), 0)::BIGINT AS inferred_cents
         FROM inv, range(DATE '2024-02-01', DATE '2024-06-02', INTERVAL 1 MONTH) AS r(day) WHERE effective <= day - INTERVAL 1 DAY GROUP BY 1, 2""",
+    "candidate_places": r"""
+        WITH o AS (SELECT year(o_orderdate) AS y, o_custkey AS c, substr(o_orderpriority, 3, 1) AS s FROM orders),
+        cases AS (SELECT DISTINCT y || '-' || lpad(c::VARCHAR, 9, '0') AS stem, s, y || '-' || c || ' ' || s AS raw FROM o),
+        variants AS (SELECT stem || s AS key, stem || s AS v FROM cases UNION SELECT stem || s, raw FROM cases UNION SELECT stem || s, stem FROM cases UNION SELECT a.stem || a.s, a.stem || b.s FROM cases a JOIN cases b USING (stem)),
+        lows AS (SELECT key, v FROM variants UNION SELECT key, regexp_replace(v, '[A-Z]+$', '') || lower(regexp_extract(v, '[A-Z]+$')) FROM variants),
+        numbers AS (SELECT DISTINCT l_partkey::VARCHAR AS key, l_returnflag = 'R' AS r, year(l_shipdate) AS y FROM lineitem WHERE length(l_partkey::VARCHAR) BETWEEN 3 AND 6),
+        forms AS (SELECT DISTINCT key, unnest(CASE WHEN r THEN [key, 'R' || key] ELSE [key] END) AS v, y FROM numbers),
+        places AS (SELECT 'packets' AS family, key, v, 'packets/' || v || '.pdf' AS p FROM variants UNION ALL SELECT 'archive', key, v, 'archive/' || v || '.pdf' FROM lows
+            UNION ALL SELECT DISTINCT 'motions', key, v, 'motions/' || (y + k) || '/' || v || '.pdf' FROM forms, unnest([-1, 0, 1]) AS u(k))
+        SELECT family, count(*) AS n, count(DISTINCT key) AS n_keys, count(DISTINCT v) AS n_variants, sum(length(p))::BIGINT AS chars, max(p) AS last_place FROM places GROUP BY 1""",
+    "dates_of_blocks": """
+        WITH marks AS (SELECT client_id AS doc, epoch_us(date_trunc('second', sold_at)) AS place, max(sold_at::DATE) AS day FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY 1, 2),
+        firsts AS (SELECT doc, arg_min(day, place) AS day FROM marks GROUP BY 1),
+        blocks AS (SELECT DISTINCT ON (client_id, click_id) client_id AS doc, click_id, epoch_us(date_trunc('second', ts)) AS place, coalesce(kind, '') AS kind, arrived_at::DATE AS arrived FROM clicks WHERE client_id IS NOT NULL AND click_id IS NOT NULL ORDER BY client_id, click_id, ts NULLS FIRST, clicks.kind NULLS FIRST, arrived_at NULLS FIRST),
+        near AS (SELECT b.*, CASE WHEN b.place IS NOT NULL THEN coalesce(m.day, f.day) END AS day FROM blocks b ASOF LEFT JOIN marks m ON b.doc = m.doc AND b.place >= m.place LEFT JOIN firsts f ON b.doc = f.doc),
+        wanted AS (SELECT kind, arrived, coalesce(day, last_value(day IGNORE NULLS) OVER (PARTITION BY doc ORDER BY click_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS want FROM near)
+        SELECT kind, count(*) AS n, count(want) AS n_dated, count(*) FILTER (arrived = want) AS n_same, max(want)::VARCHAR AS last FROM wanted GROUP BY 1""",
 }
