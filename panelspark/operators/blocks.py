@@ -1,7 +1,7 @@
 """Cuts a text into agenda items, items that were run together, and decisions.
 
 All cuts are made inside the row that holds the text: candidate lines split it, each is judged by what stands before and
-behind it, and those that fail are glued back. No text is shuffled, and the work is linear in a text's length.
+behind it, and those that fail are glued back. Cuts shuffle nothing and are linear in a text's length; `resplit` shuffles once.
 """
 
 from __future__ import annotations
