@@ -109,6 +109,21 @@ def first_rule(df: DataFrame, text: str, rules: list[tuple[str, str]], out: str)
     return df.withColumn(out, label)
 
 
+def rules_of_list(df: DataFrame, text: str, rules: list[tuple[str, str, str]], separator: str = "; ", labels: str = "labels", notes: str = "notes") -> DataFrame:
+    """df with the labels and notes of a list in one column: each element takes the first rule (regex, label, note) that it matches, or none.
+
+    Both are sorted without repeats, a blank note left out; an empty or null list has empty ones. No row is copied: a list is looked through in place.
+    """
+    none = F.lit(None).cast("struct<label:string,note:string>")
+
+    def first(element: Column) -> Column:
+        return reduce(lambda acc, r: F.when(element.rlike(r[0]), F.struct(F.lit(r[1]).alias("label"), F.lit(r[2]).alias("note"))).otherwise(acc), reversed(rules), none)
+
+    told = F.array_compact(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\\Q" + separator + "\\E"), first))
+    sorted_of = lambda part: F.array_sort(F.array_distinct(F.transform("__told", lambda x: x[part])))
+    return df.withColumn("__told", told).withColumn(labels, sorted_of("label")).withColumn(notes, F.filter(sorted_of("note"), lambda n: n != "")).drop("__told")
+
+
 def panel_years(df: DataFrame, first: str, last: str, year: str = "year") -> DataFrame:
     """One row for each year from first to last, both included; none where the span is empty or null."""
     return df.withColumn(year, F.explode(F.when(F.col(first) <= F.col(last), F.sequence(F.col(first), F.col(last)))))

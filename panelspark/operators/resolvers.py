@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelspark.operators.joins import cascade_join
+
 
 def first_of(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """(key, value): the value of each key's first row; null keys have none."""
@@ -21,6 +23,23 @@ def only_of(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return named.groupBy(*key).agg(F.count("*").alias("__n"), F.min(value).alias(value)).where("__n = 1").drop("__n")
 
 
+def of_roll(df: DataFrame, roll: DataFrame, stem: str, ordinal: str, date: str, token: str, order: list[str], value: str, how: str = "how") -> DataFrame:
+    """df with `value` of the roll's row that it belongs to, and the tier that told it.
+
+    The first row of its stem and ordinal, else the first of its stem and date, else the only row of its date, else the only
+    one of its date whose token is its own, else none. The four columns have the same names on both sides; nulls match
+    nothing. Rows of a date are counted, not paired: each tier is a lookup of one row a key. A value that is null in the
+    roll tells nothing, so a later tier may.
+    """
+    tiers = [
+        ("ordinal", first_of(roll, [stem, ordinal], order, value), [stem, ordinal]),
+        ("date", first_of(roll, [stem, date], order, value), [stem, date]),
+        ("only", only_of(roll, [date], value), [date]),
+        ("token", only_of(roll, [date, token], value), [date, token]),
+    ]
+    return cascade_join(df, tiers, value, how)
+
+
 def fallback(df: DataFrame, exact: DataFrame, on: list[str], general: DataFrame, on_general: list[str], value: str) -> DataFrame:
     """df with `value` of the exact key, else of the general one; both lookups have one row a key."""
     out = df.join(exact.withColumnRenamed(value, "__exact"), on, "left").join(general.withColumnRenamed(value, "__general"), on_general, "left")

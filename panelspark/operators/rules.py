@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.quantiles import quantile_table
+
 
 def in_force(df: DataFrame, regimes: DataFrame, at: str) -> DataFrame:
     """df with the columns of the regime whose [start, end) holds its date, the one of the smallest priority; regimes are a handful of rows."""
@@ -54,3 +56,23 @@ def verified(claims: DataFrame, key: str, field: str, value: str, flag: str = "v
     """(key, field, value) of the claims that are verified; a claim that is asked for and not verified is an error where the plan runs."""
     checked = F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("not verified: "), F.col(key).cast("string"), F.lit("."), F.col(field).cast("string"))).cast(claims.schema[value].dataType))
     return claims.select(key, field, checked.alias(value))
+
+
+def universe(df: DataFrame, rules: dict[str, Column], dear: str, of: Column, cost: str, period: str, share: float = 0.95, nominal: float | None = None) -> DataFrame:
+    """df with a flag for every rule and one, `dear`, for rows of a kind whose cost reaches the period's quantile, and in_universe, whether any holds.
+
+    The quantile is exact and taken among rows of that kind (`of`) alone, so it means the same in every period; `nominal`
+    takes a fixed amount instead. A null condition, cost or period is no member.
+    """
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    if nominal is None:
+        cuts = quantile_table(df.where(holds(of) & F.col(period).isNotNull()), [period], cost, (share,), ["__cut"]).select(period, "__cut")
+        # A row a period.
+        out = df.join(cuts, period, "left")
+    else:
+        out = df.withColumn("__cut", F.lit(nominal))
+    flagged = out.select(*df.columns, *[holds(c).alias(n) for n, c in rules.items()], holds(of & (F.col(cost) >= F.col("__cut"))).alias(dear))
+    any_of = F.lit(False)
+    for n in (*rules, dear):
+        any_of = any_of | F.col(f"`{n}`")
+    return flagged.withColumn("in_universe", any_of)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("chains", "linkage", "measures", "texts", "resolving", "evaluating", "layers", "printed", "routines", "obligations", "modelling", "reading", "records")
+FAMILIES = ("chains", "linkage", "measures", "texts", "resolving", "evaluating", "layers", "printed", "routines", "obligations", "modelling", "reading", "records", "holdings")
 
 
 def _collect(name: str) -> dict:
