@@ -27,7 +27,7 @@ WEIGHTS, MOST_TIMES = (5, 2, 1), 3
 BLOCK = 4_000
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(word_counts(batch.column(0)))], names=["doc", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(word_counts(batch.column(0)))], names=["doc", "source", "said", "size"])
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
@@ -91,7 +91,8 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray, documents: bool =
 def _land(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """The last block, sizes descending. What the large units leave undecided is drawn; what that takes too many or too few
     in words is taken from the probabilities of the small ones, which hold eight times the largest size or half of all;
-    these fly for the words alone, and the last one is rounded to what is nearest."""
+    these fly for the words alone, and the last one is rounded to what is nearest. Where large units took too much or too
+    little for the small ones to mend, units are exchanged while that brings the words nearer."""
     p = p.astype(float)
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if not len(open_):
@@ -113,9 +114,30 @@ def _land(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     for x in np.flatnonzero((p > 0) & (p < 1)):
         others = (p * size).sum() - p[x] * size[x]
         p[x] = float(abs(others + size[x] - want) < abs(others - want))
+    while _exchange(p, size, open_, (p * size).sum() - want):
+        pass
     return p
 
 
+def _exchange(p: np.ndarray, size: np.ndarray, among: np.ndarray, over: float) -> bool:
+    """Of the units that landed, one that is taken for one that is not, or for none, or one more, whichever brings the words
+    nearest to what was wanted. False where that is nearer by less than a word."""
+    # Place -1 is no unit, of size 0.
+    taken, left = np.append(among[p[among] == 1], -1), np.append(among[p[among] == 0], -1)
+    words = np.append(size, 0.0)
+    left = left[np.argsort(words[left], kind="stable")]
+    at = np.searchsorted(words[left], words[taken] - over)
+    best = (abs(over) - 1, -1, -1)
+    for near in (np.clip(at - 1, 0, len(left) - 1), np.clip(at, 0, len(left) - 1)):
+        rest = np.abs(over - words[taken] + words[left[near]])
+        i = int(rest.argmin())
+        best = min(best, (float(rest[i]), int(taken[i]), int(left[near[i]])))
+    for unit, to in ((best[1], 0.0), (best[2], 1.0)):
+        if unit >= 0:
+            p[unit] = to
+    return best[1:] != (-1, -1)
+
+
 def _round(number: int):
     """A block of (doc, source, size, p, mark, blocks) -> the same with p moved. The largest documents come first; a source's only block lands."""
 
@@ -135,12 +157,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     size is the number of words (null text: 0), target the words wanted of the row's source, times how often the row is
     taken, taken = times * size. Rows of size 0 and of sources without words are not taken. A null source is a source,
-    the last; a null key is a key; repeated rows are rows of their own, decided in the order of a hash of their key.
+    the last; a null key is a key; repeated rows are rows of their own, decided in the order of a hash of their
+    key and text; rows of one key and text are drawn alike.
     Reruns agree. Empty tables give empty results; other columns play no part.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("doc"), F.col(source).cast("string").alias("source"))
-    sized = materialize(rows.mapInArrow(_sizes, f"doc {kind}, source string, size long"), "mix-sizes")
+    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("said"))
+    sized = materialize(rows.mapInArrow(_sizes, f"doc {kind}, source string, said long, size long"), "mix-sizes")
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), weights)
     # Whole times and the number of documents, one row a source.
     sources = materialize(totals.select("source", F.col("words").alias("source_size"), "target", F.coalesce(F.floor(F.col("target") / F.nullif("words", F.lit(0))), F.lit(0)).cast("long").alias("whole"), "docs"), "mix-sources")
@@ -150,7 +173,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     joined = of(sized, sources)
     counts = (F.col("size") > 0) & (F.col("source_size") > 0)
-    marked = joined.withColumn("p", F.when(counts, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0)).withColumn("mark", F.xxhash64("doc", "size"))
+    marked = joined.withColumn("p", F.when(counts, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0)).withColumn("mark", F.xxhash64("doc", "size", "said"))
     state, left = marked.select("doc", "source", "size", "p", "mark"), sources.select("source", F.col("docs").alias("left"))
     schema = f"doc {kind}, source string, size long, p double, mark long, blocks long, block long"
     decided, made, number = [], [sized, sources], 0

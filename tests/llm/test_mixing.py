@@ -79,3 +79,15 @@ def test_nulls_ties_and_empty(spark):
     assert sorted((r.size for r in got)) == [0, 0, 1, 2, 2, 3, 50_000]
     assert all(r.taken == 0 for r in got if r.size == 0)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_landing_is_near_for_every_draw():
+    """A source with one document of most of its target: the words come near whether or not it is taken, and it is taken as often as it should be."""
+    rng = np.random.default_rng(1)
+    size = np.sort(np.append(rng.integers(20, 700, 48), [1834, 5184]))[::-1].astype(float)
+    p, taken = 7094 / size.sum(), np.zeros(50)
+    for seed in range(300):
+        got = mixing._land(np.full(50, p), size, np.random.default_rng(seed).random(50))
+        assert set(got) <= {0.0, 1.0} and abs((got * size).sum() - 7094) <= 71
+        taken += got
+    assert abs(taken[0] / 300 - p) < 0.09
