@@ -62,8 +62,9 @@ def block_dates(gold: DataFrame, blocks: DataFrame) -> DataFrame:
     g = gold.where("doc is not null and date is not null and place is not null").select("doc", "place", F.col("date").alias("mark"), F.lit(0).alias("b"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block"), F.lit(None).cast(blocks.schema["date"].dataType).alias("date"))
     rows = g.unionByName(blocks.select("doc", "place", F.lit(None).cast(gold.schema["date"].dataType).alias("mark"), F.lit(1).alias("b"), "block", "date"))
     by_place = W.partitionBy("doc").orderBy(F.asc_nulls_first("place"), "b", "mark")
-    ahead = by_place.rowsBetween(W.currentRow, W.unboundedFollowing)
+    # The first mark of a document: a frame that goes on to the end would be read anew for every row.
+    first = F.min(F.when(F.col("b") == 0, F.struct("place", "mark"))).over(W.partitionBy("doc"))["mark"]
     latest = F.last("mark", ignorenulls=True).over(by_place.rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = rows.withColumn("__w", F.when(F.col("place").isNotNull(), F.coalesce(latest, F.first("mark", ignorenulls=True).over(ahead)))).where("b = 1")
+    placed = rows.withColumn("__w", F.when(F.col("place").isNotNull(), F.coalesce(latest, first))).where("b = 1")
     by_block = W.partitionBy("doc").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
     return placed.select("doc", "block", "place", "date", F.coalesce("__w", F.last("__w", ignorenulls=True).over(by_block)).alias("want"))
