@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ MASKED_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight",
 PERIOD_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "ten": 10, "twelve": 12, "eighteen": 18, "twenty four": 24, "thirty six": 36}
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What the body makes of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(x: Column) -> Column:
     """Typographic signs as ASCII, white space folded."""
     return F.trim(F.regexp_replace(F.translate(x, "‘’“”–— ", "''\"\"-- "), r"\s+", " "))
@@ -35,16 +42,20 @@ def durations(x: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(x), F.lit(r"[a-z]+|\d+|[^\sa-z\d]"), F.lit(0))
     counts = F.create_map(*[F.lit(v) for p in PERIOD_WORDS.items() for v in p])
 
-    def period(unit: Column, i: Column) -> Column:
+    def count(tokens: Column, i: Column) -> Column:
         at = lambda back: F.coalesce(F.get(tokens, i - back), F.lit(""))
         closed = F.when(at(1) == ")", 1).otherwise(0)
         last, before, first = at(closed + 1), at(closed + 2), at(closed + 3)
         two = F.concat_ws(" ", F.when(before == "-", first).otherwise(before), last)
         digits = F.when(last.rlike(r"^\d{1,3}$"), last.try_cast("double"))
-        n = F.coalesce(digits, F.try_element_at(counts, two).cast("double"), F.try_element_at(counts, last).cast("double"))
-        return F.when((n > 0) & unit.isin("year", "years"), n * 12).when((n > 0) & unit.isin("month", "months"), n)
+        return F.coalesce(digits, F.try_element_at(counts, two).cast("double"), F.try_element_at(counts, last).cast("double"))
+
+    def periods(tokens: Column) -> Column:
+        # Only units ask for what stands before them.
+        months = lambda unit, i: F.when(unit.isin("year", "years"), count(tokens, i) * 12).when(unit.isin("month", "months"), count(tokens, i))
+        return F.filter(F.transform(tokens, months), lambda n: n > 0)
 
-    return F.array_compact(F.transform(tokens, period))
+    return bound(tokens, periods)
 
 
 _CLOCK = r"(\d{1,2})(?::(\d\d))?\s*([ap])\.?\s?m\.?"
@@ -55,13 +66,16 @@ _ALL_DAY = r"24[\s-]*hours?(?:\s+(?:a|per))?\s+day"
 def hours(x: Column) -> tuple[Column, Column]:
     """Opening and closing hour of the first time range, in decimal hours, past midnight from 24 on; 0 and 24 for 24 hours a day."""
 
-    def at(h: int) -> Column:
-        got = lambda g: F.regexp_extract(F.lower(x), _RANGE, g)
+    def at(said: Column, h: int) -> Column:
+        got = lambda g: F.regexp_extract(said, _RANGE, g)
         hour = got(h).try_cast("int") % 12 + F.when(got(h + 2) == "p", 12).otherwise(0)
         return hour + F.coalesce(got(h + 1).try_cast("int"), F.lit(0)) / 60
 
-    start, end, whole = at(1), at(4), F.lower(x).rlike(_ALL_DAY)
-    return F.when(whole, 0.0).otherwise(start), F.when(whole, 24.0).otherwise(F.when(end <= start, end + 24).otherwise(end))
+    # The whole text is searched once; the hours are read from what was found.
+    said, whole = F.regexp_extract(F.lower(x), _RANGE, 0), F.lower(x).rlike(_ALL_DAY)
+    span = bound(said, lambda s: F.struct(at(s, 1).alias("start"), at(s, 4).alias("end")))
+    closing = bound(span, lambda r: F.when(r["end"] <= r["start"], r["end"] + 24).otherwise(r["end"]))
+    return F.when(whole, 0.0).otherwise(span["start"]), F.when(whole, 24.0).otherwise(closing)
 
 
 def hours_days(x: Column, around: int = 40) -> Column:

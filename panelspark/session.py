@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "panelspark") -> SparkSession:
@@ -27,3 +27,8 @@ def local_session(cpus: int | None = None, app: str = "panelspark") -> SparkSess
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, at_least: int = 32) -> DataFrame:
+    """df over so many tasks, three a core if that is more: for work on short rows whose table is a file of few parts."""
+    return df.repartition(max(at_least, 3 * df.sparkSession.sparkContext.defaultParallelism))

@@ -12,3 +12,11 @@ def plan(df) -> str:
 def test_dates_of_blocks_reads_no_frame_anew_for_every_row(spark):
     shown = plan(catalogue.queries()["dates_of_blocks"](spark, "/root/testdata/sf0.001"))
     assert "currentrow$(), unboundedfollowing$()" not in shown
+
+
+def test_durations_cut_a_text_into_tokens_once(spark):
+    from panelspark.functions import textops as X
+
+    df = spark.createDataFrame([("for three (3) years, or twenty-four months, or 36 months; no months",)], "t string").select(X.durations(F.col("t")).alias("d"))
+    assert df.first().d == [36.0, 24.0, 36.0]
+    assert plan(df).count("regexp_extract_all") == 1
