@@ -2,7 +2,7 @@
 
 A treated unit's landmark is its own event. Others are given one: a lag drawn from those of the treated of their own cell.
 Lags are days, so a cell's lags are a step function of at most as many steps as days, and a draw is a place on it: no pool
-of rows is ever numbered or gathered.
+of rows is ever numbered or gathered. Steps are met by an equi join on parts of the function, so a draw costs no walk over them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import Window as W
 
 from panelspark.operators import stats as S
 
+#: Parts of a cell's step function that places are dealt over; any number gives the same draws.
+PARTS = 256
+
 
 def hashed_draw(unit: Column, seed: Column) -> Column:
     return F.xxhash64(unit, seed)
@@ -28,15 +31,18 @@ def landmarks(units: DataFrame, cell: list[str], seeds: tuple[int, ...], draw: C
     """
     lag = F.when(F.col("treated") & (F.col("event") >= F.col("start")), F.datediff("event", "start"))
     steps = units.select(*cell, lag.alias("__lag")).where("__lag is not null").groupBy(*cell, "__lag").agg(F.count("*").alias("__k"))
-    high = F.sum("__k").over(W.partitionBy(*cell).orderBy("__lag"))
-    ladder = steps.withColumn("__high", high).groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("__high", "__lag"))).alias("__steps"))
-    seeded = units.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    met = seeded.join(ladder, cell, "left")
-    size = F.try_element_at("__steps", F.lit(-1))["__high"]
-    place = F.pmod(draw(F.col("id"), F.col("seed")), size)
-    drawn = F.get(F.filter("__steps", lambda s: s["__high"] > place), F.lit(0))["__lag"]
-    at = F.when(F.col("treated"), F.when(F.col("event") >= F.col("start"), F.col("event"))).otherwise(F.date_add("start", drawn.cast("int")))
-    placed = met.withColumn("landmark", at).drop("__steps")
+    own = W.partitionBy(*cell)
+    ladder = steps.withColumn("__high", F.sum("__k").over(own.orderBy("__lag"))).withColumn("__size", F.sum("__k").over(own)).withColumn("__low", F.col("__high") - F.col("__k"))
+    part = lambda place: F.expr(f"({place}) * {PARTS} div __size")
+    parts = ladder.withColumn("__part", F.explode(F.sequence(part("__low"), part("__high - 1")))).select(*cell, "__part", "__low", "__high", "__lag")
+    sizes = ladder.groupBy(*cell).agg(F.max("__size").alias("__size"))
+    # Both grow with cells and days alone.
+    met = units.join(F.broadcast(sizes), cell, "left").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    met = met.withColumn("__place", F.when(F.col("treated"), None).otherwise(F.pmod(draw(F.col("id"), F.col("seed")), F.col("__size")))).withColumn("__part", part("__place"))
+    at_step = [F.col(f"m.{c}") == F.col(f"p.{c}") for c in (*cell, "__part")] + [F.col("m.__place") >= F.col("p.__low"), F.col("m.__place") < F.col("p.__high")]
+    drawn = met.alias("m").join(F.broadcast(parts.alias("p")), at_step, "left").select("m.*", F.col("p.__lag").alias("__lag"))
+    at = F.when(F.col("treated"), F.when(F.col("event") >= F.col("start"), F.col("event"))).otherwise(F.date_add("start", F.col("__lag").cast("int")))
+    placed = drawn.withColumn("landmark", at).drop("__place", "__part", "__size", "__lag")
     by = lambda c: F.coalesce(F.col(c) <= F.col("landmark"), F.lit(False))
     return placed.withColumn("alive", F.col("landmark").isNotNull() & by("start") & ~by("done") & ~by("left"))
 
@@ -44,12 +50,14 @@ def landmarks(units: DataFrame, cell: list[str], seeds: tuple[int, ...], draw: C
 def compared(placed: DataFrame, cell: list[str]) -> DataFrame:
     """A row a seed: units of both groups alive, those on common cells, days from landmark to done of both (others reweighted to the treated's cells), shares done and left, and standardised differences."""
     alive = placed.where("alive").withColumn("days", F.datediff("done", "landmark").cast("double")).withColumn("finished", F.col("done").isNotNull().cast("double")).withColumn("gone", F.col("left").isNotNull().cast("double"))
-    counts = alive.groupBy("seed").agg(F.count_if("treated").alias("n_treated"), F.count_if(~F.col("treated")).alias("n_others"))
-    both = S.reweight(alive, "treated", ["seed", *cell])
-    t, others = F.col("treated"), ~F.col("treated")
-    parts = [F.count_if("treated").alias("n_support")]
+    # Units alike in all that is compared are a row with their number: as many as cells and days.
+    alike = alive.groupBy("seed", *cell, "treated", "days", "finished", "gone").agg(F.count("*").alias("__n"))
+    t, others, units = F.col("treated"), ~F.col("treated"), lambda side: F.sum(F.when(side, F.col("__n")).otherwise(0))
+    counts = alike.groupBy("seed").agg(units(t).alias("n_treated"), units(others).alias("n_others"))
+    both = S.reweight(alike, "treated", ["seed", *cell], "__n")
+    parts, weight = [units(t).alias("n_support")], F.col("weight") * F.col("__n")
     for c in ("days", "finished", "gone"):
-        m1, v1 = S.weighted(F.when(t, F.col(c)), F.when(t, F.col("weight")))
-        m0, v0 = S.weighted(F.when(others, F.col(c)), F.when(others, F.col("weight")))
+        m1, v1 = S.weighted(F.when(t, F.col(c)), F.when(t, weight))
+        m0, v0 = S.weighted(F.when(others, F.col(c)), F.when(others, weight))
         parts += [m1.alias(f"{c}_treated"), m0.alias(f"{c}_others"), ((m1 - m0) / F.nullif(F.sqrt((v1 + v0) / 2), F.lit(0.0))).alias(f"{c}_difference")]
     return counts.join(both.groupBy("seed").agg(*parts), "seed", "left")

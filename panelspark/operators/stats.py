@@ -48,9 +48,10 @@ def cut_moments(df: DataFrame, cuts: list[list[str]], columns: list[str], aggreg
     return out
 
 
-def reweight(df: DataFrame, treated: str, cell: list[str]) -> DataFrame:
-    """df on common support with `weight`: 1 for the treated; for the rest the treated's share of a cell over their own."""
-    counts = df.groupBy(*cell).agg(F.count_if(F.col(treated)).alias("__t"), F.count_if(~F.col(treated)).alias("__c")).where("__t > 0 and __c > 0")
+def reweight(df: DataFrame, treated: str, cell: list[str], n: str | None = None) -> DataFrame:
+    """df on common support with `weight`: 1 for the treated; for the rest the treated's share of a cell over their own. With n a row stands for as many units."""
+    units = lambda side: F.sum(F.when(side, F.col(n) if n else F.lit(1)).otherwise(0))
+    counts = df.groupBy(*cell).agg(units(F.col(treated)).alias("__t"), units(~F.col(treated)).alias("__c")).where("__t > 0 and __c > 0")
     both = df.join(counts, cell)
     return both.withColumn("weight", F.when(F.col(treated), F.lit(1.0)).otherwise(F.col("__t") / F.col("__c"))).drop("__t", "__c")
 

@@ -20,3 +20,15 @@ def test_durations_cut_a_text_into_tokens_once(spark):
     df = spark.createDataFrame([("for three (3) years, or twenty-four months, or 36 months; no months",)], "t string").select(X.durations(F.col("t")).alias("d"))
     assert df.first().d == [36.0, 24.0, 36.0]
     assert plan(df).count("regexp_extract_all") == 1
+
+
+def test_landmarks_walk_no_steps_for_a_draw(spark):
+    from panelspark.operators import landmarks as L
+
+    rows = [(i, i < 1000, "2024-01-01", f"2024-{1 + i % 12:02d}-{1 + i % 28:02d}" if i < 1000 else None, None, None, "a" if i % 7 else "b") for i in range(1500)]
+    units = spark.createDataFrame(rows, "id long, treated boolean, start string, event string, done string, left string, cell string").select("id", "treated", *[F.to_date(c).alias(c) for c in ("start", "event", "done", "left")], "cell")
+    placed = L.landmarks(units, ["cell"], (1, 2), lambda i, s: i * s)
+    assert "filter(" not in plan(placed)
+    lags = {c: sorted((r.event - r.start).days for r in units.where(f"treated and cell = '{c}'").collect()) for c in "ab"}
+    for r in placed.where("not treated").collect():
+        assert (r.landmark - r.start).days == lags[r.cell][r.id * r.seed % len(lags[r.cell])]
