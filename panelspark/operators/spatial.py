@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import spread
+
 #: Ellipsoid and parallels of the equal-area projection of California (EPSG:3310): semi-major axis, eccentricity squared, parallels, origin and false northing.
 ALBERS = {"a": 6378137.0, "e2": 0.00669438002290, "lat1": 34.0, "lat2": 40.5, "lat0": 0.0, "lon0": -120.0, "y0": -4000000.0}
 
@@ -46,18 +48,37 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return joined.withColumn("dist", dist).where(F.col("dist") <= radius).drop("cx", "cy")
 
 
+def cell_size(points: DataFrame, x: str, y: str, start: float, most: float, halvings: int) -> float:
+    """start, halved until the cell of a mean point holds at most so many points, or as often as that."""
+    k = points.select(F.col(x).alias("x"), F.col(y).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("k"))
+    size = F.lit(float(start)) / F.pow(F.lit(2.0), F.col("k"))
+    cells = k.groupBy("k", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(F.count("*").alias("n"))
+    # A row for each halving.
+    held = dict(cells.groupBy("k").agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).collect())
+    return start / 2 ** next((i for i in range(halvings) if held.get(i, 0) <= most), halvings)
+
+
 def nearest(left: DataFrame, right: DataFrame, start: float, doublings: int = 20) -> DataFrame:
-    """(lid, rid, dist): each left point's nearest right point, ties to the smaller rid. Rings of doubling radius; those found drop out."""
-    open_, found = left, None
-    radius = start
-    for _ in range(doublings):
-        best = within(open_, right, radius).groupBy("lid").agg(F.min_by(F.struct("rid", "dist"), F.struct("dist", "rid")).alias("b")).select("lid", "b.rid", "b.dist")
+    """(lid, rid, dist): each left point's nearest right point, ties to the smaller rid. Rings of doubling radius; those found drop out.
+
+    Points of one position are one. The first ring is `start` or as much less as the right points stand closer, so that what
+    is compared grows with the points; the last is `start` doubled so often.
+    """
+    spots = right.groupBy("rx", "ry").agg(F.min("rid").alias("rid")).persist()
+    asked = spread(left.select("lx", "ly").distinct())
+    radius, last = cell_size(spots, "rx", "ry", start, 4, 16), start * 2**doublings
+    open_, found = asked, None
+    while True:
+        met = within(open_, spots, radius).groupBy("lx", "ly").agg(F.min(F.struct("dist", "rid")).alias("b"))
+        best = met.select("lx", "ly", "b.rid", "b.dist").persist()
         found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best.select("lid"), "lid", "left_anti")
-        radius *= 2
+        if radius >= last:
+            break
+        open_ = open_.join(best.select("lx", "ly"), ["lx", "ly"], "left_anti")
         if open_.isEmpty():
             break
-    return found
+        radius = min(radius * 2, last)
+    return left.join(found, ["lx", "ly"]).groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b")).select("lid", "b.rid", "b.dist")
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

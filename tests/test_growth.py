@@ -32,3 +32,13 @@ def test_landmarks_walk_no_steps_for_a_draw(spark):
     lags = {c: sorted((r.event - r.start).days for r in units.where(f"treated and cell = '{c}'").collect()) for c in "ab"}
     for r in placed.where("not treated").collect():
         assert (r.landmark - r.start).days == lags[r.cell][r.id * r.seed % len(lags[r.cell])]
+
+
+def test_nearest_rings_shrink_with_the_distance_between_points(spark):
+    from panelspark.operators import spatial as G
+
+    right = spark.range(4000).select(F.col("id").alias("rid"), (F.col("id") % 40 / 4).alias("rx"), (F.col("id") / 40).cast("int").alias("ry"))
+    assert G.cell_size(right, "rx", "ry", 64.0, 4, 16) <= 2.0
+    left = right.where("rid % 7 = 0").select(F.col("rid").alias("lid"), (F.col("rx") + 0.1).alias("lx"), F.col("ry").alias("ly"))
+    got = G.nearest(left, right, 64.0).collect()
+    assert len(got) == 572 and all(r.lid == r.rid and abs(r.dist - 0.1) < 1e-9 for r in got)
