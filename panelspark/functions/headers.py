@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelspark.functions.textops import bound
+
 #: What a name may stand beside without being part of it, degrees, and who else sits together with a commission.
 TITLES = r"(?:acting\s+)?(?:vice[\s-]?president|vp|president|chair(?:person|man|woman)?|commissioners?|comm\.?|secretary)"
 ROLES = r"(?i)^(?:acting\s+)?(?:deputy\s+)?(?:director(?:\s+of\s+[a-z ]+)?|zoning administrator|city attorney|planning director|(?:commission |transcription )?secretary|chief[a-z ]*)$"
@@ -32,13 +34,16 @@ def _cased(name: Column) -> Column:
 
 def after(text: Column, label: str, lines: int = 4) -> Column:
     """What follows a label's first place, with up to so many lines more until one is blank or begins something else; blank where the label isn't there."""
-    rest = F.get(F.split(text, label, 2), 1)
-    said = F.split(rest, r"\n")
-    more = F.slice(said, 2, lines)
-    ends = F.filter(F.transform(more, lambda l, i: F.when((F.trim(l) == "") | l.rlike(_STOP), i)), lambda i: i.isNotNull())
-    kept = F.slice(more, 1, F.coalesce(F.array_min(ends), F.size(more)))
-    # A label that ends its line is followed by the list.
-    return F.coalesce(_folded(F.array_join(F.concat(F.slice(said, 1, 1), kept), " ")), F.lit(""))
+    said = F.split(F.get(F.split(text, label, 2), 1), r"\n")
+
+    def listed(said: Column) -> Column:
+        more = F.slice(said, 2, lines)
+        ends = F.filter(F.transform(more, lambda l, i: F.when((F.trim(l) == "") | l.rlike(_STOP), i)), lambda i: i.isNotNull())
+        kept = F.slice(more, 1, F.coalesce(F.array_min(ends), F.size(more)))
+        # A label that ends its line is followed by the list.
+        return F.coalesce(_folded(F.array_join(F.concat(F.slice(said, 1, 1), kept), " ")), F.lit(""))
+
+    return bound(said, listed)
 
 
 def people(x: Column, roles: bool = False) -> Column:
@@ -61,10 +66,13 @@ def people(x: Column, roles: bool = False) -> Column:
 def place(window: Column, date_line: Column) -> Column:
     """The building within six lines of the date, without its room: a remote hearing, a known venue, else a named hall and its street."""
     lines = F.split(window, r"\n")
-    at = F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda l: F.trim(l)), F.trim(date_line)), F.lit(0)), F.floor(F.size(lines) / 2) + 1).cast("int")
-    first = F.greatest(at - 6, F.lit(1))
-    band = F.array_join(F.slice(lines, first, at + 6 - first + 1), "\n")
-    flat = F.regexp_replace(band, r"\s+", " ")
+    at = lambda lines: F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda l: F.trim(l)), F.trim(date_line)), F.lit(0)), F.floor(F.size(lines) / 2) + 1).cast("int")
+    near = lambda lines, at: F.array_join(F.slice(lines, F.greatest(at - 6, F.lit(1)), at + 6 - F.greatest(at - 6, F.lit(1)) + 1), "\n")
+    band = bound(lines, lambda lines: bound(at(lines), lambda at: near(lines, at)))
+    return bound(band, lambda band: bound(F.regexp_replace(band, r"\s+", " "), lambda flat: _building(band, flat)))
+
+
+def _building(band: Column, flat: Column) -> Column:
     street = _folded(F.regexp_extract(flat, r"(\b\d+ (?:[A-Z0-9][\w.'-]* ){1,4}?(?i:avenue|ave|street|st|boulevard|blvd|place|plaza|way|road)\b)", 1))
     hall = _folded(F.regexp_replace(F.regexp_extract(band, r"(?im)^([^\n\d]*\b(?:school|auditorium|cent(?:er|re)|library|theat(?:er|re)|hall)\b[^\n\d]*)$", 1), r"(?i)\s*[-–]\s*(?:auditorium|gymnasium|cafeteria|multipurpose room).*$", ""))
     found = F.concat_ws(", ", F.nullif(hall, F.lit("")), F.nullif(street, F.lit("")))
@@ -72,12 +80,15 @@ def place(window: Column, date_line: Column) -> Column:
 
 
 def _named(text: Column, rx: str) -> Column:
-    return F.nullif(_folded(F.regexp_extract(text, rx, 1)), F.lit(""))
+    return bound(_folded(F.regexp_extract(text, rx, 1)), lambda name: F.nullif(name, F.lit("")))
 
 
 def presiding(text: Column) -> Column:
     """The name before ", President", else who called to order as president or chair, else the name after President; null where none stands there."""
-    flat = F.regexp_replace(text, r"\s+", " ")
+    return bound(F.regexp_replace(text, r"\s+", " "), _president)
+
+
+def _president(flat: Column) -> Column:
     chair = r"(?i:called to order by (?:acting )?(?:vice[ -]?)?(?:president|chair(?:person)?) )(" + _FULL + ")"
     return _cased(F.coalesce(_named(flat, "(" + _FULL + r")\s*[,–-]\s*President\b"), _named(flat, chair), _named(flat, r"(?<!(?i:vice)[ -])\b(?i:president) (" + _FULL + ")")))
 
@@ -91,31 +102,46 @@ def fields(window: Column, date_line: Column, extended: Column | None = None) ->
     the title there, else who called to order if that roll has the name, else blank. What isn't found is blank or empty, and
     so are all fields of a null window.
     """
-    w, d = F.coalesce(window, F.lit("")), F.coalesce(date_line, F.lit(""))
-    at = F.when(d != "", F.position(d, w)).otherwise(0)
-    body = F.when(at > 0, F.substring(w, at + F.length(d), F.length(w))).otherwise(w)
     wide = F.coalesce(extended, F.lit("")) if extended is not None else F.lit("")
-    blank = lambda x: F.coalesce(x, F.lit(""))
+    texts = F.struct(F.coalesce(window, F.lit("")).alias("w"), F.coalesce(date_line, F.lit("")).alias("d"), wide.alias("wide"))
+
+    def below(v: Column) -> Column:
+        at = F.when(v["d"] != "", F.position(v["d"], v["w"])).otherwise(0)
+        return bound(at, lambda at: F.when(at > 0, F.substring(v["w"], at + F.length(v["d"]), F.length(v["w"]))).otherwise(v["w"]))
+
+    return bound(texts, lambda v: bound(below(v), lambda body: bound(_found(v["w"], body, v["wide"]), lambda f: _fields(v["w"], v["d"], body, v["wide"], f))))
+
+
+def _found(w: Column, body: Column, wide: Column) -> Column:
+    """struct of what several fields go by: two bodies, the word beside `meeting`, who presides, whether it is joint, the roll of those present."""
     two = F.regexp_extract(w, r"(?i:planning commission)\s*\n\s*(?i:and|&)\s*\n\s*([A-Z][A-Z ]{6,}COMMISSION)", 1)
     said = F.lower(F.regexp_extract(w, r"(?i)\b(regular|special|joint|closed)\s+(?:[a-z-]+\s+){0,2}(?:meeting|session|hearing)", 1))
-    joint = body.rlike(r"(?i)\bjoint\b") | (said == "joint") | (two != "") | (F.regexp_count(body, F.lit(_PRESENT)) > 1)
+    joint = lambda two, said: body.rlike(r"(?i)\bjoint\b") | (said == "joint") | (two != "") | (F.regexp_count(body, F.lit(_PRESENT)) > 1)
+    return bound(F.struct(two.alias("two"), said.alias("said")), lambda f: F.struct(f["two"].alias("two"), f["said"].alias("said"), joint(f["two"], f["said"]).alias("joint"), presiding(w).alias("presiding"), _roll(body, wide, _PRESENT).alias("present")))
+
+
+def _roll(body: Column, wide: Column, label: str) -> Column:
+    return bound(people(after(body, label)), lambda names: F.when(F.size(names) > 0, names).otherwise(people(after(wide, label))))
+
+
+def _fields(w: Column, d: Column, body: Column, wide: Column, f: Column) -> Column:
+    two, said, joint, present = f["two"], f["said"], f["joint"], f["present"]
+    blank = lambda x: F.coalesce(x, F.lit(""))
     kind = F.when(joint, "joint").when(said == "closed", "closed_session").otherwise(said)
     clock = r"\b(\d{1,2}:\d{2})\s*([APap])\.?\s?[Mm]\b"
     time = F.when(body.rlike(clock), F.concat(F.regexp_extract(body, clock, 1), F.lit(" "), F.upper(F.regexp_extract(body, clock, 2)), F.lit("M"))).otherwise("")
-    roll = lambda label, **kw: F.when(F.size(people(after(body, label), **kw)) > 0, people(after(body, label), **kw)).otherwise(people(after(wide, label), **kw))
     rolled = lambda t: F.regexp_replace(F.get(F.split(after(t, _STAFF, 12), r"(?i)\b(?:consideration\b|speaker key|items? (?:to be|proposed for) continu)", 2), 0), r"(?is)((?:acting\s+)?commission\s+secretary).*$", "$1")
-    staff = F.when(rolled(body) != "", rolled(body)).otherwise(rolled(wide))
+    staff = bound(rolled(body), lambda t: F.when(t != "", t).otherwise(rolled(wide)))
     others = F.split(body, r"\n\s*" + _BODY + r"[A-Z ]*:?\s*\n|" + _PRESENT, -1)
     own = F.regexp_replace(blank(F.get(others, 1)), r"\s+", " ")
-    titled = F.coalesce(_named(own, "(" + _FULL + r")\s*[,–-]\s*President\b"), _named(own, r"(?<!(?i:vice)[ -])\b(?i:president) (" + _FULL + ")"))
-    present = roll(_PRESENT)
+    titled = bound(own, lambda own: F.coalesce(_named(own, "(" + _FULL + r")\s*[,–-]\s*President\b"), _named(own, r"(?<!(?i:vice)[ -])\b(?i:president) (" + _FULL + ")")))
     last = lambda n: F.lower(F.element_at(F.split(n, " "), -1))
-    sat = F.when(F.array_contains(F.transform(present, last), last(presiding(w))), presiding(w))
+    sat = F.when(F.array_contains(F.transform(present, last), last(f["presiding"])), f["presiding"])
     named_body = F.coalesce(F.nullif(two, F.lit("")), F.nullif(F.regexp_extract(w, r"(?m)^\s*(" + _BODY + r"[A-Z ]*?)\s*:?\s*$", 1), F.lit("")))
     rolls = F.split(body, _PRESENT, -1)
-    second = F.when(joint & (F.size(rolls) > 2), people(after(F.concat(F.lit("PRESENT:"), F.element_at(rolls, -1)), _PRESENT)))
+    second = F.when(joint, bound(rolls, lambda r: F.when(F.size(r) > 2, people(after(F.concat(F.lit("PRESENT:"), F.element_at(r, -1)), _PRESENT)))))
     return F.struct(
-        kind.alias("meeting_type"), time.alias("meeting_time"), blank(F.when(joint, F.coalesce(_cased(titled), sat)).otherwise(presiding(w))).alias("presiding"), place(w, d).alias("location"),
-        present.alias("present"), roll(_ABSENT).alias("absent"), people(staff, roles=True).alias("staff"),
+        kind.alias("meeting_type"), time.alias("meeting_time"), blank(F.when(joint, F.coalesce(_cased(titled), sat)).otherwise(f["presiding"])).alias("presiding"), place(w, d).alias("location"),
+        present.alias("present"), _roll(body, wide, _ABSENT).alias("absent"), people(staff, roles=True).alias("staff"),
         F.when(joint, blank(F.initcap(_folded(named_body)))).otherwise("").alias("joint_body"), F.coalesce(second, F.array().cast("array<string>")).alias("joint_body_present"), F.lit("").alias("notes"),
     )

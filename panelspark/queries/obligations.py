@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from panelspark.functions import headers as H
 from panelspark.functions import itemfields as I
 from panelspark.operators import rules as U
-from panelspark.session import table
+from panelspark.session import spread, table
 
 
 def _projects(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def header_prefill(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("CITY COMMISSION\nRoom "), k % 400, F.lit(", City Hall\nThursday, May "), k % 28 + 1, F.lit(", 1999\n"), k % 3 + 1, F.lit(":30 PM\nPRESENT: Lee, Wu"), F.when(k % 2 == 0, ", Roe").otherwise(""), F.lit("\nABSENT: "), F.when(k % 2 == 1, "Roe").otherwise("none"), F.lit("\nTHE MEETING WAS CALLED TO ORDER BY PRESIDENT "), F.when(k % 3 == 0, "LEE").otherwise("WU"), F.lit(" AT 1:35 PM"))
     day = F.concat(F.lit("Thursday, May "), k % 28 + 1, F.lit(", 1999"))
-    h = table(spark, d, "customer").select(text.alias("t"), H.fields(text, day).alias("h"))
+    h = spread(table(spark, d, "customer").select("c_custkey")).select(text.alias("t"), H.fields(text, day).alias("h"))
     m = h.select(
         F.regexp_extract("t", r"Room (\d+)", 1).try_cast("int").alias("room"), F.col("h.meeting_time").alias("clock"),
         F.size("h.present").alias("present"), F.size("h.absent").alias("absent"), F.col("h.presiding").alias("presiding"),
