@@ -54,14 +54,13 @@ def permits_from(text: Column) -> Column:
 def _counted(text: Column) -> Column:
     """A printed count, in digits or words, as a number; else null."""
     words = F.create_map(*[F.lit(v) for p in T.NUMBER_WORDS.items() for v in p])
-    got = F.lower(F.regexp_replace(text, ",", ""))
-    return F.coalesce(got.try_cast("double"), F.try_element_at(words, F.nullif(got, F.lit(""))).cast("double"))
+    return T.bound(F.lower(F.regexp_replace(text, ",", "")), lambda got: F.coalesce(got.try_cast("double"), F.try_element_at(words, F.nullif(got, F.lit(""))).cast("double")))
 
 
 def _all_numbers(text: Column, rx: str, group: int = 1) -> Column:
     """The sum of a group of all of a pattern's matches; null where none is a number."""
     found = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(group)), _counted))
-    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, b: a + b))
+    return T.bound(found, lambda n: F.when(F.size(n) > 0, F.aggregate(n, F.lit(0.0), lambda a, b: a + b)))
 
 
 def _first_number(text: Column, rx: str, group: int = 1) -> Column:
@@ -77,7 +76,11 @@ INTERVALS = {"month": 1.0, "monthly": 1.0, "quarterly": 3.0, "semi-annually": 6.
 def numbers_of(heading: Column, body: Column) -> Column:
     """struct of typed measures of a condition, each read only from conditions of its kind, by heading or first words."""
     h, b = F.lower(F.coalesce(heading, F.lit(""))), F.coalesce(body, F.lit(""))
-    lead = F.concat_ws(" ", h, F.lower(F.substring(b, 1, 200)))
+    lead = lambda v: F.concat_ws(" ", v["h"], F.lower(F.substring(v["b"], 1, 200)))
+    return T.bound(F.struct(h.alias("h"), b.alias("b")), lambda v: T.bound(lead(v), lambda l: _measures(v["h"], v["b"], l)))
+
+
+def _measures(h: Column, b: Column, lead: Column) -> Column:
     about = lambda rx, text=lead: text.rlike(rx)
     start, end = T.hours(b)
     hours = about(r"hours of operation|operating hours|shall be (?:open|closed)|limited to the following hours")

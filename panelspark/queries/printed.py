@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import keys as K
 from panelspark.functions import parsing as P
-from panelspark.session import table
+from panelspark.session import spread, table
 
 
 def _said(*parts) -> F.Column:
@@ -50,7 +50,7 @@ def typed_measures(spark: SparkSession, d: str) -> DataFrame:
         ),
         (k % 6 + 1).cast("int"),
     )
-    return table(spark, d, "part").select("p_partkey", P.numbers_of(heading, body).alias("m")).select("p_partkey", "m.*")
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", P.numbers_of(heading, body).alias("m")).select("p_partkey", "m.*")
 
 
 _OPENERS, _REQUEST, _CLOSING, _HEADER = r"(?i)\b(?:appeal of|consideration of|informational presentation)\b", r"(?i)\brequest for\b", r"(?i)preliminary recommendation", r"lots? \d+ in block \d+[;,.]"

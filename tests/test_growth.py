@@ -72,3 +72,10 @@ def test_header_fields_search_for_a_label_once(spark):
 
     df = spark.range(1).select(H.fields(F.concat(F.lit("x"), "id"), F.lit("May 1, 1999")).alias("h"))
     assert plan(df).count("called to order by (?:acting )?(?:vice") <= 2
+
+
+def test_measures_read_a_number_once(spark):
+    from panelspark.functions import parsing as P
+
+    df = spark.range(1).select(P.numbers_of(F.concat(F.lit("Parking"), "id"), F.concat(F.lit("no more than 12 parking "), "id")).alias("m"))
+    assert df.first().m.parking_max == 12.0 and plan(df).count("no more than") <= 2
