@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelspark.functions import keys as K
+from panelspark.functions.textops import bound
 
 #: The request that a case number's suffix stands for, three letters before one; of one-letter ones the first counts.
 SUFFIXES = {"CUA": "conditional_use", "PCA": "planning_code_amendment", "GPA": "general_plan_amendment", "DRP": "discretionary_review", "DRM": "discretionary_review", "ENV": "ceqa_environmental", "MAP": "rezoning_map_amendment", "OFA": "office_allocation", "LPA": "large_project_authorization"}
@@ -38,10 +39,14 @@ def _found(text: Column, rx: str, group: int = 1) -> Column:
 
 def _of(table: tuple, text: Column, other: str = "other") -> Column:
     """The label of the first pattern that a text holds; blank for a blank text."""
-    out = F.lit(other)
-    for rx, label in reversed(table):
-        out = F.when(text.rlike("(?is)" + rx), label).otherwise(out)
-    return F.when(F.trim(text) == "", "").otherwise(out)
+
+    def label_of(text: Column) -> Column:
+        out = F.lit(other)
+        for rx, label in reversed(table):
+            out = F.when(text.rlike("(?is)" + rx), label).otherwise(out)
+        return F.when(F.trim(text) == "", "").otherwise(out)
+
+    return bound(text, label_of)
 
 
 def after(text: Column, label: str) -> Column:
@@ -52,7 +57,10 @@ def after(text: Column, label: str) -> Column:
 
 def request_of(case: Column) -> Column:
     """The request that a case number's suffix names; blank where it names none."""
-    suffix = F.upper(F.regexp_extract(case, r"^[\d.-]+?\d{3,}([A-Za-z/]+)", 1))
+    return bound(F.upper(F.regexp_extract(case, r"^[\d.-]+?\d{3,}([A-Za-z/]+)", 1)), _request)
+
+
+def _request(suffix: Column) -> Column:
     table = lambda d: F.create_map(*[F.lit(v) for p in d.items() for v in p])
     one = F.get(F.filter(F.transform(F.split(suffix, ""), lambda c: F.try_element_at(table(LETTERS), c)), lambda v: v.isNotNull()), 0)
     out = F.coalesce(one, F.lit(""))
@@ -75,9 +83,9 @@ def speakers(block: Column) -> Column:
 
     def line(raw: Column) -> Column:
         sign = F.concat(F.regexp_extract(raw, mark, 1), F.regexp_extract(raw, mark, 2))
-        stance = F.when(sign == "+", "support").when(sign == "-", "oppose").when(sign.isin("=", "+-", "-+"), "neutral").otherwise("")
+        stance = bound(sign, lambda sign: F.when(sign == "+", "support").when(sign == "-", "oppose").when(sign.isin("=", "+-", "-+"), "neutral").otherwise(""))
         who = F.get(F.split(F.regexp_replace(raw, mark, ""), r"\s[–-]\s", 2), 0)
-        return F.transform(names(who), lambda n: F.struct(n.alias("name"), stance.alias("stance"), F.when(stance != "", "marker").otherwise("").alias("stance_basis")))
+        return bound(stance, lambda stance: F.transform(names(who), lambda n: F.struct(n.alias("name"), stance.alias("stance"), F.when(stance != "", "marker").otherwise("").alias("stance_basis"))))
 
     return F.flatten(F.transform(F.transform(F.split(section, r"\n"), lambda l: F.trim(l)), line))
 
@@ -89,17 +97,28 @@ def fields(block: Column) -> Column:
     of the block (an agenda's proposal stands above), conditions from ACTION on: what stands above may be an earlier
     entitlement's. Stances come from marks, and counts from stances.
     """
-    t = F.coalesce(block, F.lit(""))
+    return bound(F.coalesce(block, F.lit("")), lambda t: bound(_parts(t), lambda p: _fields(t, p)))
+
+
+def _parts(t: Column) -> Column:
+    """struct of the block's parts that several fields are read from."""
     case = F.regexp_replace(_found(t, _CASE), r"\s+", "")
-    action = after(t, "ACTION")
     tail = F.coalesce(F.get(F.split(F.concat(F.lit("\n"), t), rf"(?i)\n{_IN}ACTION{_IN}:", 2), 1), F.lit(""))
-    advice = after(t, "Preliminary Recommendation")
-    day = F.coalesce(F.nullif(_found(tail, _DATE), F.lit("")), F.nullif(_found(t, _DATE), F.lit("")))
+    return F.struct(case.alias("case"), after(t, "ACTION").alias("action"), tail.alias("tail"), after(t, "Preliminary Recommendation").alias("advice"), speakers(t).alias("spoke"))
+
+
+def _until(t: Column, tail: Column) -> Column:
+    """The date that a block is continued to."""
+    said = lambda x: bound(_found(x, _DATE), lambda d: F.nullif(d, F.lit("")))
     forever = t.rlike("(?i)indefinite") & t.rlike("(?i)continu")
-    until = F.when(day.isNotNull(), F.coalesce(F.nullif(K.iso_date(day), F.lit("")), day)).when(forever, "indefinite").otherwise("")
+    iso = lambda day: bound(K.iso_date(day), lambda d: F.nullif(d, F.lit("")))
+    return bound(F.coalesce(said(tail), said(t)), lambda day: F.when(day.isNotNull(), F.coalesce(iso(day), day)).when(forever, "indefinite").otherwise(""))
+
+
+def _fields(t: Column, p: Column) -> Column:
+    case, action, tail, advice, spoke = (p[c] for c in ("case", "action", "tail", "advice", "spoke"))
     low = F.lower(action)
     imposed = low.rlike(r"with (?:the )?(?:following |modified )?condition") | ((action != "") & ~low.rlike("continu|withdraw") & F.lower(tail).rlike(r"subject to the (?:following |attached )?conditions?|conditions? of approval"))
-    spoke = speakers(t)
     stance = lambda s: F.size(F.filter(spoke, lambda x: x["stance"] == s))
     street = r"(?i)(?:^|\n)\s*([0-9][0-9A-Z/ -]{1,40}(?:STREET|AVENUE|BOULEVARD|ROAD|DRIVE|PLACE|WAY|TERRACE|LANE|COURT|CIRCLE))\b"
     instrument = r"(?i)\b(Motion|Resolution|DRA)\s*(?:No\.?|#)?\s*[:#]?\s*(\d+)"
@@ -110,7 +129,7 @@ def fields(block: Column) -> Column:
         _found(t, r"\b(\d{2,3}-[A-Z])\b").alias("height_and_bulk_district"), F.initcap(_found(t, street)).alias("project_address"),
         _found(t, r"(?is)(Request for .+?)(?:\(Continued|\(Proposed|Preliminary\s+Recommendation|SPEAKERS?\b|\n\n|$)").alias("project_descr"),
         F.initcap(_found(t, r"\(\s*([A-Z]\.?\s*[A-Za-z][A-Za-z'-]+)\s*:?\s*\(?\d{3}\)?[\s-]?\d{3}")).alias("staff_planner"),
-        advice.alias("preliminary_recommendation"), _of(ADVICE, advice).alias("preliminary_recommendation_category"), until.alias("continued_to"), _of(DECISIONS, action).alias("action"),
+        advice.alias("preliminary_recommendation"), _of(ADVICE, advice).alias("preliminary_recommendation_category"), _until(t, tail).alias("continued_to"), _of(DECISIONS, action).alias("action"),
         F.when(imposed, "yes").otherwise("").alias("conditions_imposed"), F.when(low.rlike("as modified|as amended|revised plan|modified condition"), "yes").otherwise("").alias("project_modified"),
         spoke.alias("speakers"), stance("support").alias("support_count"), stance("oppose").alias("oppose_count"), stance("neutral").alias("neutral_count"),
         *[names(after(t, label)).alias(label.lower()) for label in ("AYES", "NOES", "ABSENT", "RECUSED", "EXCUSED")],

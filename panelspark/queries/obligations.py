@@ -76,7 +76,7 @@ def block_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of an item's block: case, action, motion, votes, district, by one pattern each; how many blocks give each, and with what."""
     k = F.col("p_partkey")
     text = F.concat(F.lit("5. 2015-"), F.lpad(k.cast("string"), 6, "0"), F.when(k % 2 == 0, "CUA").otherwise("DRP"), F.lit(" (J. SMITH) 12 Elm St, in a "), F.when(k % 3 == 0, "RH-2").otherwise("NC-3"), F.lit(" (HOUSE) District.\nACTION: "), F.when(k % 4 == 0, "Disapproved").when(k % 4 == 1, "Approved with conditions").otherwise("Continued to June 1"), F.lit("\nAYES: Lee, Wu\nNOES: "), F.when(k % 5 == 0, "Roe").otherwise("none"), F.when(k % 4 < 2, F.concat(F.lit("\nMOTION: "), k + 100)).otherwise(""))
-    f = table(spark, d, "part").select(I.fields(text).alias("f")).select("f.*")
+    f = spread(table(spark, d, "part").select("p_partkey")).select(I.fields(text).alias("f")).select("f.*")
     action = F.when((F.col("action") == "approved") & (F.col("conditions_imposed") == "yes"), "approved_with_conditions").otherwise(F.col("action"))
     b = f.select(F.col("request_type").alias("request"), action.alias("action"), F.col("type_district").alias("district"), F.col("action_instrument_no").alias("motion"), (F.size("noes") > 0).alias("dissent"))
     return b.groupBy("request", "action", "district").agg(F.count("*").alias("n"), F.count("motion").alias("n_motions"), F.max("motion").alias("last_motion"), F.count_if("dissent").alias("n_dissent"))

@@ -79,3 +79,10 @@ def test_measures_read_a_number_once(spark):
 
     df = spark.range(1).select(P.numbers_of(F.concat(F.lit("Parking"), "id"), F.concat(F.lit("no more than 12 parking "), "id")).alias("m"))
     assert df.first().m.parking_max == 12.0 and plan(df).count("no more than") <= 2
+
+
+def test_block_fields_cut_a_block_at_its_action_once(spark):
+    from panelspark.functions import itemfields as I
+
+    df = spark.range(1).select(I.fields(F.concat(F.lit("ACTION: approved "), "id")).alias("f"))
+    assert df.first().f.action == "approved" and plan(df).count("(?i)\\n[^\\S\\n]*ACTION[^\\S\\n]*:") <= 2
