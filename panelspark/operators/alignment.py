@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +60,10 @@ def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40, passes: int
     longest chain in order is placed, then that of the blocks left, and so on.
     """
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame({"doc": [], "ordinal": [], "offset": []})
-        text, place = folded((left["text"].iloc[0] if len(left) else "") or "")
-        right = right.sort_values("ordinal")
+    def aligned(text: str, blocks: list[str]) -> list[int | None]:
+        text, place = folded(text)
         found = []
-        for block in right["block"]:
+        for block in blocks:
             block, offsets = folded(block or "")[0], []
             for piece in (block[:120], block[:40]):
                 at = -1
@@ -80,11 +78,23 @@ def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40, passes: int
             for i, offset in zip(todo, longest_chain([found[i] for i in todo]), strict=True):
                 placed[i] = offset
             todo = [i for i in todo if placed[i] is None]
-        offset = pd.array([None if x is None else int(place[x]) for x in placed], dtype="Int64")
-        return pd.DataFrame({"doc": right["doc"], "ordinal": right["ordinal"], "offset": offset})
+        return [None if x is None else int(place[x]) for x in placed]
 
-    docs = docs.select(F.col("doc").alias("in_doc"), F.col("text").alias("text"))
-    return docs.groupBy("in_doc").cogroup(blocks.groupBy("doc")).applyInPandas(run, "doc long, ordinal int, offset long")
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+                doc, ordinal, offset = [], [], []
+                for r in rows.to_pylist():
+                    doc += [r["doc"]] * len(r["blocks"])
+                    ordinal += [b["ordinal"] for b in r["blocks"]]
+                    offset += aligned(r["text"] or "", [b["block"] for b in r["blocks"]])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ordinal, pa.int32()), pa.array(offset, pa.int64())], names=["doc", "ordinal", "offset"])
+
+    # A document and its blocks are one row; a frame made for each of them would cost more than the alignment.
+    block = F.struct("ordinal", "block")
+    rows = docs.select("doc", "text", F.lit(None).cast(blocks.select(block).schema[0].dataType).alias("b")).unionByName(blocks.select("doc", F.lit(None).cast("string").alias("text"), block.alias("b")))
+    told = rows.groupBy("doc").agg(F.first("text", ignorenulls=True).alias("text"), F.array_sort(F.collect_list("b")).alias("blocks")).where(F.size("blocks") > 0)
+    return told.mapInArrow(run, "doc long, ordinal int, offset long")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:

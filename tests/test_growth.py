@@ -86,3 +86,20 @@ def test_block_fields_cut_a_block_at_its_action_once(spark):
 
     df = spark.range(1).select(I.fields(F.concat(F.lit("ACTION: approved "), "id")).alias("f"))
     assert df.first().f.action == "approved" and plan(df).count("(?i)\\n[^\\S\\n]*ACTION[^\\S\\n]*:") <= 2
+
+
+def test_alignment_makes_no_frame_for_each_document(spark):
+    from panelspark.operators import alignment as A
+
+    docs = spark.createDataFrame([(1, "Alpha beta. Gamma delta 7."), (2, None), (3, "unused")], "doc long, text string")
+    blocks = spark.createDataFrame([(1, 1, "gamma DELTA 7."), (1, 0, "Alpha beta."), (2, 0, "x"), (4, 0, "alpha"), (None, 0, "alpha")], "doc long, ordinal int, block string")
+    placed = A.align_blocks(docs, blocks)
+    assert sorted(map(str, map(tuple, placed.collect()))) == sorted(map(str, [(1, 0, 0), (1, 1, 12), (2, 0, None), (4, 0, None), (None, 0, None)]))
+    assert "CoGroup" not in plan(placed)
+
+
+def test_blocks_of_documents_are_cut_by_characters(spark, tmp_path):
+    text = "a\n" + "\U0001f600é" * 70
+    spark.createDataFrame([(1, text, "en"), (2, "", "en"), (3, "x" * 60, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ordinal: r.n for r in catalogue.queries()["block_alignment"](spark, str(tmp_path)).collect()}
+    assert got == {0: 2, 1: 1, 2: 1}
