@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.textops import MASKED_WORDS
+from panelspark.session import spread
 
 #: As textops.mask, for texts at hand.
 _NUMBERS, _BETWEEN = re.compile(rf"[0-9][0-9,./:-]*|\b(?:{'|'.join(MASKED_WORDS)})\b", re.A), re.compile(r"[^a-z#]+")
@@ -138,6 +139,11 @@ def fuzzy_diff(pairs: DataFrame, least: float = 0.6) -> DataFrame:
         for i, x in enumerate(old):
             best, most = None, 0.0
             for j, m in free.items() if x else ():
+                if most == 1.0:
+                    break  # nothing is nearer, and of equals the first counts
+                if m.b == x:
+                    best, most = j, 1.0
+                    continue
                 m.set_seq1(x)
                 # Both are bounds from above, so nothing is lost.
                 if all(bound() >= floor and bound() > most for bound in (m.real_quick_ratio, m.quick_ratio)) and (ratio := m.ratio()) > most:
@@ -170,4 +176,5 @@ def fuzzy_diff(pairs: DataFrame, least: float = 0.6) -> DataFrame:
                 rows.append((key, kept, changed, len(new), len(old)))
             yield pd.DataFrame(rows, columns=["key", "kept", "changed", "added", "dropped"])
 
-    return pairs.select("key", "old", "new", *(["old_heads", "new_heads"] if headed else [])).mapInPandas(run, "key long, kept long, changed long, added long, dropped long")
+    # Short rows of long work: a few tasks would hold them all.
+    return spread(pairs.select("key", "old", "new", *(["old_heads", "new_heads"] if headed else []))).mapInPandas(run, "key long, kept long, changed long, added long, dropped long")

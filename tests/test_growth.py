@@ -103,3 +103,12 @@ def test_blocks_of_documents_are_cut_by_characters(spark, tmp_path):
     spark.createDataFrame([(1, text, "en"), (2, "", "en"), (3, "x" * 60, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.ordinal: r.n for r in catalogue.queries()["block_alignment"](spark, str(tmp_path)).collect()}
     assert got == {0: 2, 1: 1, 2: 1}
+
+
+def test_fuzzy_diff_deals_its_rows_over_tasks(spark):
+    from panelspark.operators import alignment as A
+
+    pairs = spark.createDataFrame([(i, ["one cat", "b 1", "same"], ["same", "b 2", "b 3"]) for i in range(64)], "key long, old array<string>, new array<string>").coalesce(1)
+    told = A.fuzzy_diff(pairs, 0.5)
+    assert {tuple(r)[1:] for r in told.collect()} == {(1, 1, 1, 1)}
+    assert told.rdd.getNumPartitions() > 8
