@@ -25,8 +25,8 @@ from panelspark.llm.common import remembered, sliced
 
 #: Pieces and token pairs that a worker remembers before it starts anew; this bounds memory, not results.
 REMEMBERED = 600_000
-#: Characters of text that are split into pieces at once; a longer text is split alone.
-SPLIT_CHARS = 4_000_000
+#: Characters of text that are split into pieces at once, each piece an object; a longer text is split alone.
+SPLIT_CHARS = 1_000_000
 #: Stands between pieces that are encoded together; no byte of any token.
 BORDER = "\u0100"
 
@@ -192,7 +192,7 @@ class PrefixBPE:
             self.pieces[piece] = tuple(ids[::-1])
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        """The tokens of each text. Texts are split a few million characters at a time."""
+        """The tokens of each text. Texts are split a million characters at a time."""
         start = 0
         while start < len(texts):
             end, size = start, 0
