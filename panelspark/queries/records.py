@@ -62,9 +62,27 @@ def candidate_places(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_custkey", F.substring("o_orderpriority", 3, 1).alias("s"), "o_orderkey")
     cases = o.select(F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), "s").alias("cn"), F.concat(F.col("y").cast("string"), F.lit("-"), F.col("o_custkey").cast("string"), F.lit(" "), "s").alias("raw"))
     l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("n"), F.when(F.col("l_returnflag") == "R", "resolution").otherwise("motion").alias("i"), F.year("l_shipdate").alias("y"))
-    by_case = C.candidates(C.case_keys(cases, "cn", "raw"), "case", "variant", {"packets": ("packets/{variant}.pdf", False), "archive": ("archive/{variant}.pdf", True)})
-    by_number = C.candidates(C.instrument_keys(l, "n", "i", "y"), "number", "form", {"motions": ("motions/{year}/{form}.pdf", False)})
-    return by_case.unionByName(by_number).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"), F.countDistinct("variant").alias("n_variants"), F.sum(F.length("place")).alias("chars"), F.max("place").alias("last_place"))
+    # A form tells its stem, so a stem is a key beside its cases, whose forms are each counted once; a row says whether it is of such a whole.
+    key = lambda whole, k, forms: F.struct(F.lit(whole).alias("whole"), F.col(k).alias("key"), F.col(forms).alias("form"))
+    keys = C.case_forms(cases, "cn", "raw").select(F.inline(F.array(key(False, "case", "variants"), key(True, "stem", "together")))).where("form is not null")
+    filed = C.candidates(keys, "key", "form", {"packets": ("packets/{form}.pdf", False), "archive": ("archive/{form}.pdf", True)}, "whole")
+    one = ~F.col("whole")
+    filed = filed.select("family", one.cast("long").alias("n"), (one & (F.col("key") == F.col("variant"))).alias("own"), F.col("whole").alias("form"), F.when(one, F.length("place")).alias("chars"), F.when(one, F.col("place")).alias("place"))
+    # A number's forms have a place for each of its years. A number is one of its own forms.
+    dated = C.candidates(C.instrument_forms(l, "n", "i", "y"), "number", "forms", {"motions": ("motions/{year}/{forms}.pdf", False)})
+    dated = dated.groupBy("key", "family", "variant").agg(F.count("*").alias("n"), (F.col("key") == F.col("variant")).alias("own"), F.lit(True).alias("form"), F.sum(F.length("place")).alias("chars"), F.max("place").alias("place"))
+    return _families(filed, ("packets", "archive")).unionByName(_families(dated, ("motions",)))
+
+
+def _families(forms: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """A row for each of a few families that has places; all are read in one pass, since a largest text by group would sort the rows."""
+
+    def told(family: str) -> Column:
+        of = F.col("family") == family
+        values = {"n": F.sum(F.when(of, F.col("n"))), "n_keys": F.count_if(of & F.col("own")), "n_variants": F.count_if(of & F.col("form")), "chars": F.sum(F.when(of, F.col("chars"))), "last_place": F.max(F.when(of, F.col("place")))}
+        return F.struct(F.lit(family).alias("family"), *[v.alias(c) for c, v in values.items()])
+
+    return forms.agg(F.array(*[told(f) for f in families]).alias("r")).select(F.inline("r")).where("n > 0")
 
 
 def _sale_marks(spark: SparkSession, d: str) -> DataFrame:

@@ -114,3 +114,19 @@ def test_fuzzy_diff_deals_its_rows_over_tasks(spark):
     told = A.fuzzy_diff(pairs, 0.5)
     assert {tuple(r)[1:] for r in told.collect()} == {(1, 1, 1, 1)}
     assert told.rdd.getNumPartitions() > 8
+
+
+def test_candidate_places_are_counted_where_their_stems_lie(spark, tmp_path):
+    import duckdb
+
+    orders = [("2001-02-03", c, p) for c in (1, 1, 2, 17) for p in ("1-LOW", "1-low", "2-HIGH", "2-HIGH")] + [("2001-05-05", 3, "5-X"), ("2002-01-01", 1, "1-LOW"), ("2002-01-01", 123456789, "4-")]
+    lines = [(101, "R", "1999-01-01"), (101, "A", "2001-01-01"), (101, "A", "2001-06-01"), (12, "R", "2001-01-01"), (999999, "N", "1998-01-01"), (1000000, "R", "1998-01-01")]
+    spark.createDataFrame([(i, *o) for i, o in enumerate(orders)], "o_orderkey long, d string, o_custkey long, o_orderpriority string").selectExpr("*", "cast(d as timestamp) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_returnflag string, d string").selectExpr("*", "cast(d as timestamp) as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalogue.queries()["candidate_places"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalogue.oracle_sql()["candidate_places"]).fetchall())
+    # Neither rows for each distinct count nor one deal for each step.
+    assert "Expand" not in plan(df) and df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") <= 7
