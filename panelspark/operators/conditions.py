@@ -21,6 +21,7 @@ PAGE_NUMBER = r"(?i)^(?:page\s+)?(?:\d{1,3}|[ivx]{1,5})(?:\s+of\s+\d{1,3})?$"
 CONDITIONS_PART = r"(?i)^conditions\s+of\s+approval,?\s+compliance"
 COMPLIANCE = r"(?i)^for\s+information\s+about\s+compliance,?\s*(?:contact\s*)?"
 CASE = r"(?i)\b(?:case|record|file)\s+(?:no\.?|number|#)\s*[:.]?\s*((?:19|20)?\d{2}[.\-]\d{3,6}[A-Z]{0,16})\b"
+DRAFT = r"(?i)\bdraft\s+(?:motion|resolution)\b"
 ADOPTED = r"(?i)\badopted\b[^.]{0,60}?\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})"
 NUMBERED, PAREN, LETTERED = r"^(\d{1,3})\s*[.)](?=\s|$|[A-Z])\s*", r"^\(\s*(\d{1,3})\s*\)\s*(?=\S)", r"^([A-Z])\s*[.)]\s+(?=\S)"
 
@@ -28,11 +29,16 @@ NUMBERED, PAREN, LETTERED = r"^(\d{1,3})\s*[.)](?=\s|$|[A-Z])\s*", r"^\(\s*(\d{1
 RUNNING_PAGES, RUNNING_PART = 3, 0.5
 
 
+def squeezed(said: Column) -> Column:
+    """A line with single spaces for white space, and none at its ends. Single spaces stay where they are, so most lines are not built anew."""
+    return F.trim(F.regexp_replace(said, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+
+
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page, line, said, bold) of texts: pages at form feeds, lines at line feeds; a text says nothing of bold, so it is null. Empty lines are left out."""
     pages = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\f")).alias("page", "__p"))
     lines = pages.select("key", "page", F.posexplode(F.split("__p", r"\r?\n")).alias("line", "said"))
-    return lines.withColumn("said", F.trim(F.regexp_replace("said", r"\s+", " "))).where("said <> ''").withColumn("bold", F.lit(None).cast("boolean"))
+    return lines.withColumn("said", squeezed(F.col("said"))).where("said <> ''").withColumn("bold", F.lit(None).cast("boolean"))
 
 
 def without_running(lines: DataFrame) -> DataFrame:
@@ -162,18 +168,53 @@ def records(lines: DataFrame) -> DataFrame:
     own key and section. Of several records of one record_key the canonical one is adopted rather than not, no draft, has
     most conditions, and comes from the smallest key and section.
     """
+    return _ranked(_told(lines))
+
+
+def records_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The records of texts, as of their lines.
+
+    What is a section, an exhibit or a running line takes lines in order only in a text with a title, a heading of Exhibit A
+    or so many pages that one may run over them. Any other is one section without conditions, told where it stands. Of
+    several such texts of one key a record takes the least case and date.
+    """
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Words that every match of a pattern holds are looked for first.
+    holds = lambda words: F.col("text").rlike(f"(?i){words}")
+    said = F.filter(F.transform(F.split("text", r"\r?\n|\f"), squeezed), lambda s: s != "")
+    heads = F.when(holds("motion|resolution|exhibit|conditions"), F.exists(said, lambda s: s.rlike(TITLE) | s.rlike(EXHIBIT_A))).otherwise(F.lit(False))
+    ordered = heads | (F.size(F.split("text", "\f")) >= RUNNING_PAGES)
+    named = holds("case|record|file|adopted|draft")
+    first = lambda rx: F.when(named, F.regexp_extract(F.get(F.filter("said", lambda s: s.rlike(rx)), F.lit(0)), rx, 1))
+    plain = docs.where(~ordered).withColumn("said", F.filter(said, lambda s: ~s.rlike(PAGE_NUMBER))).select(
+        "key", F.lit(0).cast("long").alias("section"), F.lit(None).cast("string").alias("instrument"), F.lit(None).cast("string").alias("number"),
+        F.upper(first(CASE)).alias("case_number"), first(ADOPTED).alias("adopted"),
+        F.when(named, F.exists("said", lambda s: s.rlike(DRAFT))).otherwise(F.lit(False)).alias("draft"), F.size("said").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_conditions"),
+    )
+    return _ranked(plain.unionByName(_told(lines_of(docs.where(ordered), "key", "text"))))
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    """What the lines of each section say of its record, and a row more with the number of its conditions."""
     clean = sections(without_running(lines))
     said = F.col("said")
     case = F.nullif(F.regexp_extract(said, CASE, 1), F.lit(""))
     date = F.nullif(F.regexp_extract(said, ADOPTED, 1), F.lit(""))
     at = F.struct("page", "line")
-    met = clean.groupBy("key", "section").agg(
+    met = clean.groupBy("key", F.col("section").cast("long").alias("section")).agg(
         F.first("instrument").alias("instrument"), F.first("number").alias("number"), F.min_by(F.upper(case), F.when(case.isNotNull(), at)).alias("case_number"),
-        F.min_by(date, F.when(date.isNotNull(), at)).alias("adopted"), F.max(said.rlike(r"(?i)\bdraft\s+(?:motion|resolution)\b")).alias("__draft"), F.count("*").alias("n_lines"),
+        F.min_by(date, F.when(date.isNotNull(), at)).alias("adopted"), F.max(said.rlike(DRAFT)).alias("draft"), F.count("*").alias("n_lines"), F.lit(0).cast("long").alias("n_conditions"),
     )
+    read = conditions(lines).where("not implicit").groupBy("key", F.col("section").cast("long").alias("section")).agg(F.lit(0).cast("long").alias("n_lines"), F.count("*").alias("n_conditions"))
+    return met.unionByName(read, allowMissingColumns=True)
+
+
+def _ranked(told: DataFrame) -> DataFrame:
+    """Records of what is told of their sections, with the canonical one of each record_key."""
+    each = {"instrument": F.max("instrument"), "number": F.max("number"), "case_number": F.min("case_number"), "adopted": F.min("adopted"), "__draft": F.max("draft"), "n_lines": F.sum("n_lines"), "n_conditions": F.sum("n_conditions")}
+    met = told.groupBy("key", "section").agg(*[v.alias(c) for c, v in each.items()]).where("n_lines > 0")
     numbered = F.col("number").rlike(r"^\d+$")
-    read = conditions(lines).where("not implicit").groupBy("key", "section").agg(F.count("*").alias("n_conditions"))
-    named = met.join(read, ["key", "section"], "left").withColumn("n_conditions", F.coalesce("n_conditions", F.lit(0))).withColumn("draft", F.col("__draft") | F.coalesce(~numbered, F.lit(False)))
+    named = met.withColumn("draft", F.col("__draft") | F.coalesce(~numbered, F.lit(False)))
     named = named.withColumn("key_source", F.when(numbered, "number").when(F.col("case_number").isNotNull(), "case").otherwise("document"))
     record = F.when(numbered, F.concat_ws(" ", "instrument", "number")).when(F.col("case_number").isNotNull(), F.concat(F.lit("case "), F.col("case_number"))).otherwise(F.concat_ws("/", F.lit("document"), F.col("key").cast("string"), F.col("section").cast("string")))
     named = named.withColumn("record_key", record)

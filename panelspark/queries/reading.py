@@ -15,7 +15,7 @@ SEEDS = (1, 2, 3, 4, 5)
 
 def document_records(spark: SparkSession, d: str) -> DataFrame:
     """The records that sections of all documents make, by what their key is taken from: records, canonical ones, lines and conditions."""
-    r = C.records(C.lines_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
+    r = C.records_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     return r.groupBy("key_source").agg(F.count("*").alias("n"), F.count_if("canonical").alias("n_canonical"), F.sum("n_lines").alias("n_lines"), F.sum("n_conditions").alias("n_conditions"))
 
 

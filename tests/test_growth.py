@@ -130,3 +130,21 @@ def test_candidate_places_are_counted_where_their_stems_lie(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalogue.oracle_sql()["candidate_places"]).fetchall())
     # Neither rows for each distinct count nor one deal for each step.
     assert "Expand" not in plan(df) and df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") <= 7
+
+
+def test_records_of_plain_texts_are_told_where_they_stand(spark):
+    from panelspark.operators import conditions as C
+
+    exhibit = "\n".join(["Exhibit  A", "1. A.", "2. B.", "3. C."])
+    docs = [
+        (1, f"Draft Motion\nMotion No. 100\n{exhibit}"), (2, f"x\n{exhibit}"), (3, " \t\r\n12\r\nPage 3 of 4\n a \t b\x0b\n\nc\f\nd"), (4, "Record  No.\t2010.0044x\nCase No. 2011.0001\nwas adopted on May 5,  2010"), (5, "case no.\n2010.0044x adopted\nMay 5, 2010"),
+        (6, "head 1\na\fhead 2\nb\fhead 3\nc"), (7, "12"), (8, "\n \r\n"), (9, None), (10, "FILE # 2010.0044X"), (11, "a draft\xa0motion of x"), (12, "the draft  resolution; conditions of a motion\nno exhibit a"), (None, "x"), (13, "über Case NO 98.1234"), (14, "v\r"),
+    ]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    got = C.records_of(df, "doc", "text")
+    want = C.records(C.lines_of(df, "doc", "text"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.dtypes == want.dtypes
+    assert {(r.key, r.section): r.n_lines for r in got.collect()} == {(1, 0): 1, (1, 1): 5, **{(k, 0): n for k, n in {2: 4, 3: 3, 4: 3, 5: 3, 6: 3, 10: 1, 11: 1, 12: 2, 13: 1}.items()}}
+    # Two texts of one key are one document.
+    twice = spark.createDataFrame([(1, "a\nb"), (1, "c\nFile No. 2010.0044"), (2, "d")], "doc long, text string")
+    assert {r.key: (r.n_lines, r.key_source) for r in C.records_of(twice, "doc", "text").collect()} == {1: (4, "case"), 2: (1, "document")}
