@@ -8,6 +8,9 @@ candidate numbers, never over its lines.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -180,16 +183,15 @@ def records_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Words that every match of a pattern holds are looked for first.
-    holds = lambda words: F.col("text").rlike(f"(?i){words}")
+    holds = lambda words: reduce(or_, [F.contains(F.lower("text"), F.lit(w)) for w in words.split("|")])
     said = F.filter(F.transform(F.split("text", r"\r?\n|\f"), squeezed), lambda s: s != "")
     heads = F.when(holds("motion|resolution|exhibit|conditions"), F.exists(said, lambda s: s.rlike(TITLE) | s.rlike(EXHIBIT_A))).otherwise(F.lit(False))
     ordered = heads | (F.size(F.split("text", "\f")) >= RUNNING_PAGES)
-    named = holds("case|record|file|adopted|draft")
-    first = lambda rx: F.when(named, F.regexp_extract(F.get(F.filter("said", lambda s: s.rlike(rx)), F.lit(0)), rx, 1))
+    first = lambda rx, words: F.when(holds(words), F.regexp_extract(F.get(F.filter("said", lambda s: s.rlike(rx)), F.lit(0)), rx, 1))
     plain = docs.where(~ordered).withColumn("said", F.filter(said, lambda s: ~s.rlike(PAGE_NUMBER))).select(
         "key", F.lit(0).cast("long").alias("section"), F.lit(None).cast("string").alias("instrument"), F.lit(None).cast("string").alias("number"),
-        F.upper(first(CASE)).alias("case_number"), first(ADOPTED).alias("adopted"),
-        F.when(named, F.exists("said", lambda s: s.rlike(DRAFT))).otherwise(F.lit(False)).alias("draft"), F.size("said").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_conditions"),
+        F.upper(first(CASE, "case|record|file")).alias("case_number"), first(ADOPTED, "adopted").alias("adopted"),
+        F.when(holds("draft"), F.exists("said", lambda s: s.rlike(DRAFT))).otherwise(F.lit(False)).alias("draft"), F.size("said").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_conditions"),
     )
     return _ranked(plain.unionByName(_told(lines_of(docs.where(ordered), "key", "text"))))
 
