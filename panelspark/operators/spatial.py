@@ -42,8 +42,11 @@ def in_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False) -
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left (lid, lx, ly) and right (rid, rx, ry) at most `radius` apart, with `dist`: an equi join on cells of that size."""
-    joined = in_cells(left, "lx", "ly", radius, around=True).join(in_cells(right, "rx", "ry", radius), ["cx", "cy"])
+    """Pairs of left (lid, lx, ly) and right (rid, rx, ry) at most `radius` apart, with `dist`: an equi join on cells of that size.
+
+    A merge join: rows for nine cells about a point look as small as the point's file, and a broadcast of them goes through the driver.
+    """
+    joined = in_cells(left, "lx", "ly", radius, around=True).join(in_cells(right, "rx", "ry", radius).hint("merge"), ["cx", "cy"])
     dist = F.sqrt((F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2)
     return joined.withColumn("dist", dist).where(F.col("dist") <= radius).drop("cx", "cy")
 
@@ -74,18 +77,19 @@ def nearest(left: DataFrame, right: DataFrame, start: float, doublings: int = 20
         found = best if found is None else found.unionByName(best)
         if radius >= last:
             break
-        open_ = open_.join(best.select("lx", "ly"), ["lx", "ly"], "left_anti")
+        open_ = open_.join(best.select("lx", "ly").hint("merge"), ["lx", "ly"], "left_anti")
         if open_.isEmpty():
             break
         radius = min(radius * 2, last)
-    return left.join(found, ["lx", "ly"]).groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b")).select("lid", "b.rid", "b.dist")
+    return left.join(found.hint("merge"), ["lx", "ly"]).groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b")).select("lid", "b.rid", "b.dist")
 
 
 def counted_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(lid, n, least): how many right points are at most `radius` from each left one, and how far the nearest is; left points without any have no row.
 
     Points of one position are one with a count. Cells whose boxes lie wholly within the radius of each other give their
-    counts, and only cells on the border of it compare points; the closer points stand, the smaller the cells.
+    counts, and only cells on the border of it compare points; the closer points stand, the smaller the cells. All joins are
+    merge joins: a cell has hundreds of rows about it, and none of them may be broadcast through the driver.
     """
     spots = right.groupBy("rx", "ry").agg(F.count("*").alias("k")).persist()
     size = cell_size(spots, "rx", "ry", radius, 32, 3)
@@ -95,20 +99,20 @@ def counted_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     box = lambda df, side: [f(f"{side}{c}").alias(f"{side}{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
     around = lambda c: F.explode(F.sequence(F.col(c) - steps, F.col(c) + steps))
     left_boxes = spread(l.groupBy("cx", "cy").agg(*box(l, "l"))).withColumn("rcx", around("cx")).withColumn("rcy", around("cy"))
-    pairs = left_boxes.join(r.groupBy("rcx", "rcy").agg(*box(r, "r"), F.sum("k").alias("k")), ["rcx", "rcy"])
+    pairs = left_boxes.join(r.groupBy("rcx", "rcy").agg(*box(r, "r"), F.sum("k").alias("k")).hint("merge"), ["rcx", "rcy"])
     gap = lambda c: F.greatest(F.col(f"r{c}0") - F.col(f"l{c}1"), F.col(f"l{c}0") - F.col(f"r{c}1"), F.lit(0.0))
     span = lambda c: F.greatest(F.col(f"r{c}1") - F.col(f"l{c}0"), F.col(f"l{c}1") - F.col(f"r{c}0"))
     # A margin far above rounding: cells in doubt compare their points.
     whole = F.sqrt(span("x") ** 2 + span("y") ** 2) <= radius * (1 - 1e-9)
     pairs = pairs.where(F.sqrt(gap("x") ** 2 + gap("y") ** 2) <= radius * (1 + 1e-9)).select("cx", "cy", "rcx", "rcy", "k", whole.alias("whole"))
-    inner = l.join(pairs.where("whole").groupBy("cx", "cy").agg(F.sum("k").alias("k")), ["cx", "cy"]).select("lx", "ly", "k")
-    border = l.join(pairs.where("not whole").drop("k"), ["cx", "cy"]).select("lx", "ly", "rcx", "rcy")
+    inner = l.join(pairs.where("whole").groupBy("cx", "cy").agg(F.sum("k").alias("k")).hint("merge"), ["cx", "cy"]).select("lx", "ly", "k")
+    border = l.join(pairs.where("not whole").drop("k").hint("merge"), ["cx", "cy"]).select("lx", "ly", "rcx", "rcy")
     n = border.sparkSession.sparkContext.defaultParallelism * 8
     met = border.repartition(n, "rcx", "rcy").join(r.repartition(n, "rcx", "rcy").hint("merge"), ["rcx", "rcy"])
     met = met.where(F.sqrt((F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2) <= radius).groupBy("lx", "ly").agg(F.sum("k").alias("k"))
     counts = inner.unionByName(met).groupBy("lx", "ly").agg(F.sum("k").alias("n"))
     least = nearest(asked.select(F.struct("lx", "ly").alias("lid"), "lx", "ly"), spots.select(F.lit(0).alias("rid"), "rx", "ry"), radius, 0)
-    return left.join(counts, ["lx", "ly"]).join(least.select("lid.*", F.col("dist").alias("least")), ["lx", "ly"]).groupBy("lid").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    return left.join(counts.hint("merge"), ["lx", "ly"]).join(least.select("lid.*", F.col("dist").alias("least")).hint("merge"), ["lx", "ly"]).groupBy("lid").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

@@ -67,6 +67,16 @@ def test_counts_within_a_radius_as_by_all_pairs(spark):
     assert sorted(map(tuple, G.counted_within(left, right, 3.0).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_spatial_joins_broadcast_nothing(spark):
+    from panelspark.operators import spatial as G
+
+    # Small enough that each join would be a broadcast; the last points are left to a second ring.
+    left = spark.range(50).select(F.col("id").alias("lid"), (F.col("id") / 8).alias("lx"), (F.col("id") % 7 + 0.5).alias("ly"))
+    right = spark.range(60).select(F.col("id").alias("rid"), (F.col("id") / 10).alias("rx"), (F.col("id") % 11).cast("double").alias("ry"))
+    for df in (G.counted_within(left, right, 3.0), G.nearest(left, right, 1.0)):
+        assert df.count() > 0 and "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_header_fields_search_for_a_label_once(spark):
     from panelspark.functions import headers as H
 
