@@ -5,7 +5,9 @@ These are inherently sequential, so each runs as one Arrow-backed function over
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from bisect import bisect_left
 from difflib import SequenceMatcher
 
@@ -21,30 +23,79 @@ from panelspark.session import spread
 #: As textops.mask, for texts at hand.
 _NUMBERS, _BETWEEN = re.compile(rf"[0-9][0-9,./:-]*|\b(?:{'|'.join(MASKED_WORDS)})\b", re.A), re.compile(r"[^a-z#]+")
 
+#: Offsets of a block up to which plain Python is faster than arrays; both find the same.
+FEW = 8
 
-def longest_chain(candidates: list[list[int]]) -> list[int | None]:
+
+def longest_chain(candidates: list[list[int]], held: int | None = None) -> list[int | None]:
     """One offset for each block, ascending, for as many blocks as possible; None for blocks left out."""
-    tails: list[int] = []
-    ends: list[tuple[int, int]] = []
-    parent: list[tuple[int, int, int]] = []  # (block, offset, place of the one before)
-    for block, offsets in enumerate(candidates):
-        for offset in sorted(set(offsets), reverse=True):  # descending, so that a block never follows itself
-            k = bisect_left(tails, offset)
-            parent.append((block, offset, ends[k - 1][1] if k else -1))
-            if k == len(tails):
-                tails.append(offset)
-                ends.append((offset, len(parent) - 1))
-            else:
-                tails[k] = offset
-                ends[k] = (offset, len(parent) - 1)
-    out: list[int | None] = [None] * len(candidates)
-    at = ends[-1][1] if ends else -1
-    while at >= 0:
-        block, offset, at = parent[at]
-        out[block] = offset
+    return chain_of([sorted(set(offsets)) for offsets in candidates], held)
+
+
+def chain_of(offsets: list[list[int] | np.ndarray], held: int | None = None) -> list[int | None]:
+    """longest_chain of ascending, distinct offsets; many are an array that blocks alike can share.
+
+    About `held` of the chains' ends are kept at a time; on the way back, those of earlier blocks are found anew from a mark.
+    """
+    held = held or max(1 << 18, len(offsets) * math.isqrt(len(offsets)))
+    tails: list[int] = []  # the least end of the chains of each length so far
+
+    def on(block: int, stop: int, most: float) -> list[tuple]:
+        """What go_on says of each block from this one on, until it is more than most."""
+        found, n = [], 0
+        while block < stop and n <= most:
+            found.append(go_on(tails, offsets[block]))
+            n += len(found[-1][0])
+            block += 1
+        return found
+
+    marks, block, found = [], 0, None
+    while block < len(offsets):
+        marks.append((block, np.array(tails, np.int64)))
+        found = on(block, len(offsets), held)
+        block += len(found)
+    out: list[int | None] = [None] * len(offsets)
+    k, stop = len(tails) - 1, len(offsets)
+    for block, before in reversed(marks):
+        if found is None:
+            tails[:] = before.tolist()
+            found = on(block, stop, math.inf)
+        for i in range(stop - 1, block - 1, -1):  # the last of the blocks before that ends a chain of this length
+            lengths, ends = found[i - block]
+            at = bisect_left(lengths, k)
+            if at < len(lengths) and lengths[at] == k:
+                out[i] = int(ends[at])
+                k -= 1
+        stop, found = block, None
     return out
 
 
+def go_on(tails: list[int], offsets: list[int] | np.ndarray) -> tuple:
+    """Chains go on with one of a block's offsets where that is no later an end than in tails: their lengths, ascending, and ends, which go to tails."""
+    if len(offsets) == 1:
+        k = bisect_left(tails, offsets[0])
+        tails[k : k + 1] = offsets
+        return [k], offsets
+    if len(offsets) <= FEW:
+        least = {bisect_left(tails, offset): offset for offset in reversed(offsets)}
+        for k, offset in least.items():
+            tails[k : k + 1] = [offset]
+        return [*least][::-1], [*least.values()][::-1]
+    known, offsets = np.array(tails, np.int64), np.asarray(offsets, np.int64)
+    if len(offsets) <= len(known):
+        lengths, first = np.unique(np.searchsorted(known, offsets), return_index=True)
+        ends = offsets[first]
+    else:
+        after = np.concatenate(([0], np.searchsorted(offsets, known, "right")))
+        after = offsets[after[after < len(offsets)]]  # for each length, the first offset after a chain one shorter
+        lengths = np.flatnonzero(after <= np.append(known, np.iinfo(np.int64).max)[: len(after)])
+        ends = after[lengths]
+    known = np.append(known, 0)[: max(len(known), lengths[-1] + 1)]
+    known[lengths] = ends
+    tails[:] = known.tolist()
+    return lengths.astype(np.int32), ends
+
+
 def folded(text: str) -> tuple[str, np.ndarray]:
     """Lower-cased a-z, digits and points of a text, and the place of each in it."""
     low = text.lower()
@@ -54,32 +105,62 @@ def folded(text: str) -> tuple[str, np.ndarray]:
     return points[at].astype(np.uint8).tobytes().decode("ascii"), place[at]
 
 
-def align_blocks(docs: DataFrame, blocks: DataFrame, most: int = 40, passes: int = 8) -> DataFrame:
-    """docs (doc, text), blocks (doc, ordinal, block) -> (doc, ordinal, offset): where each block stands in its document; null if it isn't placed.
+def places(text: str, piece: str) -> list[int] | np.ndarray:
+    """Every place of a piece in a text, overlapping ones too, ascending."""
+    found, at = array("q"), text.find(piece)
+    while at >= 0:
+        found.append(at)
+        at = text.find(piece, at + 1)
+    return np.array(found, np.int64) if len(found) > FEW else found.tolist()
+
+
+def in_order(text: str, sought: list[list[str]]) -> list[int | None] | None:
+    """Each block at the first place of its piece after the block before; None if one that occurs has no such place.
 
-    Both are folded to letters, digits and points; a block is sought by its first 120 of these, else by its first 40. The
-    longest chain in order is placed, then that of the blocks left, and so on.
+    That is the longest chain where it goes through all blocks, without their other places.
     """
+    at, out = -1, []
+    for pieces in sought:
+        out.append(None)
+        for piece in pieces:
+            if (after := text.find(piece, at + 1)) >= 0:
+                out[-1] = at = after
+                break
+            if text.find(piece, 0, at + len(piece)) >= 0:
+                return None
+    return out
+
 
-    def aligned(text: str, blocks: list[str]) -> list[int | None]:
-        text, place = folded(text)
+def aligned(text: str, blocks: list[str | None]) -> list[int | None]:
+    """Where each block stands in a text, by the first of its pieces that occurs there; see align_blocks."""
+    text, place = folded(text)
+    sought = [[b[:120], b[:40]] if len(b) > 40 else [b] if b else [] for b in (folded(x or "")[0] for x in blocks)]
+    placed = in_order(text, sought)
+    if placed is None:
+        known = {}  # blocks alike share an array
         found = []
-        for block in blocks:
-            block, offsets = folded(block or "")[0], []
-            for piece in (block[:120], block[:40]):
-                at = -1
-                while piece and len(offsets) < most and (at := text.find(piece, at + 1)) >= 0:
-                    offsets.append(at)
-                if offsets:
+        for pieces in sought:
+            for piece in pieces:
+                if piece not in known:
+                    known[piece] = places(text, piece)
+                if len(known[piece]):
                     break
-            found.append(offsets)
-        placed: list[int | None] = [None] * len(found)
-        todo = [i for i, offsets in enumerate(found) if offsets]
-        for _ in range(passes):
-            for i, offset in zip(todo, longest_chain([found[i] for i in todo]), strict=True):
+            found.append(known[piece] if pieces else [])
+        placed = [None] * len(found)
+        todo = [i for i, offsets in enumerate(found) if len(offsets)]
+        while todo:  # each pass places at least one
+            for i, offset in zip(todo, chain_of([found[i] for i in todo]), strict=True):
                 placed[i] = offset
             todo = [i for i in todo if placed[i] is None]
-        return [None if x is None else int(place[x]) for x in placed]
+    return [None if x is None else int(place[x]) for x in placed]
+
+
+def align_blocks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """docs (doc, text), blocks (doc, ordinal, block) -> (doc, ordinal, offset): where each block stands in its document; null if it is nowhere in it.
+
+    Both are folded to letters, digits and points; a block is sought by its first 120 of these, else by its first 40, at all
+    their places. The longest chain in order is placed, then that of the blocks left, and so on until none is left.
+    """
 
     def run(batches):
         for batch in batches:

@@ -125,6 +125,35 @@ def test_blocks_are_folded_and_placed_in_passes(spark):
     assert [r.offset for r in sorted(got, key=lambda r: r.ordinal)] == [0, text.index("A third"), text.index("And"), text.index("The second"), None, None, None]
 
 
+def test_blocks_are_placed_however_often_they_stand_and_however_they_are_moved(spark):
+    # 100 times the same line, the block of the end moved to the front; 20 blocks in reverse order, of which a pass places one.
+    line, words = "the same line. ", [f"word{i}x" for i in range(20)]
+    docs = [(1, line * 100 + "The end."), (2, line * 100 + "The end."), (3, " ".join(words))]
+    blocks = [(1, i, line) for i in range(100)] + [(1, 100, "the end")] + [(2, 0, "the end")] + [(2, i + 1, line) for i in range(100)] + [(3, i, w) for i, w in enumerate(reversed(words))]
+    placed = A.align_blocks(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(blocks, "doc long, ordinal int, block string")).orderBy("doc", "ordinal").collect()
+    got = {d: [r.offset for r in placed if r.doc == d] for d in (1, 2, 3)}
+    ends, at = [len(line) * i for i in range(100)], len(line) * 100
+    assert got == {1: [*ends, at], 2: [at, *ends], 3: [docs[2][1].index(w) for w in reversed(words)]}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 60), max_size=25), max_size=20), st.integers(1, 40))
+def test_chains_found_anew_are_those_kept_whole(candidates, held):
+    whole = A.longest_chain(candidates)
+    assert A.longest_chain(candidates, held) == whole
+    # By one offset after the other.
+    tails, ends, parents = [], [], []
+    for block, offsets in enumerate(candidates):
+        for offset in sorted(set(offsets), reverse=True):
+            k = sum(t < offset for t in tails)
+            parents.append((block, offset, ends[k - 1] if k else None))
+            tails[k : k + 1], ends[k : k + 1] = [offset], [len(parents) - 1]
+    want, at = [None] * len(candidates), ends[-1] if ends else None
+    while at is not None:
+        block, want[block], at = parents[at]
+    assert whole == want
+
+
 def test_alignment_query_cuts_whole_documents(spark, tmp_path):
     rows = [(1, "".join(f"word{i} " for i in range(200)), "en"), (2, "a short one", "en"), (3, None, "en"), (4, "", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
